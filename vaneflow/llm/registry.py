@@ -1,15 +1,18 @@
 """The queries of this subpackage and their SQL."""
 
-from . import chat, exact_dedup, sharding, warc
+from . import chat, decontaminate, exact_dedup, secrets, sharding, warc
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
     "op2_chat_formatting": chat.op2_chat_formatting,
+    "op5_decontamination": decontaminate.op5_decontamination,
     "op6_warc": warc.op6_warc,
     "op7_sharding": sharding.op7_sharding,
+    "op8_secrets": secrets.op8_secrets,
 }
 
 ORACLE_SQL = {
     "op1_exact_dedup": exact_dedup.OP1_SQL,
     "op2_chat_formatting": chat.OP2_SQL,
+    "op5_decontamination": decontaminate.OP5_SQL,
 }
