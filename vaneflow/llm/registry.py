@@ -1,6 +1,6 @@
 """The queries of this subpackage and their SQL."""
 
-from . import chat, decontaminate, exact_dedup, secrets, sharding, warc
+from . import chat, decontaminate, exact_dedup, quality, secrets, sharding, warc
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -9,6 +9,7 @@ QUERIES = {
     "op6_warc": warc.op6_warc,
     "op7_sharding": sharding.op7_sharding,
     "op8_secrets": secrets.op8_secrets,
+    "op9_quality": quality.op9_quality,
 }
 
 ORACLE_SQL = {
