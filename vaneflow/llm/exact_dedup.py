@@ -13,7 +13,11 @@ from pyspark.sql import types as T
 
 from .common import broadcast_if_small, keep, lower_ascii, table, work_path
 
-PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Disk-backed state; many small stores, so none takes disk in advance.
+STATE_CONF = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 #: Ids of rows in groups are broadcast up to this count, proven by counting; beyond it they are joined by a shuffle.
 MAX_HITS_SENT = 1_000_000
 FEED = T.StructType([T.StructField("digest", T.BinaryType()), T.StructField("doc_id", T.LongType()), T.StructField("n_bytes", T.LongType()), T.StructField("locator", T.StringType())])
@@ -31,8 +35,9 @@ def run_state(spark: SparkSession, feed_path: str, checkpoint: str, out: str) ->
     Calling it again with the same three paths takes up only what arrived meanwhile.  Each micro-batch's changed keys
     are written as a folder of their own, so that a batch that is run again after a failure overwrites itself.
     """
-    old = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
+    old = {k: spark.conf.get(k, None) for k in STATE_CONF}
+    for k, v in STATE_CONF.items():
+        spark.conf.set(k, v)
 
     def changed(batch: DataFrame, number: int) -> None:
         batch.withColumn("batch", F.lit(number)).write.mode("overwrite").option("compression", "zstd").parquet(f"{out}/b={number}")
@@ -42,7 +47,8 @@ def run_state(spark: SparkSession, feed_path: str, checkpoint: str, out: str) ->
         query = state.writeStream.outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(changed).start()
         query.awaitTermination()
     finally:
-        spark.conf.set("spark.sql.streaming.stateStore.providerClass", old)
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     rows = spark.read.schema(T.StructType([*state.schema.fields, T.StructField("batch", T.IntegerType())])).parquet(f"{out}/b=*")
     return rows.groupBy("digest", "n_bytes").agg(F.max_by(F.struct("keep_id", "locator", "group_size"), "batch").alias("s")).select("digest", "n_bytes", "s.*")
 
