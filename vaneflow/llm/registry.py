@@ -1,9 +1,10 @@
 """The queries of this subpackage and their SQL."""
 
-from . import chat, decontaminate, exact_dedup, quality, secrets, sharding, warc
+from . import chat, decontaminate, exact_dedup, jaccard_join, quality, secrets, sharding, warc
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+    "op10_jaccard_join": jaccard_join.op10_jaccard_join,
     "op2_chat_formatting": chat.op2_chat_formatting,
     "op5_decontamination": decontaminate.op5_decontamination,
     "op6_warc": warc.op6_warc,
