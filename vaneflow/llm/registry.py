@@ -1,11 +1,12 @@
 """The queries of this subpackage and their SQL."""
 
-from . import chat, decontaminate, exact_dedup, jaccard_join, quality, secrets, sharding, warc
+from . import chat, decontaminate, exact_dedup, jaccard_join, quality, secrets, sentencepiece, sharding, warc
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
     "op10_jaccard_join": jaccard_join.op10_jaccard_join,
     "op2_chat_formatting": chat.op2_chat_formatting,
+    "op3_sentencepiece": sentencepiece.op3_sentencepiece,
     "op5_decontamination": decontaminate.op5_decontamination,
     "op6_warc": warc.op6_warc,
     "op7_sharding": sharding.op7_sharding,
