@@ -1,12 +1,13 @@
 """The queries of this subpackage and their SQL."""
 
-from . import chat, decontaminate, exact_dedup, jaccard_join, quality, secrets, sentencepiece, sharding, warc
+from . import chat, decontaminate, exact_dedup, jaccard_join, quality, secrets, sentencepiece, sharding, suffix_dedup, warc
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
     "op10_jaccard_join": jaccard_join.op10_jaccard_join,
     "op2_chat_formatting": chat.op2_chat_formatting,
     "op3_sentencepiece": sentencepiece.op3_sentencepiece,
+    "op4_suffix_dedup": suffix_dedup.op4_suffix_dedup,
     "op5_decontamination": decontaminate.op5_decontamination,
     "op6_warc": warc.op6_warc,
     "op7_sharding": sharding.op7_sharding,
