@@ -1,12 +1,64 @@
-"""The corpus pipeline: each stage reads what the one before it kept."""
+"""The corpus pipeline: quality, exact copies, near copies, benchmark leaks, then encoding.
+
+Each stage takes (spark, docs, sf_dir) and works on all that the one before it kept; run() writes a stage's rows to the
+shared folder and reads them again as the next one's docs.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from vaneflow.llm import decontaminate, exact_dedup, jaccard_join, quality, sentencepiece
+from vaneflow.llm.common import broadcast_if_small, keep, lower_ascii, table
+
+#: Rows to drop are broadcast up to this count, proven by counting; beyond it they are joined by a shuffle.
+MAX_DROPPED_SENT = 1_000_000
+
+
+def _without(docs: DataFrame, dropped: DataFrame, *on: str) -> DataFrame:
+    gone, _ = broadcast_if_small(keep(dropped, "dropped"), MAX_DROPPED_SENT)
+    return docs.join(gone, list(on), "left_anti")
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, fitted to the labels, doesn't reject."""
+    scored = quality.classify(docs, table(spark, sf_dir, "labels"))
+    return scored.filter("predicted = 1").select(*docs.columns)
+
+
+def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the row with the largest doc_id."""
+    found = keep(exact_dedup.exact_dedup(docs), "exact")
+    named = docs.withColumn("text_sha256", F.sha2(F.coalesce(lower_ascii(F.col("text")), F.lit("")), 256))
+    left = _without(named, found.filter("not kept").select("doc_id", "text_sha256").distinct(), "doc_id", "text_sha256")
+    again = found.filter("kept").groupBy("doc_id", "text_sha256").count().filter("count > 1").drop("count")
+    if not again.isEmpty():  # rows that repeat, doc_id and all
+        once = left.join(again, ["doc_id", "text_sha256"], "left_semi").dropDuplicates(["doc_id", "text_sha256"])
+        left = left.join(again, ["doc_id", "text_sha256"], "left_anti").unionByName(once)
+    return left.select(*docs.columns)
+
+
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near copies the document with the least doc_id."""
+    found = jaccard_join.similar_documents(docs)
+    return _without(docs, found.filter("doc_id != class_id").select("doc_id").distinct(), "doc_id").select(*docs.columns)
+
+
+def leak_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a benchmark's window."""
+    found = decontaminate.contaminated_words(docs, table(spark, sf_dir, "benchmark"))
+    return _without(docs, found.filter("contaminated").select("doc_id").distinct(), "doc_id").select(*docs.columns)
+
+
+def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Distinct sampled encodings of every document that is left, with their ids."""
+    return sentencepiece.encode_documents(docs, with_ids=True)
+
 
-from vaneflow.llm.common import keep, table
+STAGES = [("quality", quality_stage), ("exact_dedup", exact_stage), ("jaccard_join", near_stage), ("decontamination", leak_stage), ("sentencepiece", encode_stage)]
 
-STAGES: list = []
+#: No SQL can express the classifier and the sampler; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
