@@ -75,8 +75,10 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0) -> None:
     heads = resolve(pages, min_bytes).select("page_id", "sha1", "payload_bytes", "refers_to").distinct()
     total = pages.agg(F.sum(F.octet_length("html"))).first()[0] or 0
     rows = pages.select("page_id", "url", "html").withColumn("_sha1", F.unhex(F.sha1(F.coalesce(F.col("html"), F.lit("")).cast("binary"))))
-    rows = rows.join(heads, "page_id").filter("_sha1 = sha1").drop("_sha1")
-    rows = rows.withColumn("html", F.when(F.col("refers_to").isNull(), F.col("html"))).repartition(1 + total // ARCHIVE_BYTES)
+    # dealt once: the join's partitions are the archives
+    n = 1 + total // ARCHIVE_BYTES
+    rows = rows.repartition(n, "page_id").join(heads.repartition(n, "page_id"), "page_id").filter("_sha1 = sha1").drop("_sha1")
+    rows = rows.withColumn("html", F.when(F.col("refers_to").isNull(), F.col("html")))
     rows.mapInPandas(_render, "value string").write.option("lineSep", CRLF * 2).option("compression", "gzip").text(path)
 
 
