@@ -57,6 +57,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def trim() -> None:
+    """In a Python worker, between batches: give freed memory back, which the allocators would keep for as long as the worker lives."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int) -> tuple[DataFrame, bool]:
     """Mark for broadcast if a count, cut off at the limit, proves at most max_rows rows; else leave the join to shuffles."""
     small = df.limit(max_rows + 1).count() <= max_rows

@@ -7,6 +7,7 @@ falls back to its bytes.  Texts are normalised as the model says: a space before
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import heapq
 import itertools
@@ -19,14 +20,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, trim
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SAMPLES, ALPHA, SHIFT, BYTE_LOGP = 3, 1.0, 3.0, math.log(1e-6)
 SPACE = "▁"
-BATCH = 4 << 20
-#: A unit of the lattice: no piece crosses from other characters to a space.
+BATCH = 3 << 20
+#: A unit of the lattice: no piece crosses from other characters to a space; nor, in most vocabularies, from letters to others or back.
 UNIT = re.compile(f"{SPACE}+[^{SPACE}]*")
+LETTER, OTHER = r"[^\W\d_]", rf"(?:[^\w{SPACE}]|[\d_])"
+FINE_UNIT = re.compile(f"{SPACE}*{LETTER}+|{SPACE}*{OTHER}+|{SPACE}+")
 _M1, _M2, _GOLD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -53,7 +56,9 @@ class Vocabulary:
         sp = sentencepiece.SentencePieceProcessor(model_file=model)
         n = sp.get_piece_size()
         self.pieces = [sp.id_to_piece(i) for i in range(n)]
-        self.spelt = [bytes([int(x[3:5], 16)]) if sp.is_byte(i) else x.replace(SPACE, " ").encode() for i, x in enumerate(self.pieces)]
+        spelt = [bytes([int(x[3:5], 16)]) if sp.is_byte(i) else x.replace(SPACE, " ").encode() for i, x in enumerate(self.pieces)]
+        self.letters, self.length = np.frombuffer(b"".join(spelt), np.uint8), np.fromiter(map(len, spelt), np.int32, n)
+        self.start = np.cumsum(self.length, dtype=np.int32) - self.length
         self.byte_id = np.array([sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)])
         usual = [i for i in range(n) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))]
         weight = -np.log(np.arange(len(usual)) + SHIFT)
@@ -62,6 +67,8 @@ class Vocabulary:
         self.logp[usual] = alpha * weight
         self.byte_logp = alpha * BYTE_LOGP
         found: dict[int, int] = {}
+        mixed = re.compile(f"{LETTER}{OTHER}|{OTHER}{LETTER}|[^{SPACE}]{SPACE}")
+        self.unit = UNIT if any(mixed.search(self.pieces[i]) for i in usual) else FINE_UNIT
         self.longest = max(len(self.pieces[i]) for i in usual)
         for i in usual:
             h = 0
@@ -70,8 +77,43 @@ class Vocabulary:
                 found.setdefault(h, -1)
                 if k == len(self.pieces[i]):
                     found[h] = i
-        self.hashes = np.array(sorted(found), np.uint64)
-        self.ids = np.array([found[int(h)] for h in self.hashes], np.int32)
+        # an open table of hashes, twice as large as the prefixes at least, by their upper bits
+        h, ids = np.array(list(found), np.uint64), np.array(list(found.values()), np.int32)
+        bits = int(2 * len(h)).bit_length() + 1
+        self.shift = np.uint64(64 - bits)
+        self.slots, self.slot_ids, left, step = np.zeros(1 << bits, np.uint64), np.full(1 << bits, -2, np.int32), np.arange(len(h)), 0
+        while len(left):
+            at = (((h[left] * _M1) >> self.shift).astype(np.int64) + step) & ((1 << bits) - 1)
+            _, one = np.unique(at, return_index=True)
+            one = one[self.slot_ids[at[one]] == -2]
+            self.slots[at[one]], self.slot_ids[at[one]] = h[left[one]], ids[left[one]]
+            left, step = np.delete(left, one), step + 1
+        self.probes = step
+
+    def spell(self, ids: np.ndarray) -> np.ndarray:
+        """The bytes of the pieces, joined, with spaces as they are in texts."""
+        n = self.length[ids]
+        at = np.repeat(self.start[ids] - (np.cumsum(n, dtype=np.int32) - n), n)
+        at += np.arange(len(at), dtype=np.int32)
+        return self.letters[at]
+
+    def look_up(self, h: np.ndarray) -> np.ndarray:
+        """The id of each prefix's piece, -1 for a prefix that is none, -2 for what begins no piece."""
+        at = ((h * _M1) >> self.shift).astype(np.int32)
+        hit = self.slots[at] == h
+        out = self.slot_ids[at]
+        open_ = np.flatnonzero(~hit)
+        taken = out[open_] != -2
+        out[open_] = -2
+        open_ = open_[taken]
+        for step in range(1, self.probes):
+            if not len(open_):
+                break
+            k = (at[open_] + step) & (len(self.slots) - 1)
+            hit = self.slots[k] == h[open_]
+            out[open_[hit]] = self.slot_ids[k[hit]]
+            open_ = open_[~hit & (self.slot_ids[k] != -2)]
+        return out
 
 
 class Lattices:
@@ -82,42 +124,41 @@ class Lattices:
         cp = np.frombuffer("".join(units).encode("utf-32-le"), np.uint32).astype(np.uint64) + np.uint64(1)
         end = np.repeat(np.cumsum(size), size).astype(np.int32)
         at, h = np.arange(len(cp), dtype=np.int32), np.zeros(len(cp), np.uint64)
-        starts, ends, ids = [], [], []
-        for k in range(1, vocab.longest + 1):
-            ok = at + k <= end[at]
-            at, h = at[ok], h[ok]
-            h = h * _GOLD + cp[at + k - 1]
-            i = np.minimum(np.searchsorted(vocab.hashes, h), len(vocab.hashes) - 1)
-            ok = vocab.hashes[i] == h
-            if k == 1:
-                whole = np.zeros(len(cp), bool)
-                whole[at[ok][vocab.ids[i[ok]] >= 0]] = True
-            at, h, i = at[ok], h[ok], vocab.ids[i[ok]]
-            hit = i >= 0
-            starts.append(at[hit])
-            ends.append(at[hit] + k)
-            ids.append(i[hit])
-        odd = np.flatnonzero(~whole).astype(np.int32)
-        starts.append(odd)
-        ends.append(odd + 1)
-        ids.append(np.full(len(odd), -1, np.int32))
-        start, stop, ids = np.concatenate(starts), np.concatenate(ends), np.concatenate(ids)
         # nodes in the order of their distance to the unit's end, so that each distance is a slice
         far = end - np.arange(len(cp), dtype=np.int32)
         order = np.argsort(far.astype(np.uint16) if len(far) and far.max() < 1 << 16 else far, kind="stable")
         rank = np.empty(len(cp), np.int32)
         rank[order] = np.arange(len(cp), dtype=np.int32)
-        by = np.argsort(rank[start], kind="stable")
-        start, stop, self.piece = start[by], stop[by], ids[by]
-        node = rank[start]
-        self.node = node
-        self.first = np.concatenate([[0], np.cumsum(np.bincount(node, minlength=len(cp)))]).astype(np.int32)
-        self.only = np.diff(self.first)[node] == 1
-        last = stop == end[start]
-        self.to = np.where(last, -1, rank[np.minimum(stop, len(cp) - 1)]).astype(np.int32)
-        code = (cp[start] - np.uint64(1)).astype(np.int64)
-        n_bytes = 1 + (code > 0x7F) + (code > 0x7FF) + (code > 0xFFFF)
-        logp = np.where(self.piece >= 0, vocab.logp[self.piece], n_bytes * vocab.byte_logp)
+        found, n_arcs = [], np.zeros(len(cp), np.int32)
+        room = far
+        for k in range(1, vocab.longest + 1):
+            h = h * _GOLD + cp[at + (k - 1)]
+            i = vocab.look_up(h)
+            if k == 1:
+                i = np.where(i == -2, -1, i)
+                hit = np.ones(len(i), bool)  # a character that is no piece, written -1, stands for its bytes
+            else:
+                hit = i >= 0
+            own = at[hit]
+            found.append((own, i[hit], n_arcs[own], np.where(room[hit] == k, -1, rank[np.minimum(own + k, len(cp) - 1)])))
+            n_arcs[own] += 1
+            on = (i > -2) & (room > k)
+            at, h, room = at[on], h[on], room[on]
+            if not len(at):
+                break
+        counts = n_arcs[order]
+        self.first = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+        self.piece, self.to = np.empty(int(self.first[-1]), np.int32), np.empty(int(self.first[-1]), np.int32)
+        for own, ids, nth, to in found:  # arcs of a node lie together
+            place = self.first[rank[own]] + nth
+            self.piece[place], self.to[place] = ids, to
+        del found
+        node = np.repeat(np.arange(len(cp), dtype=np.int32), counts)
+        self.only = np.repeat(counts == 1, counts)
+        odd = np.flatnonzero(self.piece < 0)
+        code = (cp[order[node[odd]]] - np.uint64(1)).astype(np.int64)
+        logp = vocab.logp[self.piece]
+        logp[odd] = (1 + (code > 0x7F) + (code > 0x7FF) + (code > 0xFFFF)) * vocab.byte_logp
         beta = np.zeros(len(cp) + 1)  # the last is the end's
         bounds = np.searchsorted(far[order], np.arange(1, (far.max() if len(far) else 0) + 2))
         for a, b in itertools.pairwise(bounds):
@@ -126,27 +167,34 @@ class Lattices:
             cuts = self.first[a:b] - lo
             top = np.maximum.reduceat(v, cuts)
             beta[a:b] = top + np.log(np.add.reduceat(np.exp(v - np.repeat(top, np.diff(np.append(cuts, hi - lo)))), cuts))
-        self.local = np.minimum(logp + beta[self.to] - beta[node], 0.0)
-        sums = np.cumsum(np.exp(self.local))
-        before = np.concatenate([[0.0], sums])[self.first[:-1]]
-        self.cum = sums - before[node]
+        logp += beta[self.to]
+        logp -= beta[node]
+        np.minimum(logp, 0.0, out=logp)
+        self.local = logp.astype(np.float32)
+        np.exp(logp, out=logp)
+        np.cumsum(logp, out=logp)
+        before = np.concatenate([[0.0], logp])[self.first[:-1]]
+        logp -= before[node]
+        self.cum = logp.astype(np.float32)
         self.cum[self.first[1:] - 1] = 2.0  # rounding never leaves a node without an arc
         self.root = rank[np.cumsum(size) - size] if len(cp) else np.zeros(0, np.int32)
-        self.code = code
-        # the ids that an arc stands for
-        self.n_ids = np.where(self.piece >= 0, 1, n_bytes)
-        self.id_at = np.cumsum(self.n_ids) - self.n_ids
-        self.flat = np.repeat(self.piece, self.n_ids)
-        for a in np.flatnonzero(self.piece < 0):
-            b = vocab.byte_id[list(chr(code[a]).encode("utf-8", "surrogatepass"))]
-            self.flat[self.id_at[a] : self.id_at[a] + len(b)] = b
-
-    def walk(self, unit: np.ndarray, seed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Draw a path through each unit (ancestral sampling): arcs of all paths, and how many each has.  seed: a counter for each."""
+        # a character that is no piece: its byte's id, or the place of its several bytes' ids, below 0
+        self.bytes_of: list[np.ndarray] = []
+        for at, c in zip(odd.tolist(), code.tolist(), strict=True):
+            b = vocab.byte_id[list(chr(c).encode("utf-8", "surrogatepass"))]
+            if len(b) == 1:
+                self.piece[at] = b[0]
+            else:
+                self.bytes_of.append(b.astype(np.int32))
+                self.piece[at] = -len(self.bytes_of)
+
+    def walk(self, unit: np.ndarray, seed: np.ndarray, back: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Draw a path through each unit (ancestral sampling): arcs of all paths, and how many each has, both in the order of back.  seed: a counter for each."""
         state, who, steps, arcs = self.root[unit], np.arange(len(unit), dtype=np.int32), [], []
-        n = np.zeros(len(unit), np.int64)
+        n, x = np.zeros(len(unit), np.int32), seed.copy()
         while len(who):
-            r = _uniform(seed[who] + n[who].astype(np.uint64))
+            x = x * np.uint64(0x5851F42D4C957F2D) + np.uint64(0x14057B7EF767814F)  # a congruential sequence of its own for each unit
+            r = ((x >> np.uint64(12)).astype(np.float64) + 0.5) * 2.0**-52
             arc = self.first[state]
             more = np.flatnonzero(self.cum[arc] <= r)
             while len(more):
@@ -157,16 +205,27 @@ class Lattices:
             n[who] += 1
             state = self.to[arc]
             on = state >= 0
-            state, who = state[on], who[on]
-        out, off = np.empty(int(n.sum()), np.int32), np.cumsum(n) - n
+            state, who, x = state[on], who[on], x[on]
+        back_n = n[back]
+        placed = np.cumsum(back_n) - back_n
+        off = np.empty(len(n), np.int64)
+        off[back] = placed
+        out = np.empty(int(n.sum()), np.int32)
         for k, (w, a) in enumerate(zip(steps, arcs, strict=True)):
             out[off[w] + k] = a
-        return out, n
+        return out, back_n
 
     def expand(self, arcs: np.ndarray) -> np.ndarray:
-        n = self.n_ids[arcs]
-        inside = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-        return self.flat[np.repeat(self.id_at[arcs], n) + inside]
+        """The ids of a path."""
+        ids = self.piece[arcs]
+        odd = np.flatnonzero(ids < 0) if self.bytes_of else ()
+        if not len(odd):
+            return ids
+        parts, at = [], 0
+        for i in odd.tolist():
+            parts += [ids[at:i], self.bytes_of[-ids[i] - 1]]
+            at = i + 1
+        return np.concatenate([*parts, ids[at:]])
 
 
 def _lse(x: np.ndarray) -> float:
@@ -179,13 +238,14 @@ def _below(mu: float, bound: float, u: float) -> float:
     return mu - math.log(math.exp(min(mu - bound, 700.0)) - math.log(u))
 
 
-def top_k(lat: Lattices, draws: list[tuple[np.ndarray, np.ndarray]], k: int, seed: int) -> list[tuple[np.ndarray, float, float, float]]:
+def top_k(lat: Lattices, draws: list[tuple[np.ndarray, ...]], k: int, seed: int) -> list[tuple[np.ndarray, float, float, float]]:
     """k distinct segmentations (fewer if there are no more): arcs, log probability, perturbed log probability, log inclusion score.
 
     Best-first search over sets of segmentations.  A set is what agrees with a found path up to a piece and differs
     there; all sets of a path wait as one entry whose bound is the maximum of its sets' Gumbels, drawn below the bound
     of what it was split from.  Splitting a set off gives the path that has its maximum: draws[s] serves as the free
-    part of the s-th path.  draws: (arcs, unit of each arc).  The bound of the next entry is the inclusion threshold.
+    part of the s-th path.  draws: arcs, unit of each arc, log probability before each arc and after the last, and log
+    probability of any other arc there.  The bound of the next entry is the inclusion threshold.
     """
     count = itertools.count()
 
@@ -195,93 +255,119 @@ def top_k(lat: Lattices, draws: list[tuple[np.ndarray, np.ndarray]], k: int, see
         x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & _ALL
         return (((x ^ (x >> 31)) >> 12) + 0.5) * 2.0**-52
 
-    def entry(path: np.ndarray, units: np.ndarray, at: int, barred: list[int], bound: float) -> None:
-        local = lat.local[path]
-        before = np.concatenate([[0.0], np.cumsum(local)[:-1]])
-        with np.errstate(divide="ignore"):
-            logq = before[at:] + np.log(-np.expm1(local[at:]))
-        if barred and len(logq):
-            left = 1.0 - np.exp(lat.local[[*barred, path[at]]]).sum()
-            logq[0] = before[at] + math.log(left) if left > 1e-12 else -np.inf
-        logq[lat.only[path[at:]]] = -np.inf
+    def entry(path: tuple[np.ndarray, ...], at: int, barred: list[int], bound: float) -> None:
+        arcs, _, before, other = path
+        # sets that differ far down the path weigh nothing: beyond e**-60 of the first they vanish in the sum
+        to = min(len(arcs), at + 256)
+        while to < len(arcs) and before[to] > before[at] - 60.0:
+            to = min(len(arcs), to + 256)
+        logq = before[at:to] + other[at:to]
+        if barred:
+            left = 1.0 - sum(math.exp(lat.local[a]) for a in (*barred, arcs[at]))
+            logq[0] = before[at] + math.log(left) if left > 1e-7 else -np.inf
         if (mu := _lse(logq)) > -np.inf:
-            heapq.heappush(heap, (-_below(mu, bound, rnd()), next(count), (path, units, at, barred, logq)))
+            heapq.heappush(heap, (-_below(mu, bound, rnd()), next(count), (path, at, barred, logq)))
 
     heap: list = []
-    path, units = draws[0]
+    path = draws[0]
     top = -math.log(-math.log(rnd()))
-    found = [(path, float(lat.local[path].sum()), top)]
-    if len(path):
-        entry(path, units, 0, [], top)
+    found = [(path[0], float(path[2][-1]), top)]
+    if len(path[0]):
+        entry(path, 0, [], top)
     while heap and len(found) < k:
-        bound, _, (path, units, at, barred, logq) = heapq.heappop(heap)
+        bound, _, (path, at, barred, logq) = heapq.heappop(heap)
+        arcs, units, before, other = path
         bound = -bound
-        share = np.cumsum(np.exp(logq - logq.max()))
-        t = int(np.searchsorted(share, rnd() * share[-1], "right"))
-        t = min(t, int(np.flatnonzero(logq > -np.inf)[-1]))
-        out = [*barred, int(path[at])] if t == 0 else [int(path[at + t])]
+        share = np.exp(logq - logq.max()).cumsum()
+        t = int(share.searchsorted(rnd() * share[-1], "right"))
+        if t >= len(logq) or logq[t] == -np.inf:
+            t = int(np.flatnonzero(logq > -np.inf)[-1])
+        out = [*barred, int(arcs[at])] if t == 0 else [int(arcs[at + t])]
         rest = logq.copy()
         rest[t] = -np.inf
         if (mu := _lse(rest)) > -np.inf:
-            heapq.heappush(heap, (-_below(mu, bound, rnd()), next(count), (path, units, at, barred, rest)))
+            heapq.heappush(heap, (-_below(mu, bound, rnd()), next(count), (path, at, barred, rest)))
         t += at
-        node = int(lat.node[path[t]])
+        node = bisect.bisect_right(lat.first, arcs[t]) - 1
         choices = [a for a in range(int(lat.first[node]), int(lat.first[node + 1])) if a not in out]
         if not choices:
             continue
-        weights = np.cumsum(np.exp(lat.local[choices] - lat.local[choices].max()))
-        new = [choices[min(int(np.searchsorted(weights, rnd() * weights[-1], "right")), len(choices) - 1)]]
+        new = [_pick(choices, [math.exp(lat.local[a]) for a in choices], rnd())]
         while (state := int(lat.to[new[-1]])) >= 0:
             arc, r = int(lat.first[state]), rnd()
             while lat.cum[arc] <= r:
                 arc += 1
             new.append(arc)
-        free, free_units = draws[len(found)]
-        tail = int(np.searchsorted(free_units, units[t], "right"))
-        units = np.concatenate([units[:t], np.full(len(new), units[t]), free_units[tail:]])
-        path = np.concatenate([path[:t], new, free[tail:]])
-        found.append((path, float(lat.local[path].sum()), bound))
-        entry(path, units, t, out, bound)
+        f_arcs, f_units, f_before, f_other = draws[len(found)]
+        tail = int(f_units.searchsorted(units[t], "right"))
+        local = lat.local[new].astype(np.float64)
+        ahead = before[t] + local.cumsum()
+        with np.errstate(divide="ignore"):
+            own = np.where(lat.only[new], -np.inf, np.log(-np.expm1(np.minimum(local, -1e-12))))
+        path = (
+            np.concatenate([arcs[:t], np.array(new, np.int32), f_arcs[tail:]]),
+            np.concatenate([units[:t], np.full(len(new), units[t], np.int32), f_units[tail:]]),
+            np.concatenate([before[: t + 1], ahead[:-1], f_before[tail:] + (ahead[-1] - f_before[tail])]),
+            np.concatenate([other[:t], own, f_other[tail:]]),
+        )
+        found.append((path[0], float(path[2][-1]), bound))
+        entry(path, t, out, bound)
     kappa = -heap[0][0] if heap else -np.inf
     score = lambda phi: 0.0 if kappa == -np.inf else (phi - kappa if phi - kappa < -30 else math.log(-math.expm1(-math.exp(min(phi - kappa, 700.0)))))
     return [(p, phi, g, score(phi)) for p, phi, g in found]
 
 
+def _pick(choices: list[int], weights: list[float], u: float) -> int:
+    u *= sum(weights)
+    for c, w in zip(choices, weights, strict=True):
+        u -= w
+        if u <= 0:
+            return c
+    return choices[-1]
+
+
 def normalise(text: str | None) -> str:
     return (SPACE + text.replace(" ", SPACE)) if text else ""
 
 
 def decode(vocab: Vocabulary, ids: np.ndarray) -> str:
     """The text of the ids; SentencePiece's own rule."""
-    return b"".join([vocab.spelt[i] for i in ids.tolist()]).decode("utf-8", "replace")[1:]
+    return vocab.spell(ids).tobytes().decode("utf-8", "replace")[1:]
 
 
 def sample_texts(vocab: Vocabulary, texts: list[str | None], keys: list[int], k: int = SAMPLES) -> Iterator[list[tuple[np.ndarray, float, float, float]]]:
     """For every text its samples: ids, log probability, perturbed log probability, log inclusion score.  Draws depend on the row's key alone."""
-    rows = [UNIT.findall(normalise(t)) for t in texts]
+    rows = [vocab.unit.findall(normalise(t)) for t in texts]
     n = np.fromiter(map(len, rows), np.int64, len(rows))
-    known = dict.fromkeys(itertools.chain.from_iterable(rows))
-    known = dict(zip(known, range(len(known)), strict=True))
-    unit = np.fromiter(map(known.__getitem__, itertools.chain.from_iterable(rows)), np.int32, int(n.sum()))
+    coded = pa.array(list(itertools.chain.from_iterable(rows)), pa.string()).dictionary_encode()
+    unit = coded.indices.to_numpy()
     first = np.cumsum(n) - n
     if not len(unit):
         for _ in rows:
             yield [(np.zeros(0, np.int32), 0.0, 0.0, 0.0)]
         return
-    lat = Lattices(vocab, list(known))
+    lat = Lattices(vocab, coded.dictionary.to_pylist())
     seeds = _mix(np.array(keys, np.int64).view(np.uint64) * _GOLD + np.uint64(0x5EED))
     inside = (np.arange(len(unit)) - np.repeat(first, n)).astype(np.int32)
     draws = []
+    by = np.argsort(unit, kind="stable")  # neighbours walk the same lattices
+    back = np.empty(len(by), np.int64)
+    back[by] = np.arange(len(by))
+    counter, unit = _mix(np.repeat(seeds, n) + inside.astype(np.uint64) * _GOLD)[by], unit[by]
     for s in range(k):
-        counter = _mix(np.repeat(seeds + np.uint64((s + 1) * 0xBF58476D1CE4E5B9 & _ALL), n) + inside.astype(np.uint64) * _GOLD)
-        arcs, m = lat.walk(unit, counter)
-        draws.append((arcs, np.repeat(inside, m), np.concatenate([[0], np.cumsum(m)])))
+        arcs, m = lat.walk(unit, _mix(counter + np.uint64((s + 1) * 0x9E3779B97F4A7C15 & _ALL)), back)
+        local = lat.local[arcs].astype(np.float64)
+        before = np.concatenate([[0.0], local.cumsum()])
+        np.expm1(np.minimum(local, -1e-12, out=local), out=local)
+        np.log(np.negative(local, out=local), out=local)
+        local[lat.only[arcs]] = -np.inf
+        draws.append((arcs, np.repeat(inside, m), before, local, np.concatenate([[0], np.cumsum(m)])))
     for i in range(len(rows)):
         a, b = int(first[i]), int(first[i] + n[i])
         if a == b:
             yield [(np.zeros(0, np.int32), 0.0, 0.0, 0.0)]
             continue
-        own = [(arcs[off[a] : off[b]], units[off[a] : off[b]]) for arcs, units, off in draws]
+        own = [(arcs[off[a] : off[b]], units[off[a] : off[b]], before[off[a] : off[b] + 1] - before[off[a]], other[off[a] : off[b]]) for arcs, units, before, other, off in draws]
         yield [(lat.expand(p), *rest) for p, *rest in top_k(lat, own, k, int(seeds[i]))]
 
 
@@ -321,11 +407,16 @@ def encode_documents(docs: DataFrame, k: int = SAMPLES, key: str = "doc_id", tex
             for a, b in _batches(texts):
                 out: list[tuple] = []
                 for doc, own, samples in zip(ids[a:b], texts[a:b], sample_texts(vocab, texts[a:b], keys[a:b], k), strict=True):
-                    want = (own or "").replace(SPACE, " ")
+                    want = (" " + own.replace(SPACE, " ")).encode("utf-8", "surrogatepass") if own else b""
+                    spelt, at = vocab.spell(np.concatenate([s[0] for s in samples])).tobytes(), 0
                     for rank, (pieces, phi, g, score) in enumerate(samples, 1):
-                        pieces = pieces.astype("<i4")
-                        out.append((doc, rank, len(pieces), phi, g, score, hashlib.sha256(pieces.tobytes()).hexdigest(), decode(vocab, pieces) == want, pieces)[: len(fields)])
+                        to = at + int(vocab.length[pieces].sum())
+                        pieces = pieces.astype("<i4", copy=False)
+                        out.append((doc, rank, len(pieces), phi, g, score, hashlib.sha256(pieces.tobytes()).hexdigest(), spelt[at:to] == want, pieces)[: len(fields)])
+                        at = to
                 yield pa.RecordBatch.from_arrays([pa.array(list(x), f.type) for x, f in zip(zip(*out, strict=True), fields, strict=True)], schema=pa.schema(fields))
+                del out
+                trim()
 
     return docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, schema)
 
