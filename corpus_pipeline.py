@@ -6,7 +6,10 @@ shared folder and reads them again as the next one's docs.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vaneflow.llm import decontaminate, exact_dedup, jaccard_join, quality, sentencepiece
@@ -16,39 +19,47 @@ from vaneflow.llm.common import broadcast_if_small, keep, lower_ascii, table
 MAX_DROPPED_SENT = 1_000_000
 
 
-def _without(docs: DataFrame, dropped: DataFrame, *on: str) -> DataFrame:
-    gone, _ = broadcast_if_small(keep(dropped, "dropped"), MAX_DROPPED_SENT)
-    return docs.join(gone, list(on), "left_anti")
+def _without(docs: DataFrame, dropped: DataFrame, *key: Column) -> DataFrame:
+    """docs without the rows whose key is among the dropped rows (in the same order of columns)."""
+    names = [f"_dropped_{i}_{uuid.uuid4().hex}" for i in range(len(key))]  # no name of docs, whatever those are
+    gone, _ = broadcast_if_small(keep(dropped.toDF(*names), "dropped"), MAX_DROPPED_SENT)
+    same = [k == F.col(n) for k, n in zip(key, names, strict=True)]
+    return docs.join(gone, reduce(lambda a, b: a & b, same), "left_anti")
+
+
+def _sha() -> Column:
+    return F.sha2(F.coalesce(lower_ascii(F.col("text")), F.lit("")), 256)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, fitted to the labels, doesn't reject."""
-    scored = quality.classify(docs, table(spark, sf_dir, "labels"))
-    return scored.filter("predicted = 1").select(*docs.columns)
+    model = quality.train(docs, table(spark, sf_dir, "labels"))
+    return docs.filter(quality.score_column(model, F.col("text")) >= quality.THRESHOLD)
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row with the largest doc_id."""
+    """Of equal texts the row with the largest doc_id; of rows that repeat doc_id and text, one."""
     found = keep(exact_dedup.exact_dedup(docs), "exact")
-    named = docs.withColumn("text_sha256", F.sha2(F.coalesce(lower_ascii(F.col("text")), F.lit("")), 256))
-    left = _without(named, found.filter("not kept").select("doc_id", "text_sha256").distinct(), "doc_id", "text_sha256")
-    again = found.filter("kept").groupBy("doc_id", "text_sha256").count().filter("count > 1").drop("count")
-    if not again.isEmpty():  # rows that repeat, doc_id and all
-        once = left.join(again, ["doc_id", "text_sha256"], "left_semi").dropDuplicates(["doc_id", "text_sha256"])
-        left = left.join(again, ["doc_id", "text_sha256"], "left_anti").unionByName(once)
-    return left.select(*docs.columns)
+    left = _without(docs, found.filter("not kept").select("doc_id", "text_sha256").distinct(), F.col("doc_id"), _sha())
+    again = found.filter("kept").groupBy("doc_id", "text_sha256").count().filter("count > 1").select("doc_id", "text_sha256")
+    if again.isEmpty():
+        return left
+    tag, columns = f"_sha_{uuid.uuid4().hex}", docs.columns
+    ids, _ = broadcast_if_small(keep(again.select("doc_id").distinct(), "repeated"), MAX_DROPPED_SENT)
+    once = left.join(ids, "doc_id", "left_semi").withColumn(tag, _sha()).dropDuplicates(["doc_id", tag])
+    return left.join(ids, "doc_id", "left_anti").select(*columns).unionByName(once.select(*columns))
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near copies the document with the least doc_id."""
     found = jaccard_join.similar_documents(docs)
-    return _without(docs, found.filter("doc_id != class_id").select("doc_id").distinct(), "doc_id").select(*docs.columns)
+    return _without(docs, found.filter("doc_id != class_id").select("doc_id").distinct(), F.col("doc_id"))
 
 
 def leak_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark's window."""
     found = decontaminate.contaminated_words(docs, table(spark, sf_dir, "benchmark"))
-    return _without(docs, found.filter("contaminated").select("doc_id").distinct(), "doc_id").select(*docs.columns)
+    return _without(docs, found.filter("contaminated").select("doc_id").distinct(), F.col("doc_id"))
 
 
 def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -53,28 +53,30 @@ def contaminated_words(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id
     prints = _with_minima(windows.filter(F.col("n") == SPAN).select(F.split("window", " ").alias("_w"))).select(F.explode("_minima").alias("print")).distinct().withColumn("shared", F.lit(1))
     prints, _ = broadcast_if_small(keep(prints, "item-prints"), MAX_SENT)
 
-    tagged = docs.select(F.col(key).alias("doc_id"), F.xxhash64(F.col(text)).alias("_h"), words(F.col(text)).alias("_w"))
-    found = _with_minima(tagged).select("doc_id", "_h", F.size("_w").cast("long").alias("n_words"), F.explode_outer(F.array_distinct("_minima")).alias("print"))
+    # a row's key for joins, with something in the place of null
+    ident = [F.coalesce(F.col(key), F.lit("0").cast(docs.schema[key].dataType)).alias("_id"), F.xxhash64(F.col(text), F.col(key).isNull()).alias("_h")]
+    tagged = docs.select(*ident, words(F.col(text)).alias("_w"))
+    found = _with_minima(tagged).select("_id", "_h", F.size("_w").cast("long").alias("n_words"), F.explode_outer(F.array_distinct("_minima")).alias("print"))
     # a document's rows lie together, so the sum before the shuffle leaves one of them
-    thin = found.join(prints, "print", "left").groupBy("doc_id", "_h", "n_words").agg(F.max("shared").alias("shared"))
+    thin = found.join(prints, "print", "left").groupBy("_id", "_h", "n_words").agg(F.max("shared").alias("shared"))
     thin = keep(thin, "document-prints")
 
-    ids, _ = broadcast_if_small(thin.filter("shared = 1").select("doc_id", "_h"), MAX_SENT)
-    near = _with_minima(tagged.join(ids, ["doc_id", "_h"], "left_semi"))
+    ids, _ = broadcast_if_small(thin.filter("shared = 1").select("_id", "_h"), MAX_SENT)
+    near = _with_minima(tagged.join(ids, ["_id", "_h"], "left_semi"))
     at = F.explode(_each(1, F.size("_minima"), lambda i: F.struct((i - 1).alias("start"), F.element_at("_minima", i).alias("print"), F.concat_ws(" ", F.slice("_w", i, SPAN)).alias("window"))))
-    places = near.select("doc_id", "_h", at.alias("p")).select("doc_id", "_h", "p.*").join(prints.drop("shared"), "print", "left_semi").select("doc_id", "_h", "start", "window")
+    places = near.select("_id", "_h", at.alias("p")).select("_id", "_h", "p.*").join(prints.drop("shared"), "print", "left_semi").select("_id", "_h", "start", "window")
     for n in short:
         own = F.explode(_each(1, F.size("_w") - n + 1, lambda i: F.struct((i - 1).alias("start"), F.concat_ws(" ", F.slice("_w", i, n)).alias("window"))))  # noqa: B023
-        places = places.unionByName(tagged.select("doc_id", "_h", own.alias("p")).select("doc_id", "_h", "p.*"))
+        places = places.unionByName(tagged.select("_id", "_h", own.alias("p")).select("_id", "_h", "p.*"))
     sent, _ = broadcast_if_small(windows, MAX_SENT)
-    hits = keep(places.join(sent, "window").select("doc_id", "_h", "start", (F.col("start") + F.col("n")).alias("end"), "item_id"), "item-hits")
+    hits = keep(places.join(sent, "window").select("_id", "_h", "start", (F.col("start") + F.col("n")).alias("end"), "item_id"), "item-hits")
 
-    before = Window.partitionBy("doc_id", "_h").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
-    covered = hits.groupBy("doc_id", "_h", "start").agg(F.max("end").alias("end"))
+    before = Window.partitionBy("_id", "_h").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
+    covered = hits.groupBy("_id", "_h", "start").agg(F.max("end").alias("end"))
     fresh = F.greatest(F.lit(0), F.col("end") - F.greatest(F.col("start"), F.coalesce(F.max("end").over(before), F.lit(0))))
-    n_hit = covered.withColumn("_n", fresh).groupBy("doc_id", "_h").agg(F.sum("_n").alias("n_hit"))
-    items = hits.groupBy("doc_id", "_h").agg(F.sort_array(F.collect_set("item_id")).alias("items"))
-    out = docs.select(F.col(key).alias("doc_id"), F.xxhash64(F.col(text)).alias("_h")).join(thin.drop("shared"), ["doc_id", "_h"]).join(n_hit.join(items, ["doc_id", "_h"]), ["doc_id", "_h"], "left")
+    n_hit = covered.withColumn("_n", fresh).groupBy("_id", "_h").agg(F.sum("_n").alias("n_hit"))
+    items = hits.groupBy("_id", "_h").agg(F.sort_array(F.collect_set("item_id")).alias("items"))
+    out = docs.select(F.col(key).alias("doc_id"), *ident).join(thin.drop("shared"), ["_id", "_h"]).join(n_hit.join(items, ["_id", "_h"]), ["_id", "_h"], "left")
     names = F.coalesce(F.array_join("items", ","), F.lit(""))
     return out.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"), F.sha2(names, 256).alias("items_sha256"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"))
 

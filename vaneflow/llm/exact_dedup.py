@@ -44,12 +44,14 @@ def run_state(spark: SparkSession, feed_path: str, checkpoint: str, out: str) ->
 
     try:
         state = digest_state(spark.readStream.schema(FEED).parquet(feed_path))
+        kept = T.StructType([*state.schema.fields, T.StructField("batch", T.IntegerType())])
+        spark.createDataFrame([], kept).write.mode("overwrite").parquet(f"{out}/b=-1")  # so that a feed without rows has a state too
         query = state.writeStream.outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(changed).start()
         query.awaitTermination()
     finally:
         for k, v in old.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-    rows = spark.read.schema(T.StructType([*state.schema.fields, T.StructField("batch", T.IntegerType())])).parquet(f"{out}/b=*")
+    rows = spark.read.schema(kept).parquet(f"{out}/b=*")
     return rows.groupBy("digest", "n_bytes").agg(F.max_by(F.struct("keep_id", "locator", "group_size"), "batch").alias("s")).select("digest", "n_bytes", "s.*")
 
 

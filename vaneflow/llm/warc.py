@@ -98,7 +98,7 @@ def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         for content in b["content"]:
             rows = []
-            for head, payload in _parse(zlib.decompress(content, 31)):
+            for head, payload in _parse(zlib.decompress(content, 31) if content else b""):
                 whole = head["WARC-Type"] == "response"
                 digest = head["WARC-Payload-Digest"].removeprefix("sha1:")
                 own = base64.b32encode(hashlib.sha1(payload).digest()).decode() if whole else digest
