@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -94,3 +96,35 @@ def observed_kind(values: DataFrame, *keys: str) -> DataFrame:
 def latest_by(rows: DataFrame, key: list[str], order: Column) -> DataFrame:
     """The last row of each key: what merging of files and caches needs."""
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy(order.desc()))).filter("_n = 1").drop("_n")
+
+
+def indexed_fields(topics: DataFrame, prefix: str, suffix: str = "") -> DataFrame:
+    """Fields `prefix[n]suffix` of each topic with their n, the elements of arrays."""
+    n = F.regexp_extract("field", rf"^{re.escape(prefix)}\[(\d+)\]{re.escape(suffix)}$", 1)
+    return topics.select("topic", "field", F.nullif(n, F.lit("")).cast("int").alias("n")).filter("n is not null").distinct()
+
+
+def renamed(samples: DataFrame, names: dict[tuple[str, str], str]) -> DataFrame:
+    """Fields of older logs under their newer names ((topic, old): new), where the log doesn't have the newer one itself."""
+    spark = samples.sparkSession
+    table = F.broadcast(spark.createDataFrame([(t, o, n) for (t, o), n in names.items()], "topic string, field string, _new string"))  # the declared names
+    own = samples.join(table, ["topic", "field"], "left")
+    have = samples.select("log_id", "topic", F.col("field").alias("_new")).distinct().withColumn("_has", F.lit(True))
+    out = own.join(have, ["log_id", "topic", "_new"], "left")
+    return out.withColumn("field", F.when(F.col("_new").isNotNull() & F.col("_has").isNull(), F.col("_new")).otherwise(F.col("field"))).select(*samples.columns)
+
+
+def only_matches(dependencies: DataFrame, inputs: DataFrame) -> DataFrame:
+    """(dependency, input): inputs whose provenance holds the dependency, where there is just one."""
+    hit = dependencies.join(inputs.select("input", F.explode(F.array_distinct("provenance")).alias("dependency")), "dependency")
+    one = hit.groupBy("dependency").agg(F.count_distinct("input").alias("_n"), F.min("input").alias("input"))
+    return one.filter("_n = 1").select("dependency", "input")
+
+
+def applicability(candidates: DataFrame, required: DataFrame, available: DataFrame, predicates: DataFrame) -> DataFrame:
+    """(candidate, status): excluded if a parameter predicate is false, unresolved if a signal is missing or a predicate unknown, else supported."""
+    lacks = required.join(available, "signal", "left_anti").groupBy("candidate").agg(F.count("*").alias("_missing"))
+    p = predicates.groupBy("candidate").agg(F.bool_or(~F.col("holds")).alias("_false"), F.bool_or(F.col("holds").isNull()).alias("_open"))
+    out = candidates.join(lacks, "candidate", "left").join(p, "candidate", "left")
+    status = F.when(F.coalesce("_false", F.lit(False)), "excluded").when((F.coalesce("_missing", F.lit(0)) > 0) | F.coalesce("_open", F.lit(False)), "unresolved").otherwise("supported")
+    return out.select("candidate", status.alias("status"))

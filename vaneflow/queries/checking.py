@@ -295,3 +295,31 @@ def firmware_versions(spark, d):
     p = table(spark, d, "part")
     packed = F.shiftleft(F.col("p_size").cast("long"), 24) + (F.col("p_partkey") % 256) * 65536 + 7 * 256 + F.col("p_partkey") % 256
     return p.select("p_partkey", scalar.firmware_version(packed).alias("version"))
+
+
+@query("SELECT 'events' AS topic, 'e[' || n || '].x' AS field, CAST(n AS INT) AS n FROM (SELECT DISTINCT user_id AS n FROM events)")
+def indexed_fields(spark, d):
+    e = table(spark, d, "events").select(F.lit("events").alias("topic"), F.concat(F.lit("e["), F.col("user_id").cast("string"), F.lit("].x")).alias("field"))
+    return P.indexed_fields(e.unionByName(table(spark, d, "events").select(F.lit("events").alias("topic"), F.col("event_type").alias("field"))), "e", ".x")
+
+
+@query("SELECT user_id AS log_id, CASE WHEN event_type = 'click' AND NOT bool_or(event_type = 'view') OVER (PARTITION BY user_id) THEN 'view' WHEN event_type = 'error' THEN 'fault' ELSE event_type END AS field, CAST(1 AS BIGINT) AS n FROM events WHERE event_id < 600")
+def renamed_fields(spark, d):
+    e = event_samples(spark, d).filter("seq < 600").select(F.col("multi_id").alias("log_id"), "topic", "field", "seq")
+    return P.renamed(e, {("events", "click"): "view", ("events", "error"): "fault"}).select("log_id", "field", F.lit(1).cast("long").alias("n"))
+
+
+@query("WITH h AS (SELECT DISTINCT l_partkey AS dependency, l_orderkey AS input FROM lineitem WHERE l_orderkey < 300) SELECT dependency, min(input) AS input FROM h GROUP BY dependency HAVING count(*) = 1")
+def only_matches(spark, d):
+    li = table(spark, d, "lineitem")
+    li = li.filter("l_orderkey < 300")
+    return P.only_matches(li.select(F.col("l_partkey").alias("dependency")).distinct(), li.groupBy(F.col("l_orderkey").alias("input")).agg(F.collect_set("l_partkey").alias("provenance")))
+
+
+@query("""WITH m AS (SELECT o_orderkey AS c, count(l_orderkey) FILTER (l_partkey % 50 = 0) AS missing FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY ALL)
+SELECT o_orderkey AS candidate, CASE o_orderstatus WHEN 'F' THEN 'excluded' WHEN 'P' THEN 'unresolved' ELSE CASE WHEN missing > 0 THEN 'unresolved' ELSE 'supported' END END AS status FROM orders JOIN m ON o_orderkey = c""")
+def candidate_applicability(spark, d):
+    o, li = table(spark, d, "orders"), table(spark, d, "lineitem")
+    holds = F.when(F.col("o_orderstatus") == "F", False).when(F.col("o_orderstatus") == "O", True)
+    parts = li.select(F.col("l_partkey").alias("signal")).distinct()
+    return P.applicability(o.select(F.col("o_orderkey").alias("candidate")), li.select(F.col("l_orderkey").alias("candidate"), F.col("l_partkey").alias("signal")), parts.filter("signal % 50 <> 0"), o.select(F.col("o_orderkey").alias("candidate"), holds.alias("holds")))
