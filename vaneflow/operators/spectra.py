@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -100,22 +101,29 @@ def spectrogram(samples: DataFrame, keys: list[str], axes: list[str], window: in
         count = last + 1
         spread = F.transform(F.sequence(F.lit(0), F.lit(max_time_bins - 1)), lambda j: F.floor(j * (count - 1) / F.lit(max(1, max_time_bins - 1))))
         seg = seg.filter((count <= max_time_bins) | F.array_contains(spread, F.col("segment").cast("long")))
+    # a window's samples, window of them, lie in one row; Python transforms many rows at once
+    each = F.array_sort(F.collect_list(F.struct("_i", "ts_us", *(F.col(a).cast("double").alias(a) for a in axes))))
+    rows = seg.groupBy(*keys, "segment").agg(each.alias("_w"), F.any_value("_m").alias("_m"))
+    rows = rows.select(*keys, "_m", F.col("_w")[window // 2]["ts_us"].alias("_at"), *(F.col("_w")[a].alias(f"_x{i}") for i, a in enumerate(axes)))
     schema = ", ".join(f"{k} {samples.schema[k].dataType.simpleString()}" for k in keys) + ", " + SPECTROGRAM
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_i")
-        rate = 1e6 / float(pdf["_m"].iloc[0])
-        hann = np.hanning(window)
-        power = np.zeros(window // 2 + 1)
-        for a in axes:
-            x = pdf[a].to_numpy(float)
-            p = np.abs(np.fft.rfft((x - x.mean()) * hann)) ** 2 / (rate * (hann @ hann))
-            p[1:-1] *= 2
-            power += p
-        db = 10 * np.log10(np.maximum(power, np.finfo(float).tiny))
-        return pd.DataFrame({**{k: pdf[k].iloc[0] for k in keys}, "time_s": pdf["ts_us"].iloc[window // 2] * 1e-6, "frequency_hz": np.fft.rfftfreq(window, 1 / rate), "power_db": db})
-
-    return seg.select(*keys, "segment", "ts_us", "_i", "_m", *axes).groupBy(*keys, "segment").applyInPandas(run, schema)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hann, n = np.hanning(window), window // 2 + 1
+        for b in batches:
+            if not len(b):
+                continue
+            rate = 1e6 / b["_m"].to_numpy(float)
+            power = np.zeros((len(b), n))
+            for i in range(len(axes)):
+                x = np.stack(b[f"_x{i}"].to_list()).astype(float)
+                p = np.abs(np.fft.rfft((x - x.mean(1, keepdims=True)) * hann)) ** 2 / (rate * (hann @ hann))[:, None]
+                p[:, 1:-1] *= 2
+                power += p
+            out = {k: np.repeat(b[k].to_numpy(), n) for k in keys}
+            db = 10 * np.log10(np.maximum(power, np.finfo(float).tiny))
+            yield pd.DataFrame(out | {"time_s": np.repeat(b["_at"].to_numpy() * 1e-6, n), "frequency_hz": (np.arange(n) / window * rate[:, None]).ravel(), "power_db": db.ravel()})
+
+    return rows.mapInPandas(run, schema)
 
 
 def unpack_fifo(packed: DataFrame, axes: list[str]) -> DataFrame:
