@@ -45,7 +45,7 @@ def run_state(spark: SparkSession, feed_path: str, checkpoint: str, out: str) ->
     try:
         state = digest_state(spark.readStream.schema(FEED).parquet(feed_path))
         kept = T.StructType([*state.schema.fields, T.StructField("batch", T.IntegerType())])
-        spark.createDataFrame([], kept).write.mode("overwrite").parquet(f"{out}/b=-1")  # so that a feed without rows has a state too
+        spark.range(0).select(*(F.lit(None).cast(f.dataType).alias(f.name) for f in kept.fields)).write.mode("overwrite").parquet(f"{out}/b=-1")  # so that a feed without rows has a state too
         query = state.writeStream.outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(changed).start()
         query.awaitTermination()
     finally:

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, keep, table
+from .common import broadcast_if_small, keep, table, trim
 from .components import components
 
 WORDS, THRESHOLD = 5, 0.8
@@ -21,9 +21,11 @@ ROWS = HASHES // BANDS
 #: Values compared between two looks at the posterior, and the posterior below which a pair is dropped.
 STEP, TOLERANCE = 32, 1e-6
 #: A block of a component holds about so many members and shingles; larger components are compared block by block.
-BLOCK_MEMBERS, BLOCK_SHINGLES = 512, 400_000
+BLOCK_MEMBERS, BLOCK_SHINGLES = 512, 200_000
+#: Sets of a block are compared as bits up to so many bytes, pair by pair beyond.
+BITS_BYTES = 24 << 20
 MAX_IDS_SENT = 1_000_000
-BATCH = 2 << 20
+BATCH = 1 << 20
 
 _TOKEN = np.zeros(256, np.uint8)
 _TOKEN[48:58] = _TOKEN[65:91] = _TOKEN[97:123] = _TOKEN[128:] = 1
@@ -116,6 +118,7 @@ def _sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     key = _mix(key * np.uint64(0x9E3779B97F4A7C15) + m[:, r])
                 bands.append(key.view(np.int64))
             yield pd.DataFrame({"doc_id": part["doc_id"], "node": [_node(s) if len(s) else None for s in sets], "bands": bands})
+        trim()
 
 
 def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -124,6 +127,7 @@ def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part, sets in _texts(batch):
             full = [(d, s) for d, s in zip(part["doc_id"], sets, strict=True) if len(s)]
             yield pd.DataFrame({"node": [_node(s) for _, s in full], "n": [len(s) for _, s in full], "shingles": [s.tobytes() for _, s in full], "minhash": [minhash(s, a, b).astype(np.uint16).tobytes() for _, s in full]}).astype({"n": "int64"})
+        trim()
 
 
 def least_matches(threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> dict[int, int]:
@@ -149,7 +153,7 @@ def linked_pairs(sigs: np.ndarray, sets: list[np.ndarray], left: np.ndarray, rig
     owner = np.repeat(np.arange(len(sets)), sizes)
     names, ids = np.unique(every, return_inverse=True)
     bits = None
-    if len(sets) * (len(names) + 7) // 8 <= 64 << 20 and len(sets) > 2:
+    if len(sets) * (len(names) + 7) // 8 <= BITS_BYTES and len(sets) > 2:
         bits = np.zeros((len(sets), -(-len(names) // 64)), np.uint64)
         np.bitwise_or.at(bits, (owner, ids >> 6), np.uint64(1) << (ids & 63).astype(np.uint64))
     for i in left:
@@ -164,7 +168,7 @@ def linked_pairs(sigs: np.ndarray, sets: list[np.ndarray], left: np.ndarray, rig
         if not len(js):
             continue
         if bits is not None:
-            both = np.bitwise_count(bits[js] & bits[i]).sum(1, dtype=np.int64)
+            both = np.concatenate([np.bitwise_count(bits[js[a : a + 64]] & bits[i]).sum(1, dtype=np.int64) for a in range(0, len(js), 64)])
         else:
             both = np.fromiter((len(np.intersect1d(sets[i], sets[j], assume_unique=True)) for j in js), np.int64, len(js))
         js = js[both >= THRESHOLD * (sizes[i] + sizes[js] - both) - 1e-9]
@@ -195,7 +199,10 @@ def _verify(pdf: pd.DataFrame) -> pd.DataFrame:
             root[max(x, y)] = min(x, y)
     top = [find(x) for x in range(len(pdf))]
     out = pd.DataFrame({"node": pdf["node"], "links": links, "root": pdf["node"].to_numpy()[top]})
-    return out[links > 0]
+    out = out[links > 0]
+    if len(pdf) > 64:
+        trim()
+    return out
 
 
 def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import table, trim
 
 #: Words of a passage, the instance of a bag.
 PASSAGE_WORDS = 100
@@ -174,13 +174,14 @@ def score_column(model: dict[str, np.ndarray], text: Column) -> Column:
             data, out, at = _bytes(s), [], 0
             while at < len(data):
                 to, size = at, 0
-                while to < len(data) and (to == at or size + len(data[to]) < 2 << 20):
+                while to < len(data) and (to == at or size + len(data[to]) < 1 << 20):
                     size += len(data[to])
                     to += 1
                 x, n = encode(data[at:to])
                 out.append(forward(model, x, n)["p"])
                 at = to
             yield pd.Series(np.concatenate(out).astype(np.float64))
+            trim()
 
     return score(text)
 

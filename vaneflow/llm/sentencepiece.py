@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,7 +26,9 @@ from .common import table, trim
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SAMPLES, ALPHA, SHIFT, BYTE_LOGP = 3, 1.0, 3.0, math.log(1e-6)
 SPACE = "▁"
-BATCH = 3 << 20
+BATCH = 3 << 18
+#: Arcs of lattices that are kept from batch to batch, about.
+MAX_ARCS = 2_000_000
 #: A unit of the lattice: no piece crosses from other characters to a space; nor, in most vocabularies, from letters to others or back.
 UNIT = re.compile(f"{SPACE}+[^{SPACE}]*")
 LETTER, OTHER = r"[^\W\d_]", rf"(?:[^\w{SPACE}]|[\d_])"
@@ -188,6 +191,17 @@ class Lattices:
                 self.bytes_of.append(b.astype(np.int32))
                 self.piece[at] = -len(self.bytes_of)
 
+    def extend(self, other: Lattices) -> None:
+        """Put another's lattices behind these; its units follow in their order."""
+        nodes, n_arcs = len(self.first) - 1, int(self.first[-1])
+        self.first = np.concatenate([self.first[:-1], other.first + n_arcs])
+        self.to = np.concatenate([self.to, np.where(other.to >= 0, other.to + nodes, -1).astype(np.int32)])
+        self.piece = np.concatenate([self.piece, np.where(other.piece < 0, other.piece - len(self.bytes_of), other.piece)])
+        self.root = np.concatenate([self.root, other.root + nodes])
+        for name in ("only", "local", "cum"):
+            setattr(self, name, np.concatenate([getattr(self, name), getattr(other, name)]))
+        self.bytes_of += other.bytes_of
+
     def walk(self, unit: np.ndarray, seed: np.ndarray, back: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Draw a path through each unit (ancestral sampling): arcs of all paths, and how many each has, both in the order of back.  seed: a counter for each."""
         state, who, steps, arcs = self.root[unit], np.arange(len(unit), dtype=np.int32), [], []
@@ -244,8 +258,7 @@ def top_k(lat: Lattices, draws: list[tuple[np.ndarray, ...]], k: int, seed: int)
     Best-first search over sets of segmentations.  A set is what agrees with a found path up to a piece and differs
     there; all sets of a path wait as one entry whose bound is the maximum of its sets' Gumbels, drawn below the bound
     of what it was split from.  Splitting a set off gives the path that has its maximum: draws[s] serves as the free
-    part of the s-th path.  draws: arcs, unit of each arc, log probability before each arc and after the last, and log
-    probability of any other arc there.  The bound of the next entry is the inclusion threshold.
+    part of the s-th path.  draws: arcs, unit of each arc, and log probability before each arc and after the last.  The bound of the next entry is the inclusion threshold.
     """
     count = itertools.count()
 
@@ -256,12 +269,15 @@ def top_k(lat: Lattices, draws: list[tuple[np.ndarray, ...]], k: int, seed: int)
         return (((x ^ (x >> 31)) >> 12) + 0.5) * 2.0**-52
 
     def entry(path: tuple[np.ndarray, ...], at: int, barred: list[int], bound: float) -> None:
-        arcs, _, before, other = path
+        arcs, _, before = path
         # sets that differ far down the path weigh nothing: beyond e**-60 of the first they vanish in the sum
         to = min(len(arcs), at + 256)
         while to < len(arcs) and before[to] > before[at] - 60.0:
             to = min(len(arcs), to + 256)
-        logq = before[at:to] + other[at:to]
+        local = np.minimum(lat.local[arcs[at:to]], -1e-7, dtype=np.float64)
+        logq = np.log(-np.expm1(local))
+        logq += before[at:to]
+        logq[lat.only[arcs[at:to]]] = -np.inf
         if barred:
             left = 1.0 - sum(math.exp(lat.local[a]) for a in (*barred, arcs[at]))
             logq[0] = before[at] + math.log(left) if left > 1e-7 else -np.inf
@@ -276,7 +292,7 @@ def top_k(lat: Lattices, draws: list[tuple[np.ndarray, ...]], k: int, seed: int)
         entry(path, 0, [], top)
     while heap and len(found) < k:
         bound, _, (path, at, barred, logq) = heapq.heappop(heap)
-        arcs, units, before, other = path
+        arcs, units, before = path
         bound = -bound
         share = np.exp(logq - logq.max()).cumsum()
         t = int(share.searchsorted(rnd() * share[-1], "right"))
@@ -298,17 +314,13 @@ def top_k(lat: Lattices, draws: list[tuple[np.ndarray, ...]], k: int, seed: int)
             while lat.cum[arc] <= r:
                 arc += 1
             new.append(arc)
-        f_arcs, f_units, f_before, f_other = draws[len(found)]
+        f_arcs, f_units, f_before = draws[len(found)]
         tail = int(f_units.searchsorted(units[t], "right"))
-        local = lat.local[new].astype(np.float64)
-        ahead = before[t] + local.cumsum()
-        with np.errstate(divide="ignore"):
-            own = np.where(lat.only[new], -np.inf, np.log(-np.expm1(np.minimum(local, -1e-12))))
+        ahead = before[t] + lat.local[new].cumsum(dtype=np.float64)
         path = (
             np.concatenate([arcs[:t], np.array(new, np.int32), f_arcs[tail:]]),
             np.concatenate([units[:t], np.full(len(new), units[t], np.int32), f_units[tail:]]),
             np.concatenate([before[: t + 1], ahead[:-1], f_before[tail:] + (ahead[-1] - f_before[tail])]),
-            np.concatenate([other[:t], own, f_other[tail:]]),
         )
         found.append((path[0], float(path[2][-1]), bound))
         entry(path, t, out, bound)
@@ -335,18 +347,41 @@ def decode(vocab: Vocabulary, ids: np.ndarray) -> str:
     return vocab.spell(ids).tobytes().decode("utf-8", "replace")[1:]
 
 
-def sample_texts(vocab: Vocabulary, texts: list[str | None], keys: list[int], k: int = SAMPLES) -> Iterator[list[tuple[np.ndarray, float, float, float]]]:
+class Known:
+    """Lattices of units met so far, started anew beyond MAX_ARCS."""
+
+    def __init__(self, vocab: Vocabulary):
+        self.vocab, self.ids, self.lattices = vocab, {}, None
+
+    def of(self, units: list[str]) -> tuple[Lattices, np.ndarray]:
+        """Lattices that hold these distinct units, and each one's number there."""
+        if self.lattices is not None and self.lattices.first[-1] > MAX_ARCS:
+            self.ids, self.lattices = {}, None
+        new = [u for u in units if u not in self.ids]
+        if new:
+            self.ids.update(zip(new, range(len(self.ids), len(self.ids) + len(new)), strict=True))
+            more = Lattices(self.vocab, new)
+            if self.lattices is None:
+                self.lattices = more
+            else:
+                self.lattices.extend(more)
+        return self.lattices, np.fromiter(map(self.ids.__getitem__, units), np.int32, len(units))
+
+
+def sample_texts(vocab: Vocabulary, texts: list[str | None], keys: list[int], k: int = SAMPLES, known: Known | None = None) -> Iterator[list[tuple[np.ndarray, float, float, float]]]:
     """For every text its samples: ids, log probability, perturbed log probability, log inclusion score.  Draws depend on the row's key alone."""
     rows = [vocab.unit.findall(normalise(t)) for t in texts]
     n = np.fromiter(map(len, rows), np.int64, len(rows))
-    coded = pa.array(list(itertools.chain.from_iterable(rows)), pa.string()).dictionary_encode()
-    unit = coded.indices.to_numpy()
     first = np.cumsum(n) - n
-    if not len(unit):
-        for _ in rows:
+    if not n.any():
+        for _ in n:
             yield [(np.zeros(0, np.int32), 0.0, 0.0, 0.0)]
         return
-    lat = Lattices(vocab, coded.dictionary.to_pylist())
+    coded = pa.array(list(itertools.chain.from_iterable(rows)), pa.string()).dictionary_encode()
+    lat, ids = (known or Known(vocab)).of(coded.dictionary.to_pylist())
+    unit = ids[coded.indices.to_numpy()]
+    n_rows = len(rows)
+    del rows
     seeds = _mix(np.array(keys, np.int64).view(np.uint64) * _GOLD + np.uint64(0x5EED))
     inside = (np.arange(len(unit)) - np.repeat(first, n)).astype(np.int32)
     draws = []
@@ -356,27 +391,24 @@ def sample_texts(vocab: Vocabulary, texts: list[str | None], keys: list[int], k:
     counter, unit = _mix(np.repeat(seeds, n) + inside.astype(np.uint64) * _GOLD)[by], unit[by]
     for s in range(k):
         arcs, m = lat.walk(unit, _mix(counter + np.uint64((s + 1) * 0x9E3779B97F4A7C15 & _ALL)), back)
-        local = lat.local[arcs].astype(np.float64)
-        before = np.concatenate([[0.0], local.cumsum()])
-        np.expm1(np.minimum(local, -1e-12, out=local), out=local)
-        np.log(np.negative(local, out=local), out=local)
-        local[lat.only[arcs]] = -np.inf
-        draws.append((arcs, np.repeat(inside, m), before, local, np.concatenate([[0], np.cumsum(m)])))
-    for i in range(len(rows)):
+        before = np.concatenate([[0.0], lat.local[arcs].cumsum(dtype=np.float64)])
+        draws.append((arcs, np.repeat(inside, m), before, np.concatenate([[0], np.cumsum(m)])))
+    for i in range(n_rows):
         a, b = int(first[i]), int(first[i] + n[i])
         if a == b:
             yield [(np.zeros(0, np.int32), 0.0, 0.0, 0.0)]
             continue
-        own = [(arcs[off[a] : off[b]], units[off[a] : off[b]], before[off[a] : off[b] + 1] - before[off[a]], other[off[a] : off[b]]) for arcs, units, before, other, off in draws]
+        own = [(arcs[off[a] : off[b]], units[off[a] : off[b]], before[off[a] : off[b] + 1] - before[off[a]]) for arcs, units, before, off in draws]
         yield [(lat.expand(p), *rest) for p, *rest in top_k(lat, own, k, int(seeds[i]))]
 
 
-def _batches(texts: list[str | None]) -> Iterator[tuple[int, int]]:
+def _batches(sizes: list[int]) -> Iterator[tuple[int, int]]:
+    """Rows of about BATCH together."""
     at = 0
-    while at < len(texts):
+    while at < len(sizes):
         to, size = at, 0
-        while to < len(texts) and (to == at or size + len(texts[to] or "") < BATCH):
-            size += len(texts[to] or "")
+        while to < len(sizes) and (to == at or size + sizes[to] < BATCH):
+            size += sizes[to]
             to += 1
         yield at, to
         at = to
@@ -401,12 +433,15 @@ def encode_documents(docs: DataFrame, k: int = SAMPLES, key: str = "doc_id", tex
     vocab = Vocabulary(model, alpha)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Known(vocab)
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            ids = batch.column(0).to_pylist()
+            sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_pylist()
             keys = [i if isinstance(i, int) else 0 if i is None else int.from_bytes(hashlib.sha256(i.encode()).digest()[:7]) for i in ids]
-            for a, b in _batches(texts):
+            for a, b in _batches(sizes):
                 out: list[tuple] = []
-                for doc, own, samples in zip(ids[a:b], texts[a:b], sample_texts(vocab, texts[a:b], keys[a:b], k), strict=True):
+                texts = batch.column(1).slice(a, b - a).to_pylist()
+                for doc, own, samples in zip(ids[a:b], texts, sample_texts(vocab, texts, keys[a:b], k, known), strict=True):
                     want = (" " + own.replace(SPACE, " ")).encode("utf-8", "surrogatepass") if own else b""
                     spelt, at = vocab.spell(np.concatenate([s[0] for s in samples])).tobytes(), 0
                     for rank, (pieces, phi, g, score) in enumerate(samples, 1):
@@ -415,7 +450,7 @@ def encode_documents(docs: DataFrame, k: int = SAMPLES, key: str = "doc_id", tex
                         out.append((doc, rank, len(pieces), phi, g, score, hashlib.sha256(pieces.tobytes()).hexdigest(), spelt[at:to] == want, pieces)[: len(fields)])
                         at = to
                 yield pa.RecordBatch.from_arrays([pa.array(list(x), f.type) for x, f in zip(zip(*out, strict=True), fields, strict=True)], schema=pa.schema(fields))
-                del out
+                del out, texts
                 trim()
 
     return docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, schema)

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import keep, table
+from .common import keep, table, trim
 
 SPAN, GRAM = 100, 16
 #: Gram starts in a string.
@@ -165,6 +165,7 @@ def _anchor_rows(buckets: int):
                 if n >= FLUSH:
                     yield from flush(xs, ids, hashes)
                     xs, ids, hashes, n = [], [], [], 0
+            trim()
         if n:
             yield from flush(xs, ids, hashes)
 
@@ -389,6 +390,7 @@ def _cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             edges = np.diff(np.concatenate([[0], gone.view(np.int8)]))
             out.append((k, len(text), int(gone.sum()), int((edges == 1).sum()), hashlib.sha256(rest).hexdigest(), rest))
         yield pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_bytes"])
+        trim()
 
 
 CUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_bytes binary"
@@ -409,8 +411,8 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     packed = rows.mapInPandas(_anchor_rows(buckets), PACKED).repartition(buckets, "bucket")
     judged = keep(packed.groupBy("bucket").applyInPandas(_judge, JUDGED), "anchors")
 
-    # the texts move once: both joins find them dealt by k
-    dealt = rows.repartition(buckets, "k")
+    # the texts move once: both joins find them dealt by their keys
+    dealt = rows.repartition(buckets, "k", "h")
     spot = F.collect_list(F.struct("kind", "lo", "n", "a", "g")).alias("spots")
     spots = judged.filter(F.col("kind") != RESOLVED).groupBy("k", "h").agg(spot)
     tuples = dealt.join(spots.withColumnsRenamed({"k": "_k", "h": "_h"}), (F.col("k") == F.col("_k")) & (F.col("h") == F.col("_h")), "left").filter("spots is not null").select("k", "h", "text", "spots")
