@@ -16,24 +16,23 @@ A, B = 1704500000.0, 1705500000.0
 
 def samples(spark, d):
     """Each user is a log of their own."""
-    return event_samples(spark, d).filter("multi_id < 20").withColumns({"topic": F.concat(F.lit("user"), F.col("multi_id").cast("string")), "multi_id": F.lit(0).cast("long")})
+    return event_samples(spark, d).withColumns({"topic": F.concat(F.lit("user"), F.col("multi_id").cast("string")), "multi_id": F.lit(0).cast("long")})
 
 
 def windows(spark):
     return spark.createDataFrame([("main", A, B, 0), ("bad", B, A, 1), ("late", 1706000000.0, 1706500000.0, 2)], "name string, start_s double, end_s double, position int")
 
 
-def per_user(spark, type_, **operands):
-    """The same check for every user, the user's signal where an operand begins with a dot."""
-    rows = []
-    for u in range(20):
-        row = dict.fromkeys(CHECKS.names) | {"check_id": f"{type_}_{u}", "type": type_} | {k: f"user{u}{v}" if isinstance(v, str) and v.startswith(".") else v for k, v in operands.items()}
-        rows.append(tuple(row[n] for n in CHECKS.names))
-    return spark.createDataFrame(rows, CHECKS)
+def per_user(spark, d, type_, **operands):
+    """The same check for every user with an id, the user's signal where an operand begins with a dot."""
+    u = F.col("user_id").cast("string")
+    of = {"check_id": F.concat(F.lit(f"{type_}_"), u), "type": F.lit(type_)} | {k: F.concat(F.lit("user"), u, F.lit(v)) if isinstance(v, str) and v.startswith(".") else F.lit(v) for k, v in operands.items()}
+    users = table(spark, d, "events").select("user_id").filter("user_id is not null").distinct()
+    return users.select(*(of.get(n, F.lit(None)).cast(CHECKS[n].dataType).alias(n) for n in CHECKS.names))
 
 
 def run(spark, d, type_, **operands):
-    return getattr(C, type_)(C.with_windows(per_user(spark, type_, **operands), windows(spark)), samples(spark, d)).select("check_id", "status", "actual")
+    return getattr(C, type_)(C.with_windows(per_user(spark, d, type_, **operands), windows(spark)), samples(spark, d)).select("check_id", "status", "actual")
 
 
 W = f"w AS (SELECT user_id AS u, event_type AS f, event_id AS seq, epoch_us(ts) AS us, value AS v FROM events WHERE user_id < 20 AND round(epoch_us(ts) / 1e6, 6) BETWEEN {A} AND {B}), u AS (SELECT CAST(unnest(range(20)) AS BIGINT) AS u)"
@@ -62,25 +61,25 @@ def coarse(spark, d):
 
 @query(f"{LAG}, g AS (SELECT u, coalesce(bool_or(p IS NOT NULL AND p <> v AND p = 0 AND v = 1), false) AS hit, count(*) FILTER (p IS NOT NULL AND p <> v) AS n FROM l GROUP BY u) SELECT 'transition_occurs_' || u AS check_id, {status('hit')} AS status, CAST(coalesce(n, 0) AS DOUBLE) AS actual FROM u LEFT JOIN g USING (u)")
 def transition_checks(spark, d):
-    c = C.with_windows(per_user(spark, "transition_occurs", signal=".click", from_value=0.0, to_value=1.0), windows(spark))
+    c = C.with_windows(per_user(spark, d, "transition_occurs", signal=".click", from_value=0.0, to_value=1.0), windows(spark))
     return C.transition_occurs(c, coarse(spark, d)).select("check_id", "status", "actual")
 
 
 @query(f"{LAG}, g AS (SELECT u, count(*) FILTER (p IS NOT NULL AND p <> v) AS n FROM l GROUP BY u) SELECT 'no_transition_' || u AS check_id, {status('n = 0')} AS status, CAST(coalesce(n, 0) AS DOUBLE) AS actual FROM u LEFT JOIN g USING (u)")
 def no_transition_checks(spark, d):
-    c = C.with_windows(per_user(spark, "no_transition", signal=".click"), windows(spark))
+    c = C.with_windows(per_user(spark, d, "no_transition", signal=".click"), windows(spark))
     return C.no_transition(c, coarse(spark, d)).select("check_id", "status", "actual")
 
 
 @query(f"{LAG}, g AS (SELECT u, bool_or(v = 2) AS a, bool_and(v = 2) AS b, count(*) FILTER (v = 2) AS n FROM q GROUP BY u) SELECT 'state_equals_' || u AS check_id, {status('a')} AS any_status, {status('b')} AS all_status, CAST(coalesce(n, 0) AS DOUBLE) AS actual FROM u LEFT JOIN g USING (u)")
 def state_equals_any_all(spark, d):
-    one = lambda mode: C.state_equals(C.with_windows(per_user(spark, "state_equals", signal=".click", value=2.0, mode=mode), windows(spark)), coarse(spark, d))
+    one = lambda mode: C.state_equals(C.with_windows(per_user(spark, d, "state_equals", signal=".click", value=2.0, mode=mode), windows(spark)), coarse(spark, d))
     return one("any").select("check_id", F.col("status").alias("any_status"), "actual").join(one("all").select("check_id", F.col("status").alias("all_status")), "check_id")
 
 
 @query(f"{LAG}, g AS (SELECT u, count(*) FILTER (v = 9) AS n FROM q GROUP BY u) SELECT 'state_not_equals_' || u AS check_id, {status('n = 0')} AS status, CAST(coalesce(n, 0) AS DOUBLE) AS actual FROM u LEFT JOIN g USING (u)")
 def state_not_equals_checks(spark, d):
-    c = C.with_windows(per_user(spark, "state_not_equals", signal=".click", value=9.0), windows(spark))
+    c = C.with_windows(per_user(spark, d, "state_not_equals", signal=".click", value=9.0), windows(spark))
     return C.state_not_equals(c, coarse(spark, d)).select("check_id", "status", "actual")
 
 
@@ -127,7 +126,7 @@ def parameter_checks(spark, d):
 
 @query(f"WITH {W}, g AS (SELECT u, max(abs(v - 900.0)) AS m FROM w WHERE f = 'click' GROUP BY u) SELECT 'tracks_parameter_value_' || u AS check_id, {status('m <= 899')} AS status, round(m, 6) AS actual FROM u LEFT JOIN g USING (u)")
 def tracks_parameter(spark, d):
-    c = C.with_windows(per_user(spark, "tracks_parameter_value", signal=".click", parameter="P_0", max_error=899.0), windows(spark))
+    c = C.with_windows(per_user(spark, d, "tracks_parameter_value", signal=".click", parameter="P_0", max_error=899.0), windows(spark))
     return C.tracks_parameter_value(c, samples(spark, d), spark.createDataFrame([("P_0", 900.0)], "name string, v double")).select("check_id", "status", "actual")
 
 
@@ -203,7 +202,7 @@ def verdicts_combined(spark, d):
 @query()
 def verification_pipeline(spark, d):
     """Checks of every user as one mechanism each, from windows to verdict and confidence."""
-    kinds = [per_user(spark, "threshold", signal=".click", metric="mean", op=">=", value=45.0), per_user(spark, "monotonic_change", signal=".view"), per_user(spark, "topic_field_present", signal=".click")]
+    kinds = [per_user(spark, d, "threshold", signal=".click", metric="mean", op=">=", value=45.0), per_user(spark, d, "monotonic_change", signal=".view"), per_user(spark, d, "topic_field_present", signal=".click")]
     c = kinds[0].unionByName(kinds[1]).unionByName(kinds[2])
     c = c.withColumns({"mechanism": F.regexp_extract("check_id", r"(\d+)$", 1), "branch_id": F.lit("b"), "window": F.lit("main")})
     t = samples(spark, d).select("topic", "field").distinct()
