@@ -247,7 +247,7 @@ def messages_union_levels(spark, d):
 
 @query("SELECT message, count(*) AS n FROM (SELECT event_type AS message FROM events WHERE event_id % 10 <> 0 AND event_type IN ('error', 'view') UNION ALL SELECT printf('dropout of %d ms', user_id) FROM events WHERE event_id < 50) GROUP BY ALL")
 def warnings_with_dropouts(spark, d):
-    drops = table(spark, d, "events").filter("event_id < 50").select(micros(F.col("ts")).alias("ts_us"), F.col("user_id").alias("duration_ms"))
+    drops = table(spark, d, "events").select(micros(F.col("ts")).alias("ts_us"), F.col("user_id").alias("duration_ms"))
     return P.warnings(log_messages(spark, d), drops).groupBy("message").agg(F.count("*").alias("n"))
 
 
@@ -279,7 +279,7 @@ def topic_rows(spark, d):
 
 @query("""SELECT coalesce(s.k, c.k) AS servo, kind, channels FROM (SELECT CAST(s_suppkey AS BIGINT) AS k, CAST(s_nationkey AS VARCHAR) AS kind FROM supplier WHERE s_suppkey < 60) s FULL JOIN (SELECT c_custkey % 80 AS k, string_agg(c_custkey, ',' ORDER BY c_custkey) AS channels FROM customer GROUP BY ALL) c ON s.k = c.k""")
 def actuator_mapping(spark, d):
-    s = table(spark, d, "supplier").filter("s_suppkey < 60").select(F.col("s_suppkey").alias("servo"), F.col("s_nationkey").cast("string").alias("kind"))
+    s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("servo"), F.col("s_nationkey").cast("string").alias("kind"))
     o = table(spark, d, "customer").select((F.col("c_custkey") % 80).alias("servo"), F.col("c_custkey").alias("channel"), F.col("c_name").alias("function"))
     return P.actuator_mapping(s, o).select("servo", "kind", F.array_join("channels", ",").alias("channels"))
 
@@ -304,14 +304,13 @@ def indexed_fields(spark, d):
 
 @query("SELECT user_id AS log_id, CASE WHEN event_type = 'click' AND NOT bool_or(event_type = 'view') OVER (PARTITION BY user_id) THEN 'view' WHEN event_type = 'error' THEN 'fault' ELSE event_type END AS field, CAST(1 AS BIGINT) AS n FROM events WHERE event_id < 600")
 def renamed_fields(spark, d):
-    e = event_samples(spark, d).filter("seq < 600").select(F.col("multi_id").alias("log_id"), "topic", "field", "seq")
+    e = event_samples(spark, d).select(F.col("multi_id").alias("log_id"), "topic", "field", "seq")
     return P.renamed(e, {("events", "click"): "view", ("events", "error"): "fault"}).select("log_id", "field", F.lit(1).cast("long").alias("n"))
 
 
 @query("WITH h AS (SELECT DISTINCT l_partkey AS dependency, l_orderkey AS input FROM lineitem WHERE l_orderkey < 300) SELECT dependency, min(input) AS input FROM h GROUP BY dependency HAVING count(*) = 1")
 def only_matches(spark, d):
     li = table(spark, d, "lineitem")
-    li = li.filter("l_orderkey < 300")
     return P.only_matches(li.select(F.col("l_partkey").alias("dependency")).distinct(), li.groupBy(F.col("l_orderkey").alias("input")).agg(F.collect_set("l_partkey").alias("provenance")))
 
 

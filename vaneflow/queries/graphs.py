@@ -22,7 +22,7 @@ ED = "e AS (SELECT 'c' || c_custkey AS src, 'n' || c_nationkey AS dst FROM custo
 
 
 def seeds(spark, d):
-    return table(spark, d, "customer").filter("c_custkey < 200").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("seed")).withColumn("node", F.col("seed"))
+    return table(spark, d, "customer").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("seed")).withColumn("node", F.col("seed"))
 
 
 @query(f"WITH RECURSIVE {ED}, r(seed, node, depth) AS (SELECT 'c' || c_custkey, 'c' || c_custkey, 0 FROM customer WHERE c_custkey < 200 UNION SELECT r.seed, e.dst, r.depth + 1 FROM r JOIN e ON r.node = e.src) SELECT seed, node, min(depth) AS depth FROM r GROUP BY ALL")
@@ -105,5 +105,5 @@ def name_resolution(spark, d):
 x AS (SELECT DISTINCT w.f AS a, r.f AS b FROM w JOIN r ON w.s = r.s AND w.f <> r.f), e AS (SELECT a, b FROM x UNION SELECT b, a FROM x), k AS (SELECT 7 AS f, 0 AS d UNION SELECT b, 1 FROM e WHERE a = 7)
 SELECT w.f AS file, s AS symbol, CAST(min(d) AS INT) AS distance, max(n) AS n_writes FROM w JOIN k ON w.f = k.f GROUP BY ALL""")
 def source_survey(spark, d):
-    li = table(spark, d, "lineitem").filter("l_orderkey < 500").select(F.col("l_orderkey").alias("file"), F.col("l_partkey").alias("symbol"), "l_returnflag")
+    li = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("file"), F.col("l_partkey").alias("symbol"), "l_returnflag")
     return graph.survey(li.drop("l_returnflag"), li.filter("l_returnflag = 'R'").drop("l_returnflag").distinct(), spark.createDataFrame([(7,)], "file long"))
