@@ -207,3 +207,28 @@ def test_stream_of_changes(spark, tmp_path):
     spark.createDataFrame([(1, "x", 3, 40, 2.0), (1, "x", 4, 50, 3.0)], rows.schema).write.mode("append").parquet(f"file://{tmp_path}/in")
     run()
     assert [(r.ts_us, r.event) for r in out] == [(10, "initial_value"), (30, "value_changed"), (50, "value_changed")]
+
+
+def test_verify_runs_derived_expressions_and_parameter_operands(spark, log):
+    base = {"window": "w2", "mechanism": "m", "branch_id": "b"}
+    rows = [
+        {"check_id": "d1", "type": "derived_expression", "expression": "sp - alt", "op": ">=", "value": 10.0, "variables": {"sp": "tecs_status.altitude_sp", "alt": "vehicle_air_data.baro_alt_meter"}},
+        {"check_id": "d2", "type": "derived_expression", "expression": "sp - alt", "op": "<=", "value": 5.0, "mode": "all", "variables": {"sp": "tecs_status.altitude_sp", "alt": "vehicle_air_data.baro_alt_meter"}},
+        {"check_id": "d3", "type": "derived_expression", "expression": "x + P_ALT", "op": ">", "value": 110.0, "variables": {"x": "vehicle_air_data.baro_alt_meter"}},
+        {"check_id": "d4", "type": "derived_expression", "expression": "x + P_NONE", "op": ">", "value": 110.0, "variables": {"x": "vehicle_air_data.baro_alt_meter"}},
+        {"check_id": "d5", "type": "derived_expression", "expression": "p * 2", "expected_expression": "q", "variables": {"p": "P_ALT", "q": "40"}},
+        {"check_id": "d6", "type": "derived_expression", "expression": "open(", "variables": {}},
+        {"check_id": "d7", "type": "derived_expression", "expression": "sp - alt", "op": ">=", "value_param": "P_ALT", "variables": {"sp": "tecs_status.altitude_sp", "alt": "vehicle_air_data.baro_alt_meter"}},
+        {"check_id": "t1", "type": "threshold", "signal": "tecs_status.throttle_sp", "op": "<=", "value_param": "P_ALT"},
+        {"check_id": "t2", "type": "threshold", "signal": "tecs_status.throttle_sp", "op": "outside", "lower": 1.0, "upper_param": "P_ALT"},
+        {"check_id": "t3", "type": "threshold", "signal": "tecs_status.throttle_sp", "op": "outside", "lower": 1.0, "upper_param": "P_NONE"},
+    ]
+    c = table(spark, *(base | r for r in rows)).withColumns({"mechanism": F.col("check_id"), "branch_id": F.lit("b")})
+    w = spark.createDataFrame([("w2", 12.0, 15.0, 0)], "name string, start_s double, end_s double, position int")
+    parameters_ = spark.createDataFrame([("P_ALT", 20.0)], "name string, v double")
+    topics = log.select("topic", "field").distinct()
+    got = {r.check_id: (r.status, r.actual) for r in checks.evaluate(c, w, log, parameters_, topics).collect()}
+    assert got == {"d1": ("passed", 10.0), "d2": ("failed", 10.0), "d3": ("passed", 120.0), "d4": ("unresolved", None), "d5": ("passed", 40.0), "d6": ("unresolved", None), "d7": ("failed", 10.0), "t1": ("passed", 0.92), "t2": ("passed", 0.92), "t3": ("unresolved", 0.92)}
+    verdicts = {r.mechanism: r.verdict for r in verification.verify(c, w, log, parameters_, topics).collect()}
+    want = {"passed": "supported", "failed": "contradicted", "unresolved": "unresolved"}
+    assert verdicts == {k: want[v[0]] for k, v in got.items()}

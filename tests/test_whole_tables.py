@@ -30,7 +30,7 @@ def test_checks_of_every_user(spark, events_dir):
     assert got == {f"tracks_setpoint_{u}": round(70 - (1 + 2 * 2 / 3), 6) if n % 2 == 0 else round(20 - (1 + 2 * 2 / 3), 6) for n, u in enumerate(USERS)}
 
 
-@pytest.mark.parametrize("name", ["threshold_outside", "transition_checks", "no_transition_checks", "state_equals_any_all", "state_not_equals_checks", "diverges_from_setpoint", "monotonic_delta", "same_direction", "tracks_parameter"])
+@pytest.mark.parametrize("name", ["threshold_outside", "transition_checks", "no_transition_checks", "state_equals_any_all", "state_not_equals_checks", "diverges_from_setpoint", "monotonic_delta", "same_direction", "tracks_parameter", "derived_expression_check"])
 def test_a_check_for_each_user(spark, events_dir, name):
     ids = sorted(int(r.check_id.rsplit("_", 1)[1]) for r in QUERIES[name](spark, events_dir).collect())
     assert ids == USERS

@@ -6,14 +6,15 @@ Every evaluator takes the checks of its type joined to what they look at, and re
 
 from __future__ import annotations
 
+import ast
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expressions import UnsupportedExpression, compile_expression, names_of, split_top
+from ..functions.expressions import CONSTANTS, UnsupportedExpression, compile_expression, lower_source, names_of, parse, split_top, with_aliases
 from ..functions.scalar import compare_by, field_present, finite, literal_key, parse_signal, seconds
-from ..schema import ORDER
+from ..schema import CHECKS, ORDER
 from . import asof, series
 
 RESULT = ["check_id", "type", "status", "actual"]
@@ -76,7 +77,7 @@ def threshold(checks: DataFrame, samples: DataFrame) -> DataFrame:
     metric = F.coalesce("metric", F.lit("mean"))
     actual = F.round(reduce(lambda acc, kv: F.when(metric == kv[0], kv[1]).otherwise(acc), values.items(), F.lit(None).cast("double")), 6)
     op = F.coalesce("op", F.lit(">="))
-    inside = actual.between(F.col("lower"), F.col("upper"))
+    inside = F.when(F.col("lower").isNotNull() & F.col("upper").isNotNull(), actual.between(F.col("lower"), F.col("upper")))
     passed = F.when(F.col("_n") > 0, F.when(op == "between", inside).when(op == "outside", ~inside).otherwise(compare_by(op, actual, F.col("value"))))
     return _result(d, passed, actual)
 
@@ -197,49 +198,93 @@ def required_signals(signals: DataFrame, topics: DataFrame) -> DataFrame:
 
 
 def derived_expression(check: dict, samples: DataFrame, parameters: dict[str, float], variables: dict[str, str], window: tuple[float, float]) -> DataFrame:
-    """One check whose expression runs over signals: all at the times of the first one, the others interpolated.
+    """One check of derived_expressions(): its variables and window given apart."""
+    spark = samples.sparkSession
+    row = check | {"type": "derived_expression", "variables": variables}
+    one = spark.createDataFrame([tuple(row.get(n) for n in CHECKS.names)], CHECKS).withColumns({"start_s": F.lit(window[0]), "end_s": F.lit(window[1])})
+    return derived_expressions(one, samples, spark.createDataFrame(list(parameters.items()), "name string, v double"))
+
 
-    variables: (topic.field) signals by name.  Any or all results are to hold, alone or compared to a value or a second
-    expression.  What can't be compiled, or has an unknown name or value, is unresolved.
+def derived_expressions(checks: DataFrame, samples: DataFrame, parameters: DataFrame) -> DataFrame:
+    """Checks whose expressions run over signals: all at the times of the first one named, the others interpolated.
+
+    `variables` says what a name is: a parameter, a number or a signal; a name without an entry is a parameter.  Any or
+    all results are to hold, alone or compared to a value or a second expression; without signals there is one result.
+    What can't be compiled, or has an unknown name or value, is unresolved; names of a choice need be known only where
+    it takes them.  Each distinct expression is a compiled column, collected as declared text; checks stay rows.
     """
-    spark = samples.sparkSession
-    none = spark.createDataFrame([(check["check_id"], "derived_expression", "unresolved", None)], "check_id string, type string, status string, actual double")
-    text, expected = check["expression"], check.get("expected_expression") or ""
-    used = [n for n in variables if any(n == x for t in (text, expected) if t for x in _names(t))]
-    if not used or any(n not in variables and n not in parameters for t in (text, expected) if t for n in _names(t)):
-        return none
-    own = series.in_window(series.first_instance(samples), *window).withColumn("_f", F.concat_ws(".", "topic", "field")).select("log_id", F.col("_f").alias("field"), *ORDER, _x().alias("v")).filter("v is not null")
-    rows = asof.onto_first(own, variables[used[0]], {variables[n]: n for n in used[1:]}, ["log_id"], used[0])
-    env: dict = {n: F.col(n) for n in used} | parameters
-    try:
-        actual = compile_expression(text, env)
-        other = compile_expression(expected, env) if expected else F.lit(check["value"]).cast("double") if check.get("value") is not None else None
-    except UnsupportedExpression:
-        return none
-    op, tol = check.get("op") or ("==" if expected else None), check.get("max_error")
-    one = actual.cast("boolean") if other is None or op is None else compare_by(F.lit(op), actual.cast("double"), other.cast("double"), F.lit(tol) if tol is not None else None)
-    agg = rows.agg(F.count("*").alias("_n"), F.count_if(one.isNull()).alias("_bad"), F.bool_and(one).alias("_all"), F.bool_or(one).alias("_any"), F.max(actual.cast("double")).alias("_max"))
-    passed = F.when((F.col("_n") > 0) & (F.col("_bad") == 0), F.col("_all") if check.get("mode") == "all" else F.col("_any"))
-    return agg.select(F.lit(check["check_id"]).alias("check_id"), F.lit("derived_expression").alias("type"), _status(passed).alias("status"), F.round("_max", 6).alias("actual"))
-
-
-def _names(text: str) -> list[str]:
-    try:
-        return names_of(text)
-    except UnsupportedExpression:
-        return []
+    spark = checks.sparkSession
+    c = checks.withColumn("_expected", F.coalesce("expected_expression", F.lit("")))
+    texts = c.groupBy("expression", "_expected").agg(F.array_distinct(F.flatten(F.collect_list(F.map_keys("variables"))))).collect()
+    if not texts:
+        return _result(checks, F.lit(None).cast("boolean"), F.lit(None))
+    table, actual, other = [], F.lit(None).cast("double"), F.lit(None).cast("double")
+    truth = F.lit(None).cast("boolean")
+    for i, (text, expected, keys) in enumerate(texts):
+        try:
+            names, choice = _names(text or "", expected, sorted(k for k in keys if not k.isidentifier()))
+            at = {n: F.try_element_at("_env", F.lit(p)) for p, n in enumerate(names)}
+            env = {n: F.coalesce(v, F.lit(CONSTANTS[n])) if n in CONSTANTS else v for n, v in at.items()}
+            x, y = compile_expression(text or "", env), compile_expression(expected, env).cast("double") if expected else None
+        except UnsupportedExpression:
+            continue
+        hit = F.col("_i") == i
+        actual, truth, other = F.when(hit, x.cast("double")).otherwise(actual), F.when(hit, x.cast("boolean")).otherwise(truth), other if y is None else F.when(hit, y).otherwise(other)
+        table.append((i, text, expected, names, [] if choice else [p for p, n in enumerate(names) if n not in CONSTANTS]))
+    ids = spark.createDataFrame(table, "_i int, _text string, _other string, _names array<string>, _required array<int>")
+    c = c.join(F.broadcast(ids), (F.col("expression") == F.col("_text")) & (F.col("_expected") == F.col("_other")), "left")  # the declared expressions
+
+    named = c.select("check_id", "start_s", "end_s", "variables", F.posexplode("_names").alias("_pos", "_name")).withColumn("signal", F.try_element_at("variables", F.col("_name")))
+    p = parameters.select(F.col("name").alias("_key"), finite(F.col("v")).alias("_p"))
+    named = named.withColumn("_key", F.coalesce("signal", "_name")).join(p, "_key", "left").withColumn("_p", F.coalesce("_p", finite(F.col("signal").try_cast("double"))))
+    scalars = named.filter("_p is not null").groupBy("check_id").agg(F.map_from_entries(F.collect_list(F.struct("_pos", "_p"))).alias("_scalars"))
+    signals = named.filter("_p is null and signal is not null").select(F.struct("check_id", "_pos").alias("check_id"), "signal", "start_s", "end_s")
+    first = F.min("_pos").over(Window.partitionBy("check_id"))
+    own = samples_of(signals, samples).select("check_id.*", *ORDER, _x().alias("v")).filter("v is not null").withColumn("_own", (F.col("_pos") == first).cast("int"))
+    # one pass over a check's series: looking back and ahead, other series' rows come before the first one's of their time
+    back = Window.partitionBy("check_id").orderBy("ts_us", "_own", "seq").rowsBetween(Window.unboundedPreceding, 0)
+    ahead = Window.partitionBy("check_id").orderBy(F.desc("ts_us"), "_own", F.desc("seq")).rowsBetween(Window.unboundedPreceding, 0)
+    places = range(max((len(t[3]) for t in table), default=0))
+    of = lambda p: F.when(F.col("_pos") == p, F.struct(F.col("ts_us").alias("t"), "v"))
+    rows = own.withColumns({f"_b{p}": F.last(of(p), True).over(back) for p in places} | {f"_a{p}": F.last(of(p), True).over(ahead) for p in places}).filter("_own = 1")
+    for p in places:
+        near = rows.withColumns({"prev_us": F.col(f"_b{p}.t"), "prev_v": F.col(f"_b{p}.v"), "next_us": F.col(f"_a{p}.t"), "next_v": F.col(f"_a{p}.v")})
+        rows = near.withColumn(f"_y{p}", F.when(F.col("_pos") == p, F.col("v")).otherwise(asof.value_at("linear")))
+    known = F.filter(F.array(*(F.struct(F.lit(p).alias("p"), F.col(f"_y{p}").alias("y")) for p in places)), lambda e: e["y"].isNotNull()) if places else F.array().cast("array<struct<p:int,y:double>>")
+    rows = rows.select("check_id", F.map_from_entries(known).alias("_series"))
+    empty = F.create_map().cast("map<int,double>")
+    d = c.join(scalars, "check_id", "left").join(rows, "check_id", "left").withColumn("_env", F.map_concat(F.coalesce("_scalars", empty), F.coalesce("_series", empty)))
+    d = d.withColumns({"_actual": actual, "_truth": truth, "_other": other})
+
+    literal = F.coalesce("value", F.col("value_text").try_cast("double"), F.col("value_text").try_cast("boolean").cast("double"))
+    compared = F.when(F.col("_expected") != "", compare_by(F.coalesce("op", F.lit("==")), F.col("_actual"), F.col("_other"), F.col("max_error"))).when(F.coalesce("op", F.lit("")) != "", compare_by(F.col("op"), F.col("_actual"), literal)).otherwise(F.col("_truth"))
+    known = F.col("start_s").isNotNull() & (F.size(F.array_except("_required", F.map_keys("_env"))) == 0)
+    agg = d.withColumn("_one", F.when(known, compared)).groupBy("check_id").agg(F.any_value("type").alias("type"), F.any_value("mode").alias("mode"), F.count_if(F.col("_one").isNull()).alias("_bad"), F.bool_and("_one").alias("_all"), F.bool_or("_one").alias("_any"), F.max("_actual").alias("_max"))
+    return _result(agg, F.when(F.col("_bad") == 0, F.when(F.col("mode") == "all", F.col("_all")).otherwise(F.col("_any"))), F.round("_max", 6))
+
+
+def _names(text: str, expected: str, dotted: list[str]) -> tuple[list[str], bool]:
+    """Names of both expressions in the order in which they occur, and whether either holds a choice."""
+    names, choice = [], False
+    for t in filter(None, (text, expected)):
+        plain, table = with_aliases(lower_source(t), dotted)
+        names += [table.get(n, n) for n in names_of(plain)]
+        choice = choice or any(isinstance(n, ast.IfExp) for n in ast.walk(parse(plain)))
+    return list(dict.fromkeys(names)), choice
 
 
 def evaluate(checks: DataFrame, windows: DataFrame, samples: DataFrame, parameters: DataFrame, topics: DataFrame) -> DataFrame:
     """All checks of a table: a union of one plan for each type.  Unknown types are unresolved."""
-    c = with_windows(checks, windows)
-    of = lambda t: c.filter(F.col("type") == t)
+    lacking = {f.name: F.lit(None).cast(f.dataType) for f in CHECKS if f.name not in checks.columns}
+    c = with_windows(checks.withColumns(lacking) if lacking else checks, windows)
+    by_name = {"threshold": ("value", "lower", "upper"), "derived_expression": ("value",)}  # operands that may be a parameter's name
+    of = lambda t: with_parameters(c.filter(F.col("type") == t), parameters, *by_name.get(t, ()))
     by_samples = {"threshold": threshold, "transition_occurs": transition_occurs, "no_transition": no_transition, "state_equals": state_equals, "state_not_equals": state_not_equals, "tracks_setpoint": tracks_setpoint, "diverges_from_setpoint": diverges_from_setpoint, "monotonic_change": monotonic_change, "same_direction_change": same_direction_change}
-    parts = [f(of(t), samples) for t, f in by_samples.items()]
-    parts += [f(of(t), parameters) for t, f in {"parameter_equals": parameter_equals, "branch_parameter_satisfied": branch_parameter_satisfied}.items()]
-    parts += [tracks_parameter_value(of("tracks_parameter_value"), samples, parameters), topic_field_present(of("topic_field_present"), topics)]
-    known = [*by_samples, "parameter_equals", "branch_parameter_satisfied", "tracks_parameter_value", "topic_field_present"]
-    parts.append(c.filter(~F.col("type").isin(known)).select("check_id", "type", F.lit("unresolved").alias("status"), F.lit(None).cast("double").alias("actual")))
+    runs = {t: lambda d, f=f: f(d, samples) for t, f in by_samples.items()} | {t: lambda d, f=f: f(d, parameters) for t, f in {"parameter_equals": parameter_equals, "branch_parameter_satisfied": branch_parameter_satisfied}.items()}
+    runs |= {"tracks_parameter_value": lambda d: tracks_parameter_value(d, samples, parameters), "topic_field_present": lambda d: topic_field_present(d, topics), "derived_expression": lambda d: derived_expressions(d, samples, parameters)}
+    asked = {r[0] for r in checks.filter(F.col("type").isin(*runs)).select("type").distinct().collect()}  # types without checks are not planned
+    parts = [f(of(t)) for t, f in runs.items() if t in asked]
+    parts.append(c.filter(~F.coalesce("type", F.lit("")).isin(*runs)).select("check_id", "type", F.lit("unresolved").alias("status"), F.lit(None).cast("double").alias("actual")))
     return reduce(DataFrame.unionByName, parts)
 
 

@@ -141,8 +141,11 @@ def field_present_checks(spark, d):
 y AS (SELECT v, coalesce(CASE WHEN pt = nt THEN pv ELSE pv + (us - pt) / CAST(nt - pt AS DOUBLE) * (nv - pv) END, pv, nv) AS y FROM n)
 SELECT 'd' AS check_id, CASE WHEN bool_or(greatest(v, y) + 20 >= 110) THEN 'passed' ELSE 'failed' END AS status, round(max(greatest(v, y) + 20), 6) AS actual FROM y""")
 def derived_expression_check(spark, d):
-    check = {"check_id": "d", "expression": "max(x, y) + RTL_ALT", "op": ">=", "value": 110.0, "mode": "any"}
-    return C.derived_expression(check, samples(spark, d), {"RTL_ALT": 20.0}, {"x": "user3.click", "y": "user3.view"}, (A, B)).select("check_id", "status", "actual")
+    """The expression over every user's signals, a check each."""
+    of = lambda field: F.regexp_replace("signal", "click$", field)
+    c = per_user(spark, d, "derived_expression", signal=".click", expression="max(x, y) + RTL_ALT", op=">=", value=110.0, mode="any", window="main")
+    c = c.withColumn("variables", F.create_map(F.lit("x"), of("click"), F.lit("y"), of("view")))
+    return C.derived_expressions(C.with_windows(c, windows(spark)), samples(spark, d), spark.createDataFrame([("RTL_ALT", 20.0)], "name string, v double")).select("check_id", "status", "actual")
 
 
 # ---- verdicts, over lines of orders: an order is a mechanism, its lines' suppliers' parities branches, lines checks

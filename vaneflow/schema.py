@@ -18,6 +18,8 @@ INTERVALS = T.StructType([T.StructField("start_s", T.DoubleType()), T.StructFiel
 CHECKS = T.StructType(
     [T.StructField(n, T.StringType()) for n in ("check_id", "type", "window", "signal", "parameter", "first", "second", "actual", "setpoint", "metric", "op", "mode", "direction", "value_text", "source_predicate", "expression", "expected_expression", "supports", "contradicts", "role", "branch_id", "category")]
     + [T.StructField(n, T.DoubleType()) for n in ("value", "lower", "upper", "from_value", "to_value", "max_error", "min_error", "min_delta")]
+    + [T.StructField(n, T.StringType()) for n in ("value_param", "lower_param", "upper_param")]  # operands given by a parameter's name
+    + [T.StructField("variables", T.MapType(T.StringType(), T.StringType()))]  # signal, parameter or literal of each name of an expression
 )
 
 
