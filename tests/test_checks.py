@@ -232,3 +232,12 @@ def test_verify_runs_derived_expressions_and_parameter_operands(spark, log):
     verdicts = {r.mechanism: r.verdict for r in verification.verify(c, w, log, parameters_, topics).collect()}
     want = {"passed": "supported", "failed": "contradicted", "unresolved": "unresolved"}
     assert verdicts == {k: want[v[0]] for k, v in got.items()}
+
+
+def test_temperature_and_altitude_keep_every_topic(spark):
+    s = samples(spark, "sensor_baro", temperature=([1], [20])).unionByName(samples(spark, "battery_status", temperature=([1], [30])))
+    s = s.unionByName(samples(spark, "vehicle_gps_position", alt=([1], [1000]))).unionByName(samples(spark, "vehicle_air_data", baro_alt_meter=([1], [2])))
+    s = s.unionByName(samples(spark, "airspeed", air_temperature_celsius=([1], [9]))).unionByName(samples(spark, "esc_status", **{"esc[0].esc_temperature": ([1], [40]), "esc[1].esc_temperature": ([1], [0])}))
+    s = s.unionByName(samples(spark, "vehicle_global_position", alt=([1], [3]))).unionByName(samples(spark, "position_setpoint_triplet", **{"current.alt": ([1], [4])}))
+    got = {(r.plot_id, r.topic) for r in plots.points(s).collect()}
+    assert got == {("temperature", "sensor_baro"), ("temperature", "battery_status"), ("temperature", "airspeed"), ("temperature", "esc_status"), ("altitude", "vehicle_gps_position"), ("altitude", "vehicle_air_data"), ("altitude", "vehicle_global_position"), ("altitude", "position_setpoint_triplet")}

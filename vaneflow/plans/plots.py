@@ -17,7 +17,7 @@ MAX_POINTS = 800
 
 @dataclass(frozen=True)
 class Plot:
-    """A plot: the first topic that is logged, its fields, and what is kept of them.
+    """A plot: the first topic that is logged, or with union all of them, the fields, and what is kept of them.
 
     any_nonzero: only fields with values beyond a threshold; changing: only fields that change; steps: keep every change.
     """
@@ -29,12 +29,13 @@ class Plot:
     any_nonzero: float | None = None
     changing: bool = False
     steps: bool = False
+    union: bool = False
     bands: tuple[float, ...] = field(default=())
 
 
 # Topics and fields of the log format's messages.
 PLOTS = [
-    Plot("altitude", "Altitude", ("vehicle_gps_position", "vehicle_air_data"), ("alt", "baro_alt_meter")),
+    Plot("altitude", "Altitude", ("vehicle_gps_position", "vehicle_air_data", "vehicle_global_position", "position_setpoint_triplet"), ("alt", "baro_alt_meter", "current.alt"), union=True),
     Plot("roll", "Roll angle", ("vehicle_attitude",), ("roll",)),
     Plot("pitch", "Pitch angle", ("vehicle_attitude",), ("pitch",)),
     Plot("yaw", "Yaw angle", ("vehicle_attitude",), ("yaw",)),
@@ -47,7 +48,8 @@ PLOTS = [
     Plot("raw_rc", "Raw radio channels", ("input_rc",), tuple(f"values[{i}]" for i in range(18))),
     Plot("vibration", "Vibration", ("vehicle_imu_status", "estimator_status"), ("accel_vibration_metric", "vibe[2]"), bands=(4.905, 9.81)),
     Plot("distance", "Distance sensor", ("distance_sensor",), ("current_distance", "variance")),
-    Plot("temperature", "Temperature", ("sensor_baro", "sensor_accel", "battery_status"), ("temperature",)),
+    Plot("temperature", "Temperature", ("sensor_baro", "sensor_accel", "airspeed", "battery_status"), ("temperature", "air_temperature_celsius"), union=True),
+    Plot("temperature", "Temperature", ("esc_status",), tuple(f"esc[{i}].esc_temperature" for i in range(8)), any_nonzero=0.001, union=True),
     Plot("battery", "Power", ("battery_status",), ("voltage_v", "current_a", "discharged_mah", "remaining")),
     Plot("estimator_flags", "Estimator flags", ("estimator_status_flags", "estimator_status"), ("filter_fault_flags", "innovation_check_flags", "solution_status_flags"), any_nonzero=0.0, steps=True),
     Plot("failsafe_flags", "Failsafe flags", ("failsafe_flags", "vehicle_status_flags"), ("battery_warning", "manual_control_signal_lost", "gcs_connection_lost", "fd_critical_failure"), any_nonzero=0.0, steps=True),
@@ -59,13 +61,13 @@ PLOTS = [
 def points(samples: DataFrame, plots: list[Plot] = PLOTS, start_s: float | None = None, end_s: float | None = None, max_points: int = MAX_POINTS) -> DataFrame:
     """(log_id, plot_id, topic, multi_id, field, unit, time_s, value) of all plots in one pass over the samples that they need."""
     spark = samples.sparkSession
-    spec = [(p.id, t, i, f, p.any_nonzero, p.changing, p.steps) for p in plots for i, t in enumerate(p.topics) for f in p.fields]
-    table = spark.createDataFrame(spec, "plot_id string, topic string, candidate int, field string, least double, changing boolean, steps boolean")
+    spec = [(p.id, t, i, f, p.any_nonzero, p.changing, p.steps, p.union) for p in plots for i, t in enumerate(p.topics) for f in p.fields]
+    table = spark.createDataFrame(spec, "plot_id string, topic string, candidate int, field string, least double, changing boolean, steps boolean, union boolean")
     needed = sorted({s[1] for s in spec})
     own = series.in_window(samples.filter(F.col("topic").isin(needed)), start_s, end_s).withColumn("v", finite(F.col("v"))).filter("v is not null")
     joined = own.join(F.broadcast(table), ["topic", "field"])  # the declared fields
-    first = joined.groupBy("log_id", "plot_id").agg(F.min("candidate").alias("candidate"))
-    joined = joined.join(first, ["log_id", "plot_id", "candidate"])
+    first = joined.groupBy("log_id", "plot_id").agg(F.min("candidate").alias("_first"))
+    joined = joined.join(first, ["log_id", "plot_id"]).filter(F.col("union") | (F.col("candidate") == F.col("_first")))
     w = Window.partitionBy("log_id", "plot_id", "topic", "multi_id", "field")
     rich = joined.withColumns({"_most": F.max(F.abs("v")).over(w), "_lo": F.min("v").over(w), "_hi": F.max("v").over(w)})
     rich = rich.filter(F.col("least").isNull() | (F.col("_most") > F.col("least"))).filter(~F.col("changing") | (F.col("_lo") < F.col("_hi")))
