@@ -227,6 +227,15 @@ def test_decontamination(spark, docs, rows, empty):
     assert as_counter(decontaminate.contaminated_words(docs, bench.limit(0)), "contaminated") == {(False,): len(rows)}
 
 
+def test_warc_names_large_ids_whole(spark):
+    first, last = 2**53 + 1, 2**53 + 3
+    df = spark.createDataFrame([(first, "u", "same"), (last, "v", "same"), (1, "w", "other")], "page_id long, url string, html string")
+    path = warc.work_path(spark, "test-warc-large")
+    warc.write_archives(df, path)
+    got = {r.page_id: r for r in warc.read_archives(spark, path).collect()}
+    assert set(got) == {first, last, 1} and got[first].refers_to == last and got[first].payload_bytes == 4
+
+
 def test_warc(spark):
     pages = [(1, "http://a/", "<p>x</p>"), (2, None, "<p>x</p>"), (3, "http://b/ c\n", None), (4, "u", ""), (5, "u", "WARC/1.1\r\n\r\nWARC-Type: response\r\n\r\n"), (6, "u", "é\r\n\r\n" * 50_000), (7, "http://a/", "<p>x</p>")]
     df = spark.createDataFrame([(*p, "x", 1) for p in pages], "page_id long, url string, html string, sha1 string, refers_to int")

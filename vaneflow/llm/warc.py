@@ -53,7 +53,7 @@ def _render(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """A record's text without its closing CRLF CRLF, which the sink writes between records."""
     for b in batches:
         out = []
-        refs = record_id(b["refers_to"].fillna(-1).astype("int64"))
+        refs = record_id(b["refers_to"])
         for page, url, html, sha1, refers, rid, ref in zip(b["page_id"], b["url"], b["html"], b["sha1"], b["refers_to"], record_id(b["page_id"]), refs, strict=True):
             payload, again = html or "", pd.notna(refers)
             http = f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}"
@@ -78,7 +78,8 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0) -> None:
     # dealt once: the join's partitions are the archives
     n = 1 + total // ARCHIVE_BYTES
     rows = rows.repartition(n, "page_id").join(heads.repartition(n, "page_id"), "page_id").filter("_sha1 = sha1").drop("_sha1")
-    rows = rows.withColumn("html", F.when(F.col("refers_to").isNull(), F.col("html")))
+    # as text: pandas would make a column of ids with nulls floats, and round ids above 2**53
+    rows = rows.withColumns({"html": F.when(F.col("refers_to").isNull(), F.col("html")), "refers_to": F.col("refers_to").cast("string")})
     rows.mapInPandas(_render, "value string").write.option("lineSep", CRLF * 2).option("compression", "gzip").text(path)
 
 
