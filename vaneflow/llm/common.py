@@ -14,15 +14,23 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Everything that isn't a digit, a lower-case ASCII letter or beyond ASCII.
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 CONTROL = "spark.checkpoint.dir"
+#: A key that holds more than this part of all rows is joined by broadcast: there are so many of them at most.
+HEAVY = 10_000
 
 _own: list[str] = []
 _made: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one where the session names none (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Where a session of one process (tests) names none, a temporary one; on a cluster that is an error.
+    """
     base = spark.conf.get(CONTROL, None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError(f"{CONTROL} must name a folder that the driver and all executors share")
         if not _own:
             _own.append(tempfile.mkdtemp(prefix="vaneflow-"))
             atexit.register(shutil.rmtree, _own[0], True)
@@ -39,12 +47,23 @@ def work_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def release(spark: SparkSession) -> None:
-    """Delete this process's intermediate tables; call it when the results that read them are written."""
+def mark() -> int:
+    """How many intermediate tables there are; release() takes it."""
+    return len(_made)
+
+
+def release(spark: SparkSession, since: int = 0, but: DataFrame | None = None) -> None:
+    """Delete the intermediate tables made after mark() gave `since`, but for those that `but` reads.
+
+    Call it when the results that read them are written.
+    """
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    while _made:
-        path = jvm.org.apache.hadoop.fs.Path(_made.pop())
-        path.getFileSystem(conf).delete(path, True)
+    read = but.inputFiles() if but is not None else []
+    for made in _made[since:]:
+        if not any(made.split(":", 1)[-1].lstrip("/") in f for f in read):
+            path = jvm.org.apache.hadoop.fs.Path(made)
+            path.getFileSystem(conf).delete(path, True)
+            _made.remove(made)
 
 
 def keep(df: DataFrame, name: str, *partition: str) -> DataFrame:
@@ -85,3 +104,23 @@ def broadcast_if_small(df: DataFrame, max_rows: int) -> tuple[DataFrame, bool]:
     """Mark for broadcast if a count, cut off at the limit, proves at most max_rows rows; else leave the join to shuffles."""
     small = df.limit(max_rows + 1).count() <= max_rows
     return (F.broadcast(df), True) if small else (df, False)
+
+
+def join_counted(rows: DataFrame, facts: DataFrame, keys: list[str], size: str, how: str = "inner") -> DataFrame:
+    """rows with the facts of their keys, however many rows share a key.
+
+    facts is a written table with one row for each value of keys; its column `size` says how many rows hold the value.
+    Values that more than 1 / HEAVY of all rows hold are broadcast, HEAVY of them at most whatever the size of the
+    tables; the others meet by a shuffle, in which no task gets more than that part of the rows for one value.
+    how: inner, or left.
+    """
+    total = facts.agg(F.sum(size)).first()[0] or 0
+    heavy = F.broadcast(facts.filter(F.col(size) > total // HEAVY))
+    light = facts.filter(F.col(size) <= total // HEAVY)
+    rest = rows.join(heavy.select(*keys), keys, "left_anti").join(light, keys, how)
+    return rows.join(heavy, keys).unionByName(rest)
+
+
+def text_hash(text: Column) -> Column:
+    """Tells the texts of rows apart that share an id; null is not the empty text."""
+    return F.xxhash64(text, text.isNull())
