@@ -25,31 +25,45 @@ def unescape(text: Column) -> Column:
 def reconstruct(events: DataFrame) -> DataFrame:
     """Final messages (conv_id, turn, role, text) from events (conv_id, seq, turn, kind, role, text).
 
-    A message's text is what its last edit or regeneration says, if any, and the deltas after it, by seq; its role is
-    the last that an event names.  Null text is empty, a null kind is a delta.  Ties of seq go by kind, role, then text.
-    Messages of a conversation that has events with null turn form one turn, the first.  Each message is folded within
-    its own group of (conversation, turn), so that a long conversation is many groups.
+    The log is dealt by conversation once; a conversation's events are sorted by seq and folded turn by turn.  A
+    message's text is what its last edit or regeneration says, if any, and the deltas after it; its role is the last
+    that an event names.  Null text is empty, a null kind is a delta.  Ties of seq go by kind, role, then text; events
+    that repeat count each time.  Events of a conversation with null turn form one turn, the first; those with null
+    conv_id one conversation.  Texts may be very long: the work is in proportion to their length.  Other columns play no
+    part; no events give no messages.
     """
     kind = F.coalesce("kind", F.lit(DELTA))
     order = F.struct("seq", kind.alias("kind"), "role", F.coalesce("text", F.lit("")).alias("text"))
-    folded = events.groupBy("conv_id", "turn").agg(F.array_sort(F.collect_list(order)).alias("log"))
+    dealt = events.select("conv_id", "turn", order.alias("event")).repartition("conv_id")
+    folded = dealt.groupBy("conv_id", "turn").agg(F.array_sort(F.collect_list("event")).alias("log"))
     reset = F.array_max(F.transform("log", lambda e, i: F.when(e["kind"] != DELTA, i).otherwise(F.lit(0))))
     live = F.slice("log", reset + 1, F.size("log"))
-    role = F.element_at(F.filter(F.transform("log", lambda e: e["role"]), lambda r: r.isNotNull()), -1)
-    role = F.when(F.exists("log", lambda e: e["role"].isNotNull()), role)
-    return folded.select("conv_id", "turn", role.alias("role"), F.array_join(F.transform(live, lambda e: e["text"]), "").alias("text"))
+    named = F.filter(F.transform("log", lambda e: e["role"]), lambda r: r.isNotNull())
+    role = F.when(F.size(named) > 0, F.element_at(named, -1))
+    text = F.array_join(F.transform(live, lambda e: e["text"]), "")
+    return folded.select("conv_id", "turn", role.alias("role"), text.alias("text"))
 
 
 def as_events(messages: DataFrame, delta_chars: int = 256) -> DataFrame:
-    """A log whose reconstruction gives these messages, each streamed as deltas of delta_chars code points.
+    """A log whose reconstruction gives these messages.
 
-    Rows that share a turn stay apart, ordered by role, then text.
+    Each is streamed as deltas of delta_chars code points.  As logs of real sessions have them, some messages (by a hash
+    of conversation and turn) begin with a draft that is regenerated from nothing, and others with one that an edit
+    replaces by the first part of the text.  Rows that share a turn stay apart, ordered by role, then text.
     """
     place = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
     numbered = messages.select("conv_id", F.row_number().over(place).cast("long").alias("turn"), "role", F.coalesce("text", F.lit("")).alias("text"))
-    last = F.greatest(F.lit(0), F.ceil(F.char_length("text") / delta_chars).cast("int") - 1)
-    cut = numbered.select("conv_id", "turn", "role", "text", F.explode(F.sequence(F.lit(0), last)).alias("i"))
-    return cut.select("conv_id", F.struct("turn", "i").alias("seq"), "turn", F.lit(DELTA).alias("kind"), "role", F.substring("text", F.col("i") * delta_chars + 1, F.lit(delta_chars)).alias("text"))
+    pieces = F.regexp_extract_all("text", F.lit(f"(?s).{{1,{delta_chars}}}"), F.lit(0))
+    event = lambda kind, text: F.struct(F.lit(kind).alias("kind"), text.alias("text"))
+    draft = event(DELTA, F.concat(F.lit("draft of "), F.coalesce("role", F.lit(""))))
+    streamed = F.transform("_pieces", lambda p: event(DELTA, p))
+    first = F.coalesce(F.try_element_at("_pieces", F.lit(1)), F.lit(""))
+    edited = F.concat(F.array(draft, event(EDIT, first)), F.slice(streamed, 2, F.greatest(F.size("_pieces"), F.lit(1))))
+    course = F.pmod(F.xxhash64("conv_id", "turn"), F.lit(3))
+    log = F.when(course == 0, F.concat(F.array(draft, event(REGENERATE, F.lit(""))), streamed)).when(course == 1, edited)
+    log = log.otherwise(F.concat(F.array(event(DELTA, F.lit(""))), streamed))
+    cut = numbered.withColumn("_pieces", pieces).select("conv_id", "turn", "role", F.posexplode(log).alias("i", "event"))
+    return cut.select("conv_id", F.struct("turn", "i").alias("seq"), "turn", "event.kind", "role", "event.text")
 
 
 def render(messages: DataFrame) -> DataFrame:
@@ -57,10 +71,14 @@ def render(messages: DataFrame) -> DataFrame:
 
     formatted: `<|im_start|>role`, a newline, the text, `<|im_end|>` and a newline for every turn in order, texts and
     roles escaped.  loss_mask: for every turn the part under the loss, the assistant's text: start and length in code
-    points, counted from the turn's mark; nulls for other roles.  Null roles and texts are empty.
+    points, counted from the turn's mark; nulls for other roles.  Null roles and texts are empty.  Turns that tie go by
+    role, then text; repeated rows are turns of their own; no messages give no rows.  A conversation is one string, so
+    it must fit a row (2 GB); a text of megabytes takes time in proportion to its length.
     """
-    role, text = F.replace(escape(F.coalesce("role", F.lit(""))), F.lit("\n"), F.lit("&nl;")), escape(F.coalesce("text", F.lit("")))
-    convs = messages.select("conv_id", F.struct("turn", role.alias("role"), text.alias("text")).alias("m")).groupBy("conv_id").agg(F.array_sort(F.collect_list("m")).alias("ms"))
+    role = F.replace(escape(F.coalesce("role", F.lit(""))), F.lit("\n"), F.lit("&nl;"))
+    text = escape(F.coalesce("text", F.lit("")))
+    turns = messages.select("conv_id", F.struct("turn", role.alias("role"), text.alias("text")).alias("m"))
+    convs = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list("m")).alias("ms"))
     turn = lambda m: F.concat(F.lit(START), m["role"], F.lit("\n"), m["text"], F.lit(END + "\n"))
     span = lambda m: F.when(m["role"] == "assistant", F.struct((F.char_length(m["role"]) + len(START) + 1).alias("start"), F.char_length(m["text"]).alias("length")))
     return convs.select("conv_id", F.array_join(F.transform("ms", turn), "").alias("formatted"), F.transform("ms", span).alias("loss_mask"))
