@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import keep, table
+from .common import join_counted, keep, table, text_hash
 
 # The kinds in their order, with pattern and least length.
 # Runs shorter than the least are never part of a longer match of `access` and `hex`, so their patterns ask for it;
@@ -18,29 +18,50 @@ HEX = "[0-9a-f]{24,}"
 BARE = "[A-Za-z0-9+/_-]{32,}"
 KINDS = ("assign", "access", "hex", "bare")
 LEAST_VALUE = 6
-#: A value that more owners than these have is a copied example.
-MAX_OWNERS = 2
-#: A mark that no pattern matches; where a text has it, another stands in for it, equally long.
-MARK, STAND_IN = "\uE000", "\uE001"
-SPAN_TYPE = "array<struct<start:int,kind:int,end:int,value:string>>"
+#: A value that more owners, or more repositories, than these have is a copied example.
+MAX_OWNERS, MAX_REPOSITORIES = 2, 8
+#: Marks that no pattern matches: round matches, and in the place of those found before.  Where a text has them, another
+#: stands in, equally long.
+MARK, COVER, STAND_IN = "", "", ""
+#: Offsets are summed up in runs of so many pieces, so that the work grows with their number, not its square.
+RUN = 128
 
 
-def spans_of(text: Column, kind: int, pattern: str, value: str | None = None) -> Column:
-    """Leftmost non-overlapping matches as structs of start, kind, end (code points, exclusive) and value.
+def _offsets(lengths: str) -> Column:
+    """Of an array column of lengths: the sum of those before each, by way of the sums of runs."""
+    last = F.floor((F.size(lengths) - 1) / RUN).cast("int")
+    runs = F.transform(F.sequence(F.lit(0), last), lambda c: F.slice(lengths, c * RUN + 1, F.lit(RUN)))
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
 
-    One pass of the pattern sets marks round the matches; the pieces between marks give the offsets.
+    def step(acc: Column, n: Column) -> Column:
+        return F.struct((acc["at"] + n).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+
+    inside = F.transform(runs, lambda run: F.aggregate(run, zero, step, lambda acc: acc["out"]))
+    sums = F.transform(runs, lambda run: F.aggregate(run, F.lit(0), lambda a, b: a + b))
+    before = F.aggregate(sums, zero, step, lambda acc: acc["out"])
+    return F.flatten(F.zip_with(inside, before, lambda run, at: F.transform(run, lambda n: n + at)))
+
+
+def with_spans(df: DataFrame, name: str, text: str, kind: int, pattern: str, value: Column | None = None) -> DataFrame:
+    """Adds the leftmost non-overlapping matches in column `text` as structs of start, kind, end (code points, exclusive)
+    and value; value: what a piece "p" holds of it, the whole if None.
+
+    One pass of the pattern sets marks round the matches; the pieces between marks give the offsets, so that a text of
+    very many matches takes time in proportion to them.
     """
-    pieces = F.split(F.regexp_replace(text, pattern, f"{MARK}$0{MARK}"), MARK)
-    none = F.array().cast(SPAN_TYPE)
+    pieces, lengths, at = f"_{name}_pieces", f"_{name}_lengths", f"_{name}_at"
+    df = df.withColumn(pieces, F.split(F.regexp_replace(F.col(text), pattern, f"{MARK}$0{MARK}"), MARK))
+    df = df.withColumn(lengths, F.when(F.size(pieces) > 1, F.transform(pieces, lambda p: F.char_length(p))))
+    df = df.withColumn(at, F.when(F.size(lengths) > 1, _offsets(lengths)))
+    places = F.arrays_zip(F.col(pieces).alias("piece"), F.col(at).alias("start"), F.col(lengths).alias("length"))
+    odd = F.filter(places, lambda z, i: i % 2 == 1)
 
-    def step(acc: Column, piece: Column) -> Column:
-        end = acc["at"] + F.char_length(piece)
-        what = F.regexp_extract(piece, pattern, 2) if value else piece
-        one = F.array(F.struct(acc["at"].alias("start"), F.lit(kind).alias("kind"), end.alias("end"), what.alias("value")))
-        return F.struct(end.alias("at"), (~acc["inside"]).alias("inside"), F.when(acc["inside"], F.concat(acc["found"], one)).otherwise(acc["found"]).alias("found"))
+    def one(z: Column) -> Column:
+        what = z["piece"] if value is None else F.regexp_extract(z["piece"], ASSIGN, 2)
+        return F.struct(z["start"].alias("start"), F.lit(kind).alias("kind"), (z["start"] + z["length"]).alias("end"), what.alias("value"))
 
-    start = F.struct(F.lit(0).alias("at"), F.lit(False).alias("inside"), none.alias("found"))
-    return F.when(F.size(pieces) > 1, F.aggregate(pieces, start, step, lambda acc: acc["found"])).otherwise(none)
+    none = F.array().cast("array<struct<start:int,kind:int,end:int,value:string>>")
+    return df.withColumn(name, F.coalesce(F.when(F.size(pieces) > 1, F.transform(odd, one)), none)).drop(lengths, at)
 
 
 def _joined(spans: Column) -> Column:
@@ -49,37 +70,70 @@ def _joined(spans: Column) -> Column:
 
 
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Adds `base` (assign, access and hex spans) and `bare`: other long runs with digits and letters of either case."""
-    clean = F.replace(F.coalesce(F.col(text), F.lit("")), F.lit(MARK), F.lit(STAND_IN))
-    df = docs.withColumn("_clean", clean).withColumns({"_assign": spans_of(F.col("_clean"), 0, ASSIGN, "2"), "_access": spans_of(F.col("_clean"), 1, ACCESS), "_hex": spans_of(F.col("_clean"), 2, HEX), "_bare": spans_of(F.col("_clean"), 3, BARE)})
-    df = df.withColumn("base", F.concat(F.filter("_assign", lambda s: F.char_length(s["value"]) >= LEAST_VALUE), "_access", "_hex"))
-    mixed = lambda s: reduce(lambda a, b: a & b, (s["value"].rlike(x) for x in ("[0-9]", "[a-z]", "[A-Z]")))
-    alone = lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    return df.withColumn("bare", F.filter(F.filter("_bare", mixed), alone)).drop("_clean", "_assign", "_access", "_hex", "_bare")
+    """Adds `base` (assign, access and hex spans) and `bare`: other long runs with digits and letters of either case.
+
+    A bare run that base spans overlap is no finding of its own.  Runs of access and hex lie within it whole; the
+    characters of assign spans are covered, as long as they were, before bare runs are looked for.
+    """
+    clean = F.translate(F.coalesce(F.col(text), F.lit("")), MARK + COVER, STAND_IN * 2)
+    df = docs.withColumn("_clean", clean)
+    df = with_spans(df, "_assign", "_clean", 0, ASSIGN, F.lit(2)).withColumn("_assign", F.filter("_assign", lambda s: F.char_length(s["value"]) >= LEAST_VALUE))
+    df = with_spans(df, "_access", "_clean", 1, ACCESS)
+    df = with_spans(df, "_hex", "_clean", 2, HEX)
+
+    def cover(p: Column, i: Column) -> Column:
+        own = (i % 2 == 1) & (F.char_length(F.regexp_extract(p, ASSIGN, 2)) >= LEAST_VALUE)
+        return F.when(own, F.repeat(F.lit(COVER), F.char_length(p))).otherwise(p)
+
+    covered = F.when(F.size("_assign") > 0, F.array_join(F.transform("__assign_pieces", cover), "")).otherwise(F.col("_clean"))
+    df = with_spans(df.withColumn("_covered", covered), "_bare", "_covered", 3, f"[A-Za-z0-9+/_{COVER}-]{{32,}}")
+
+    def alone(s: Column) -> Column:
+        mixed = reduce(lambda a, b: a & b, (s["value"].rlike(x) for x in ("[0-9]", "[a-z]", "[A-Z]")))
+        return mixed & ~F.contains(s["value"], F.lit(COVER)) & ~s["value"].rlike(f"{ACCESS}|{HEX}")
+
+    df = df.withColumns({"base": F.concat("_assign", "_access", "_hex"), "bare": F.filter("_bare", alone)})
+    return df.drop("_clean", "_covered", *(f"_{n}" for n in KINDS), *(f"__{n}_pieces" for n in KINDS))
+
+
+def owners(each: DataFrame) -> DataFrame:
+    """Over the corpus, for every candidate's hash: n_owners, n_repositories, n_places and whether it is a copied example.
+
+    each: a row for every place of a candidate (hash, owner, repo).  Places are summed up before they move, so that a
+    candidate in every document is a row for each of its owners and repositories.
+    """
+    places = each.groupBy("hash", "owner", "repo").agg(F.count("*").alias("n"))
+    counts = places.groupBy("hash").agg(F.countDistinct("owner").alias("n_owners"), F.countDistinct("repo").alias("n_repositories"), F.sum("n").alias("n_places"))
+    return counts.withColumn("copied", (F.col("n_owners") > MAX_OWNERS) | (F.col("n_repositories") > MAX_REPOSITORIES))
 
 
 def find_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text", owner: str = "source", repository: Column | None = None) -> DataFrame:
     """Per row: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_copied.
 
     Base spans are those of the fixed patterns, and stay.  Over the whole corpus each candidate's hash is counted by
-    distinct repositories and owners: one that more than MAX_OWNERS owners have is a copied example, any other looks
-    like a live credential of its owner.  `spans` adds to the base the bare runs that look live.  Null text is empty;
-    a null owner or repository counts as one of its own; rows that repeat are judged alike; an empty table gives none.
+    distinct repositories (owner and language, unless another column says) and owners: one that more than MAX_OWNERS
+    owners or MAX_REPOSITORIES repositories have is a copied example, any other looks like a live credential of its
+    owner.  `spans` adds to the base the bare runs that look live.  Null text is empty; a null owner or repository
+    counts as one of its own; rows that repeat are judged alike; ties of a span's start go by kind; other columns play
+    no part, whatever their names; an empty table gives no rows.  Texts are scanned whole; one of very many matches
+    takes time in proportion to them.
     """
     repo = F.concat_ws("/", F.col(owner), F.col("lang")) if repository is None else repository
+    ident = {"doc_id": F.col(key), "owner": F.coalesce(F.col(owner).cast("string"), F.lit("")), "repo": F.coalesce(repo, F.lit("")), "h": text_hash(F.col(text)), "text": F.col(text)}
     hashed = lambda spans: F.transform(spans, lambda s: F.struct(s["start"], s["kind"], s["end"], F.xxhash64(s["value"]).alias("hash")))
-    rows = scan(docs, key, text).select(F.col(key).alias("doc_id"), F.coalesce(F.col(owner), F.lit("")).alias("owner"), F.coalesce(repo, F.lit("")).alias("repo"), hashed("base").alias("base"), hashed("bare").alias("bare"))
-    rows = keep(rows, "secret-candidates")
-    held = rows.filter("size(base) + size(bare) > 0")
-    each = held.select("doc_id", "owner", "repo", F.explode(F.array_distinct(F.transform(F.concat("base", "bare"), lambda s: s["hash"]))).alias("hash"))
-    places = each.groupBy("hash", "owner", "repo").count()  # summed before it moves: a hash in every document is a row for each owner and repository
-    owners = places.groupBy("hash").agg(F.countDistinct("owner").alias("n_owners"), F.countDistinct("repo").alias("n_repos"))
-    live = each.select("doc_id", "hash").distinct().join(owners, "hash").filter(F.col("n_owners") <= MAX_OWNERS).groupBy("doc_id").agg(F.collect_set("hash").alias("live"))
-    out = rows.join(live, "doc_id", "left").withColumn("live", F.coalesce("live", F.array().cast("array<bigint>")))
-    is_live = lambda s: F.array_contains("live", s["hash"])
-    out = out.withColumns({"added": F.filter("bare", is_live), "n_live": F.size(F.filter("base", is_live)).cast("long")})
+    own = docs.select(*(c.alias(n) for n, c in ident.items()))
+    rows = keep(scan(own).select("doc_id", "owner", "repo", "h", hashed("base").alias("base"), hashed("bare").alias("bare")), "secret-candidates")
+    each = rows.select("doc_id", "h", "owner", "repo", F.explode(F.concat("base", "bare")).alias("s")).select("doc_id", "h", "owner", "repo", "s.*")
+    judged = join_counted(each, keep(owners(each), "secret-owners"), ["hash"], "n_places")
+    # a document's spans come back to it in any order, once each, however often its row repeats
+    one = F.struct("start", "kind", "end", "copied")
+    flags = judged.groupBy(F.col("doc_id").alias("_id"), F.col("h").alias("_h")).agg(F.collect_set(one).alias("found"))
+    out = rows.join(flags, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h")), "left")
+    out = out.withColumn("found", F.coalesce("found", F.array().cast("array<struct<start:int,kind:int,end:int,copied:boolean>>")))
+    spans = F.filter("found", lambda s: (s["kind"] < 3) | ~s["copied"])
+    live = F.size(F.filter("found", lambda s: (s["kind"] < 3) & ~s["copied"])).cast("long")
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
-    return out.select("doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(F.concat("base", "added")).alias("spans"), "n_live", (F.size("base") - F.col("n_live")).cast("long").alias("n_copied"))
+    return out.select("doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(spans).alias("spans"), live.alias("n_live"), (F.size("base") - live).cast("long").alias("n_copied"))
 
 
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
