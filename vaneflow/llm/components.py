@@ -5,15 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep
+from .common import join_counted, keep
 
 
 def _stars(edges: DataFrame, large: bool) -> DataFrame:
     """Large star: each node's larger neighbours are tied to its least neighbour; small star: its smaller ones and itself."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     side = both if large else both.filter("b < a")
-    least = side.groupBy("a").agg(F.min("b").alias("_l")).select("a", F.least("a", "_l").alias("m"))
-    tied = (both.filter("b > a") if large else side).join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    # a node of very many neighbours is broadcast to their edges
+    least = keep(side.groupBy("a").agg(F.min("b").alias("_l"), F.count("*").alias("n")).select("a", "n", F.least("a", "_l").alias("m")), "least")
+    tied = join_counted(both.filter("b > a") if large else side, least, ["a"], "n").select(F.col("b").alias("a"), F.col("m").alias("b"))
     if not large:
         tied = tied.unionByName(least.select("a", F.col("m").alias("b")))
     return tied.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
