@@ -21,6 +21,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import keep, table, trim
 
@@ -394,6 +395,7 @@ def _cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 CUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_bytes binary"
+CUT_COLUMNS = [x.split()[0] for x in CUT.split(", ")]
 
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -404,6 +406,8 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     Rows that share doc_id count as documents in the order of their texts' hashes; rows that repeat both are one
     document, judged alike.  A null doc_id sorts first.  An empty table gives no rows.
     """
+    if not isinstance(docs.schema[key].dataType, T.IntegralType):
+        return _by_rank(docs, key, text)
     least = -(2**63)
     size = docs.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0
     buckets = 24 + size // BUCKET_BYTES
@@ -423,5 +427,14 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     return full.mapInPandas(_cut, CUT).withColumn("doc_id", F.when(F.col("doc_id") != least, F.col("doc_id")))
 
 
+def _by_rank(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """The same for keys that aren't whole numbers: their ranks, from a sort of all keys, stand for them."""
+    ids = docs.select(F.col(key).alias("_id")).filter("_id is not null").distinct().orderBy("_id")
+    ranks = keep(ids.withColumn("_rank", F.monotonically_increasing_id()), "ranks")
+    ranked = docs.select(F.col(key).alias("_id"), F.col(text).alias("text")).join(ranks, "_id", "left")
+    out = remove_repeats(ranked.select("_rank", "text"), "_rank", "text").withColumnRenamed("doc_id", "_rank")
+    return out.join(ranks, "_rank", "left").drop("_rank").withColumnRenamed("_id", "doc_id").select("doc_id", *CUT_COLUMNS[1:])
+
+
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents")).drop("kept_bytes")
