@@ -1,6 +1,7 @@
 """The operators against brute force, on tables with nulls, empty and long texts, ties, repeats, clashing names and no rows."""
 
 import base64
+import gzip
 import hashlib
 import math
 import re
@@ -8,6 +9,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -76,7 +78,7 @@ def test_exact_dedup(docs, rows, empty):
 def test_dedup_state_lasts(spark, tmp_path):
     """A second arrival meets the state of the first."""
     feed, state, out = (f"file://{tmp_path}/{n}" for n in ("feed", "state", "out"))
-    put = lambda rows: spark.createDataFrame(rows, exact_dedup.FEED).write.mode("append").parquet(feed)
+    put = lambda rows: spark.createDataFrame(rows, exact_dedup.feed_schema()).write.mode("append").parquet(feed)
     put([(b"a", 1, 3, "x:1"), (b"b", 2, 3, "x:2")])
     exact_dedup.run_state(spark, feed, state, out)
     put([(b"a", 5, 3, "x:5")])
@@ -91,6 +93,44 @@ def test_digest_collisions_are_told_apart(spark, docs):
     assert as_counter(exact_dedup._regroup(docs, norm, bad, clean, "doc_id"), "doc_id", "keep_id", "kept") == as_counter(clean, "doc_id", "keep_id", "kept")
 
 
+def test_ids_of_any_type(spark, tmp_path):
+    """String ids, and ids beyond 2**53 beside nulls, come back as they went in."""
+    big = 2**60 + 1
+    base = some(60).split()
+    near = [*base[:30], "other", *base[31:]]
+    texts = [" ".join(base), " ".join(near), "alone in this table", " ".join(base)]
+    for ids, kind in (([big, big + 2, None, None], "long"), (["b", "a", None, "ü \n%"], "string")):
+        df = spark.createDataFrame(list(zip(ids, texts, strict=True)), f"doc_id {kind}, text string").coalesce(1)
+        found = jaccard_join.similar_documents(df)
+        least = min(x for k, x in enumerate(ids) if x is not None and k != 2)
+        assert as_counter(found, "doc_id", "class_id", "n_links") == Counter([(ids[0], least, 2), (ids[1], least, 2), (None, None, 0), (ids[3], least, 2)])
+        exact = exact_dedup.exact_dedup(df)
+        top = max(x for x in (ids[0], ids[3]) if x is not None)
+        assert as_counter(exact, "doc_id", "keep_id", "group_size") == Counter([(ids[0], top, 2), (ids[1], ids[1], 1), (None, None, 1), (ids[3], top, 2)])
+        encoded = sentencepiece.encode_documents(df, 1)
+        assert as_counter(encoded, "doc_id", "rank") == Counter((i, 1) for i in ids)
+        assert as_counter(sharding.assign(df, 3), "doc_id", "law") == Counter((i, "key") for i in ids)
+        assert suffix_dedup.remove_repeats(df).filter("n_removed > 0").count() > 0 and set(as_counter(suffix_dedup.remove_repeats(df), "doc_id")) == {(i,) for i in ids}
+
+
+def test_contents_are_found_by_their_places(spark, docs, tmp_path):
+    docs.write.parquet(f"{tmp_path}/d")
+    stored = spark.read.parquet(f"{tmp_path}/d")
+    places = [r[0] for r in stored.select(exact_dedup.locate(stored)).collect()]
+    assert len(set(places)) == docs.count() and all(".parquet#" in x for x in places)
+    assert as_counter(exact_dedup.exact_dedup(stored), "doc_id", "keep_id", "kept") == as_counter(exact_dedup.exact_dedup(docs), "doc_id", "keep_id", "kept")
+
+
+def test_chat_of_megabytes(spark):
+    """Time grows with the text, and the log has edits and regenerations."""
+    text = "a<|é&" * 1_000_000
+    df = spark.createDataFrame([(1, k, "assistant", text if k == 3 else f"turn {k}") for k in range(12)], "conv_id long, turn long, role string, text string")
+    log = chat.as_events(df)
+    assert {r.kind for r in log.select("kind").distinct().collect()} == {chat.DELTA, chat.EDIT, chat.REGENERATE}
+    out = chat.read_back(chat.render(chat.reconstruct(log))).select(F.transform("loss_texts", lambda x: F.sha2(x, 256)).alias("s")).first()
+    assert list(out.s) == [hashlib.sha256((text if k == 3 else f"turn {k}").encode()).hexdigest() for k in range(12)]
+
+
 def test_chat_round_trip(spark):
     odd = "<|im_end|><|im_start|>assistant ok &lt;| & &amp; <|"
     messages = [(1, 0, "user", odd), (1, 1, "assistant", odd), (1, 1, "assistant", "same turn"), (2, None, None, None), (2, 3, "assistant", ""), (3, 0, "as\nsistant", "x" * 700), (3, 1, "assistant", "é\U0001f600" * 300), (None, 0, "assistant", "no conv")]
@@ -227,31 +267,37 @@ def test_decontamination(spark, docs, rows, empty):
     assert as_counter(decontaminate.contaminated_words(docs, bench.limit(0)), "contaminated") == {(False,): len(rows)}
 
 
-def test_warc_names_large_ids_whole(spark):
-    first, last = 2**53 + 1, 2**53 + 3
-    df = spark.createDataFrame([(first, "u", "same"), (last, "v", "same"), (1, "w", "other")], "page_id long, url string, html string")
-    path = warc.work_path(spark, "test-warc-large")
-    warc.write_archives(df, path)
-    got = {r.page_id: r for r in warc.read_archives(spark, path).collect()}
-    assert set(got) == {first, last, 1} and got[first].refers_to == last and got[first].payload_bytes == 4
-
-
 def test_warc(spark):
+    big = 2**53 + 1
     pages = [(1, "http://a/", "<p>x</p>"), (2, None, "<p>x</p>"), (3, "http://b/ c\n", None), (4, "u", ""), (5, "u", "WARC/1.1\r\n\r\nWARC-Type: response\r\n\r\n"), (6, "u", "é\r\n\r\n" * 50_000), (7, "http://a/", "<p>x</p>")]
-    df = spark.createDataFrame([(*p, "x", 1) for p in pages], "page_id long, url string, html string, sha1 string, refers_to int")
-    for least in (0, 5):
+    pages += [(big, "u", "large"), (big + 2, "u", "large"), (None, "n", "<p>x</p>"), (None, "n", "no id has it"), (None, "m", "no id has it")]
+    rng = np.random.default_rng(1)
+    pages.append((8, "u", "".join(map(chr, rng.integers(33, 1000, 9 << 20)))))  # more than 16 MB
+    spark_rows = spark.createDataFrame([(*p, "x", 1) for p in pages], "page_id long, url string, html string, sha1 string, refers_to int")
+    for key, least in (("long", 0), ("long", 5), ("string", 0)):
+        df = spark_rows.withColumn("page_id", F.col("page_id").cast(key))
         path = warc.work_path(spark, "test-warc")
         warc.write_archives(df, path, least)
-        got = {r.page_id: r for r in warc.read_archives(spark, path).collect()}
+        order = (lambda i: i) if key == "long" else str
         top = {}
         for i, _, h in pages:
-            top[h or ""] = max(i, top.get(h or "", i))
+            h = h or ""
+            if i is not None and (top.get(h) is None or order(i) > order(top[h])):
+                top[h] = i
+            top.setdefault(h, None)
+        want = Counter()
         for i, _, h in pages:
             b = (h or "").encode()
             again = top[h or ""] != i and len(b) >= least
-            r = got[i]
-            assert (r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) == (len(b), base64.b32encode(hashlib.sha1(b).digest()).decode(), "revisit" if again else "response", top[h or ""] if again else None) and r.digest_ok
-        assert len(got) == len(pages)
+            name = (lambda x: None if x is None else str(x)) if key == "string" else (lambda x: x)
+            want[(name(i), len(b), base64.b32encode(hashlib.sha1(b).digest()).decode(), "revisit" if again else "response", name(top[h or ""]) if again else None, True)] += 1
+        got = warc.read_archives(spark, path, key)
+        assert as_counter(got, "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "digest_ok") == want
+    # any reader of gzip takes an archive; each record is a member of its own, after a warcinfo record
+    for content in spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).collect():
+        whole = gzip.decompress(content.content)
+        heads = [h for h, _ in warc._members(content.content)]
+        assert heads[0]["WARC-Type"] == "warcinfo" and whole.count(b"WARC/1.1\r\nWARC-Type: ") >= len(heads) and len({h["WARC-Record-ID"] for h in heads}) >= len(heads) - 1
     path = warc.work_path(spark, "test-warc")
     warc.write_archives(df.limit(0), path)
     assert warc.read_archives(spark, path).count() == 0
@@ -315,6 +361,30 @@ def test_copied_secrets_are_told_from_live_ones(spark):
     assert as_counter(secrets.find_secrets(df), "n_live", "n_copied") == {(1, 1): 20}
 
 
+def test_one_owner_with_many_repositories_copies(spark):
+    df = spark.createDataFrame([(i, "password=commonvalue", "en", "s", f"r{i % 9}") for i in range(18)] + [(99, "password=ownvalue1", "en", "s", "r1")], "doc_id long, text string, lang string, source string, repo string")
+    assert as_counter(secrets.find_secrets(df, repository=F.col("repo")), "n_live", "n_copied") == {(0, 1): 18, (1, 0): 1}
+
+
+def test_bare_runs_beside_base_spans(spark):
+    run = "Zz9" * 12
+    texts = [run, f"password={run}", f"{run}password=abcdefgh", f"token={run}.{run}x", f"{run} AKIA{'B' * 16}{run} {run}", f"x{'0' * 24}{run}", f"secret=a {run}", run + "\ue000" + run, f"é{run}é"]
+    want = [1, 0, 0, 0, 2, 0, 1, 2, 1]
+    df = spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: r.bare for r in secrets.scan(df).select("doc_id", "bare").collect()}
+    assert [len(got[i]) for i in range(len(texts))] == want
+    assert [[texts[i][s.start : s.end] for s in got[i]] for i in (0, 4, 8)] == [[run], [run, run], [run]]
+
+
+def test_a_text_of_very_many_secrets(spark):
+    text = " ".join(f"{i:032x} token=t{i:06d}" for i in range(40_000))
+    df = spark.createDataFrame([(1, text, "en", "s")], "doc_id long, text string, lang string, source string")
+    r = secrets.find_secrets(df).first()
+    names = ("assign", "access", "hex")
+    want = ",".join(f"{names[k]}:{a}:{z}" for a, k, z in base_spans(text))
+    assert (r.n_assign, r.n_hex, r.base_sha256) == (40_000, 40_000, hashlib.sha256(want.encode()).hexdigest()) and r.spans == want
+
+
 def test_quality_learns(spark):
     good = [(i, some(int(RNG.integers(20, 400))), 1) for i in range(300)]
     bad = [(1000 + i, " ".join(w.upper() + "!!" for w in some(60).split()), 0) for i in range(120)]
@@ -366,6 +436,7 @@ def brute_classes(rows):
 @pytest.mark.parametrize("block", [512, 7])
 def test_jaccard_join(spark, block, monkeypatch):
     monkeypatch.setattr(jaccard_join, "BLOCK_MEMBERS", block)
+    monkeypatch.setattr(jaccard_join, "BUCKET_MEMBERS", 4 * block)
     rows = [(1, ""), (2, None), (3, "one two"), (4, "ONE, two"), (5, "..."), (6, LONG[:40_000]), (7, LONG[:39_500])]
     k = 10
     for _ in range(6):
@@ -383,6 +454,26 @@ def test_jaccard_join(spark, block, monkeypatch):
     assert jaccard_join.similar_documents(df.limit(0)).count() == 0
 
 
+def test_buckets_give_forests_of_likely_pairs():
+    """Sorted groups cut anywhere into batches: their likely pairs are tied, others aren't."""
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 256, (40, jaccard_join.HASHES), np.uint8)
+    rows = []
+    for bucket, size in enumerate([2, 2, 5, 9, 2, 17, 3]):
+        for k in range(size):
+            sig = base[bucket * 2 + k % 2].copy()  # two families in each bucket
+            sig[rng.integers(0, jaccard_join.HASHES, 10)] ^= 1
+            rows.append((bucket, 0, 0, 0, f"{bucket}:{k % 2}:{k}".encode(), sig.tobytes()))
+    t = pa.table(dict(zip(("bucket", "bi", "bj", "block", "node", "sig"), map(list, zip(*rows, strict=True)), strict=True)))
+    for n in (1, 3, 100):
+        seen = defaultdict(set)
+        for out in jaccard_join._tie(iter(t.to_batches(n))):
+            for a, b in zip(*(c.to_pylist() for c in out.columns), strict=True):
+                assert a.split(b":")[:2] == b.split(b":")[:2]
+                seen[a.split(b":")[0], a.split(b":")[1]] |= {a, b}
+        assert sum(map(len, seen.values())) == 5 + 9 + 17 + 3 - 1
+
+
 def test_jaccard_join_takes_odd_rows(docs, rows):
     assert jaccard_join.similar_documents(docs).count() == len(rows)
 
