@@ -75,3 +75,20 @@ def test_arithmetic_is_pythons(spark, texts):
         w = want(t)
         assert (got is None) == (w is None)
         assert w is None or got == pytest.approx(w, rel=1e-9, abs=1e-9)
+
+
+def test_comparison_about_a_parameter():
+    from vaneflow.functions.expressions import comparison_of
+
+    cases = {
+        ("a > 1 && PARAM.get() == 2", "PARAM"): ("==", "2"),
+        ("a > 1 && A_B == 2", "A_B"): ("==", "2"),
+        ("_param_x.get() >= 1000", "other"): (">=", "1000"),
+        ("foo < 3", "A_B"): (None, None),
+        ("ns::A_B != MODE::C", "A_B"): ("!=", "MODE::C"),
+        ("(x.get() == true) || !y", "Q"): ("==", "true"),
+        ("A_B <= -2.5f && C > 3", "A_B"): ("<=", "-2.5"),
+        ("", "A_B"): (None, None),
+    }
+    for (text, name), want in cases.items():
+        assert comparison_of(text, name) == want, text

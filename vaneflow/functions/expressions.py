@@ -314,3 +314,34 @@ def branches_to_ternary(branches: list[tuple[str, str]], fallback: str) -> str:
     for condition, value in reversed(branches):
         out = f"(({value}) if ({condition}) else ({out}))"
     return out
+
+
+COMPARED = {ast.GtE: ">=", ast.LtE: "<=", ast.Eq: "==", ast.NotEq: "!=", ast.Gt: ">", ast.Lt: "<"}
+
+
+def comparison_of(predicate: str, parameter: str) -> tuple[str | None, str | None]:
+    """(operator, literal) of the predicate's first comparison whose left side names the parameter or reads one (`get()`).
+
+    The right side is a number, true or false, or a name; (None, None) if there is no such comparison.
+    """
+    try:
+        tree = parse(lower_source(predicate.replace("::", ".")))
+    except UnsupportedExpression:
+        parts = [p.strip(" ()") for mark in ("&&", "||") for p in split_top(predicate, mark)]
+        found = (comparison_of(p, parameter) for p in parts if len(p) < len(predicate))
+        return next((f for f in found if f[0]), (None, None))
+    compared = [n for n in ast.walk(tree) if isinstance(n, ast.Compare) and len(n.ops) == 1 and type(n.ops[0]) in COMPARED]
+    for node in sorted(compared, key=lambda n: (n.lineno, n.col_offset)):
+        left, right = ast.unparse(node.left), _literal(node.comparators[0])
+        if right is not None and (".get()" in left or parameter in left):
+            return COMPARED[type(node.ops[0])], right
+    return None, None
+
+
+def _literal(node: ast.expr) -> str | None:
+    if isinstance(node, ast.UnaryOp) and isinstance(node.op, ast.USub):
+        inner = _literal(node.operand)
+        return None if inner is None else f"-{inner}"
+    if isinstance(node, ast.Constant) and isinstance(node.value, bool | int | float):
+        return str(node.value).lower()
+    return ast.unparse(node).replace(".", "::") if isinstance(node, ast.Name | ast.Attribute) else None

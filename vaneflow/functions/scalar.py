@@ -169,10 +169,13 @@ def enum_key(label: Column) -> Column:
 
 # ---- resampling policy of a field, from its type, name and comment
 
-# Shapes of names and types of the message definitions.
+# Shapes of names, comments and types of the message definitions.
 DISCRETE_NAME = r"(_counter|_count|_id|_index|_flags|_bitfield)$|^reset_count|^counter$"
 INTEGERS = ["int8", "int16", "int32", "int64", "uint8", "uint16", "uint32", "uint64", "char", "byte"]
 FLOATS = ["float32", "float64"]
+RESET_NAME, RESET_COMMENT = "^delta_", "amount by which.*reset"
+QUATERNION_NAME, QUATERNION_COMMENT = "^(delta_)?q(_|$)", "quaternion"
+ANGLE_NAME, ANGLE_COMMENT = "yaw|heading|roll|pitch|bearing|course|angle", "-pi|wrap"
 UNIT = r"(?i)[\[(]\s*(rad/s|rad|m/s\^?2|m/s|deg/s|deg|hz|pa|celsius|m|s|v|a|%|us|ms)\s*[\])]"
 
 
@@ -180,9 +183,9 @@ def signal_policy(type_: Column, name: Column, comment: Column, is_enum: Column,
     """struct(method, unit, confidence): the first rule that holds, as a CASE of nine."""
     text, unit = F.lower(F.coalesce(comment, F.lit(""))), F.lower(F.regexp_extract(F.coalesce(comment, F.lit("")), UNIT, 1))
     as_ = lambda method, u=None, c="high": F.struct(F.lit(method).alias("method"), (u if isinstance(u, Column) else F.lit(u).cast("string")).alias("unit"), F.lit(c).alias("confidence"))
-    reset = name.rlike("^delta_") | text.rlike("amount by which.*reset")
-    quaternion = (type_ == "float32") & (array_size == 4) & (name.rlike("^(delta_)?q(_|$)") | text.contains("quaternion"))
-    angle = (unit == "rad") & (name.rlike("yaw|heading|roll|pitch|bearing|course|angle") | text.rlike("-pi|wrap"))
+    reset = name.rlike(RESET_NAME) | text.rlike(RESET_COMMENT)
+    quaternion = (type_ == "float32") & (array_size == 4) & (name.rlike(QUATERNION_NAME) | text.contains(QUATERNION_COMMENT))
+    angle = (unit == "rad") & (name.rlike(ANGLE_NAME) | text.rlike(ANGLE_COMMENT))
     hold = as_("discrete_hold")
     return (
         F.when(type_ == "bool", hold).when(is_enum, hold).when(name.rlike(DISCRETE_NAME), hold).when(reset, hold)

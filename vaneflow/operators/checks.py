@@ -9,10 +9,11 @@ from __future__ import annotations
 import ast
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expressions import CONSTANTS, UnsupportedExpression, compile_expression, lower_source, names_of, parse, split_top, with_aliases
+from ..functions.expressions import CONSTANTS, UnsupportedExpression, comparison_of, compile_expression, lower_source, names_of, parse, split_top, with_aliases
 from ..functions.scalar import compare_by, field_present, finite, literal_key, parse_signal, seconds
 from ..schema import CHECKS, ORDER
 from . import asof, series
@@ -165,15 +166,21 @@ def parameter_equals(checks: DataFrame, parameters: DataFrame) -> DataFrame:
     return _result(d, F.when(F.col("_v").isNotNull(), F.coalesce(compare_by(op, F.col("_v"), number, F.col("max_error")), words)), F.col("_v"))
 
 
-PREDICATE = r"([A-Za-z_][A-Za-z0-9_.:]*?)\s*(?:\.\s*get\s*\(\s*\))?\s*(>=|<=|==|!=|>|<)\s*(-?\d+(?:\.\d+)?|true|false|-?[A-Za-z_][A-Za-z0-9_:]*)"
+def branch_parameter_satisfied(checks: DataFrame, parameters: DataFrame) -> DataFrame:
+    """Like parameter_equals; operator and literal come from the branch's source where the check has none.
+
+    Of the source's comparisons it is the first that is about the check's parameter: one that names it, or reads one.
+    """
 
+    @F.pandas_udf("op string, literal string")
+    def about(predicate: pd.Series, parameter: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([comparison_of(t or "", n or "") for t, n in zip(predicate, parameter, strict=True)], columns=["op", "literal"])
 
-def branch_parameter_satisfied(checks: DataFrame, parameters: DataFrame) -> DataFrame:
-    """Like parameter_equals; operator and literal come from the branch's source where the check has none."""
-    text = F.col("source_predicate")
-    got = lambda i: F.nullif(F.regexp_extract(text, PREDICATE, i), F.lit(""))
-    literal = F.when(got(3) == "true", "1").when(got(3) == "false", "0").otherwise(got(3))
-    return parameter_equals(checks.withColumns({"op": F.coalesce("op", got(2)), "value": F.coalesce("value", literal.try_cast("double")), "value_text": F.coalesce("value_text", got(3))}), parameters)
+    c = checks.withColumn("_about", about("source_predicate", "parameter"))
+    text = F.col("_about.literal")
+    literal = F.when(text == "true", "1").when(text == "false", "0").otherwise(text)
+    found = {"op": F.coalesce("op", "_about.op"), "value": F.coalesce("value", literal.try_cast("double")), "value_text": F.coalesce("value_text", text)}
+    return parameter_equals(c.withColumns(found).drop("_about"), parameters)
 
 
 def tracks_parameter_value(checks: DataFrame, samples: DataFrame, parameters: DataFrame) -> DataFrame:

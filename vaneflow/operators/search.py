@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,17 +34,25 @@ def match_score(value: Column, query: Column) -> Column:
     )
 
 
-# Places of a source tree and what they are worth.
-PLACES = [("^src/(lib|modules)/", 30.0), ("^src/(drivers|include)/", 15.0), ("^src/", 5.0)]
-FOREIGN = "/catch2/|/cmsis|/libvnc/|/third_party/|/third-party/|/vendor/|/vendors/|/external/|/generated/|/uavcan_drivers/"
+# What a path's beginnings, parts and endings are worth; of each group the first that fits counts.
+PLACES = [("begins", "src/lib/", 30.0), ("begins", "src/modules/", 30.0), ("begins", "src/drivers/", 15.0), ("begins", "src/include/", 15.0), ("begins", "src/", 5.0)]
+TESTS = [("begins", "test/", -100.0), ("holds", "/test", -100.0), ("holds", "_test", -100.0), ("holds", "/unit", -100.0)]
+TEST_FILES = [("ends", f"{name}.{kind}", -100.0) for name in ("Test", "Tests") for kind in ("cpp", "hpp", "h")]
+FOREIGN = ["/catch2/", "/cmsis", "/libvnc/", "/third_party/", "/third-party/", "/vendor/", "/vendors/", "/external/", "/generated/", "/uavcan_drivers/"]
+OTHERS = [[("holds", x, -80.0) for x in FOREIGN], [("begins", "examples/", -40.0), ("holds", "/examples/", -40.0)], [("holds", "/build", -5.0), ("holds", "/.git", -5.0)]]
 
 
 def path_boost(path: Column) -> Column:
+    """The worth of a path: the sum over the groups of fixed values, in lower case but for the names of test files."""
+    fits = {"begins": F.startswith, "holds": F.contains, "ends": F.endswith}
     low = F.lower(path)
-    place = F.when(low.rlike(PLACES[0][0]), PLACES[0][1]).when(low.rlike(PLACES[1][0]), PLACES[1][1]).when(low.rlike(PLACES[2][0]), PLACES[2][1]).otherwise(0.0)
-    test = F.when(low.rlike("^test/|/test|_test|/unit") | path.rlike(r"Tests?\.(cpp|hpp|h)$"), -100.0).otherwise(0.0)
-    foreign = F.when(low.rlike(FOREIGN), -80.0).otherwise(0.0)
-    return place + test + foreign + F.when(low.rlike("/examples/|^examples/"), -40.0).otherwise(0.0) + F.when(low.rlike(r"/build|/\.git"), -5.0).otherwise(0.0)
+
+    def worth(*rules: tuple[Column, list]) -> Column:
+        cases = [(fits[how](column, F.lit(part)), value) for column, group in rules for how, part, value in group]
+        return reduce(lambda acc, case: F.when(case[0], case[1]).otherwise(acc), reversed(cases), F.lit(0.0))
+
+    groups = [((low, PLACES),), ((low, TESTS), (path, TEST_FILES)), *(((low, g),) for g in OTHERS)]
+    return reduce(lambda a, b: a + b, (worth(*g) for g in groups))
 
 
 def rank_files(matches: DataFrame, key: str, cap: float, top: int, boost: Column | None = None) -> DataFrame:
