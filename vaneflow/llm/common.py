@@ -100,9 +100,14 @@ def trim() -> None:
         pass
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int) -> tuple[DataFrame, bool]:
-    """Mark for broadcast if a count, cut off at the limit, proves at most max_rows rows; else leave the join to shuffles."""
+def broadcast_if_small(df: DataFrame, max_rows: int, size: Column | None = None, max_bytes: int = 64 << 20) -> tuple[DataFrame, bool]:
+    """Mark for broadcast if a count, cut off at the limit, proves at most max_rows rows; else leave the join to shuffles.
+
+    size: the bytes of a row's values, where they have no bound of their own; they are summed up as well.
+    """
     small = df.limit(max_rows + 1).count() <= max_rows
+    if small and size is not None:
+        small = (df.agg(F.sum(size)).first()[0] or 0) <= max_bytes
     return (F.broadcast(df), True) if small else (df, False)
 
 
