@@ -16,6 +16,7 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -26,7 +27,7 @@ from .common import table, trim
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SAMPLES, ALPHA, SHIFT, BYTE_LOGP = 3, 1.0, 3.0, math.log(1e-6)
 SPACE = "▁"
-BATCH = 3 << 18
+BATCH = 1 << 19
 #: Arcs of lattices that are kept from batch to batch, about.
 MAX_ARCS = 2_000_000
 #: A unit of the lattice: no piece crosses from other characters to a space; nor, in most vocabularies, from letters to others or back.
@@ -157,7 +158,6 @@ class Lattices:
             self.piece[place], self.to[place] = ids, to
         del found
         node = np.repeat(np.arange(len(cp), dtype=np.int32), counts)
-        self.only = np.repeat(counts == 1, counts)
         odd = np.flatnonzero(self.piece < 0)
         code = (cp[order[node[odd]]] - np.uint64(1)).astype(np.int64)
         logp = vocab.logp[self.piece]
@@ -173,12 +173,22 @@ class Lattices:
         logp += beta[self.to]
         logp -= beta[node]
         np.minimum(logp, 0.0, out=logp)
-        self.local = logp.astype(np.float32)
-        np.exp(logp, out=logp)
-        np.cumsum(logp, out=logp)
-        before = np.concatenate([[0.0], logp])[self.first[:-1]]
-        logp -= before[node]
-        self.cum = logp.astype(np.float32)
+        self.local = logp
+        # within each node, from its own arcs alone: what lies before an arc, and what all others have together
+        p = np.exp(logp)
+        self.cum, rest, after = p.copy(), np.zeros(len(p)), np.zeros(len(p))
+        most = int(counts.max()) if len(counts) else 0
+        starts, sizes = self.first[:-1], counts
+        for k in range(1, most):
+            own = starts[sizes > k] + k
+            rest[own] = self.cum[own - 1]
+            self.cum[own] += self.cum[own - 1]
+            own = self.first[1:][sizes > k] - 1 - k
+            after[own] = after[own + 1] + p[own + 1]
+        rest += after
+        with np.errstate(divide="ignore"):
+            self.rest = np.log(rest)
+        self.cum = self.cum.astype(np.float32)
         self.cum[self.first[1:] - 1] = 2.0  # rounding never leaves a node without an arc
         self.root = rank[np.cumsum(size) - size] if len(cp) else np.zeros(0, np.int32)
         # a character that is no piece: its byte's id, or the place of its several bytes' ids, below 0
@@ -198,7 +208,7 @@ class Lattices:
         self.to = np.concatenate([self.to, np.where(other.to >= 0, other.to + nodes, -1).astype(np.int32)])
         self.piece = np.concatenate([self.piece, np.where(other.piece < 0, other.piece - len(self.bytes_of), other.piece)])
         self.root = np.concatenate([self.root, other.root + nodes])
-        for name in ("only", "local", "cum"):
+        for name in ("rest", "local", "cum"):
             setattr(self, name, np.concatenate([getattr(self, name), getattr(other, name)]))
         self.bytes_of += other.bytes_of
 
@@ -274,16 +284,17 @@ def top_k(lat: Lattices, draws: list[tuple[np.ndarray, ...]], k: int, seed: int)
         to = min(len(arcs), at + 256)
         while to < len(arcs) and before[to] > before[at] - 60.0:
             to = min(len(arcs), to + 256)
-        local = np.minimum(lat.local[arcs[at:to]], -1e-7, dtype=np.float64)
-        logq = np.log(-np.expm1(local))
-        logq += before[at:to]
-        logq[lat.only[arcs[at:to]]] = -np.inf
+        logq = lat.rest[arcs[at:to]] + before[at:to]
         if barred:
-            left = 1.0 - sum(math.exp(lat.local[a]) for a in (*barred, arcs[at]))
-            logq[0] = before[at] + math.log(left) if left > 1e-7 else -np.inf
+            others = [lat.local[a] for a in siblings(int(arcs[at])) if a not in barred and a != arcs[at]]
+            logq[0] = before[at] + _lse(np.array(others))
         if (mu := _lse(logq)) > -np.inf:
             heapq.heappush(heap, (-_below(mu, bound, rnd()), next(count), (path, at, barred, logq)))
 
+    def siblings(arc: int) -> range:
+        node = bisect.bisect_right(lat.first, arc) - 1
+        return range(int(lat.first[node]), int(lat.first[node + 1]))
+
     heap: list = []
     path = draws[0]
     top = -math.log(-math.log(rnd()))
@@ -304,8 +315,7 @@ def top_k(lat: Lattices, draws: list[tuple[np.ndarray, ...]], k: int, seed: int)
         if (mu := _lse(rest)) > -np.inf:
             heapq.heappush(heap, (-_below(mu, bound, rnd()), next(count), (path, at, barred, rest)))
         t += at
-        node = bisect.bisect_right(lat.first, arcs[t]) - 1
-        choices = [a for a in range(int(lat.first[node]), int(lat.first[node + 1])) if a not in out]
+        choices = [a for a in siblings(int(arcs[t])) if a not in out]
         if not choices:
             continue
         new = [_pick(choices, [math.exp(lat.local[a]) for a in choices], rnd())]
@@ -316,7 +326,7 @@ def top_k(lat: Lattices, draws: list[tuple[np.ndarray, ...]], k: int, seed: int)
             new.append(arc)
         f_arcs, f_units, f_before = draws[len(found)]
         tail = int(f_units.searchsorted(units[t], "right"))
-        ahead = before[t] + lat.local[new].cumsum(dtype=np.float64)
+        ahead = before[t] + lat.local[new].cumsum()
         path = (
             np.concatenate([arcs[:t], np.array(new, np.int32), f_arcs[tail:]]),
             np.concatenate([units[:t], np.full(len(new), units[t], np.int32), f_units[tail:]]),
@@ -369,7 +379,10 @@ class Known:
 
 
 def sample_texts(vocab: Vocabulary, texts: list[str | None], keys: list[int], k: int = SAMPLES, known: Known | None = None) -> Iterator[list[tuple[np.ndarray, float, float, float]]]:
-    """For every text its samples: ids, log probability, perturbed log probability, log inclusion score.  Draws depend on the row's key alone."""
+    """For every text its samples: ids, log probability, perturbed log probability, log inclusion score.
+
+    Draws and sums depend on the row's key and text alone.
+    """
     rows = [vocab.unit.findall(normalise(t)) for t in texts]
     n = np.fromiter(map(len, rows), np.int64, len(rows))
     first = np.cumsum(n) - n
@@ -391,14 +404,16 @@ def sample_texts(vocab: Vocabulary, texts: list[str | None], keys: list[int], k:
     counter, unit = _mix(np.repeat(seeds, n) + inside.astype(np.uint64) * _GOLD)[by], unit[by]
     for s in range(k):
         arcs, m = lat.walk(unit, _mix(counter + np.uint64((s + 1) * 0x9E3779B97F4A7C15 & _ALL)), back)
-        before = np.concatenate([[0.0], lat.local[arcs].cumsum(dtype=np.float64)])
-        draws.append((arcs, np.repeat(inside, m), before, np.concatenate([[0], np.cumsum(m)])))
+        draws.append((arcs, np.repeat(inside, m), np.concatenate([[0], np.cumsum(m)])))
     for i in range(n_rows):
         a, b = int(first[i]), int(first[i] + n[i])
         if a == b:
             yield [(np.zeros(0, np.int32), 0.0, 0.0, 0.0)]
             continue
-        own = [(arcs[off[a] : off[b]], units[off[a] : off[b]], before[off[a] : off[b] + 1] - before[off[a]]) for arcs, units, before, off in draws]
+        own = []
+        for arcs, units, off in draws:  # sums of the row's own arcs, so that they don't depend on its neighbours
+            mine = arcs[off[a] : off[b]]
+            own.append((mine, units[off[a] : off[b]], np.concatenate([[0.0], lat.local[mine].cumsum()])))
         yield [(lat.expand(p), *rest) for p, *rest in top_k(lat, own, k, int(seeds[i]))]
 
 
@@ -421,8 +436,11 @@ def encode_documents(docs: DataFrame, k: int = SAMPLES, key: str = "doc_id", tex
     """One row per row of docs and sample (rank 1 to k by perturbed log probability, fewer if a text has fewer segmentations).
 
     ids_sha256: of the ids as little-endian 4-byte integers; round_trip: the decoded ids give the text, its U+2581 as
-    spaces; with_ids adds the ids.  Samples of a row are distinct and depend on its key and text alone, so rows that
-    repeat give the same samples.  An empty or null text has one sample of no pieces; a null key seeds like 0.
+    spaces; with_ids adds the ids.  Samples of a row are distinct and depend on its key and text alone, to the last bit,
+    so rows that repeat give the same samples, and rows that share a key but not the text their own.  An empty or null
+    text has one sample of no pieces; a null key seeds like 0.  Ties of perturbed log probabilities have no chance to
+    matter: they go in the order found.  Texts are segmented whole; a very long one takes memory in proportion to its
+    length.  Other columns play no part, whatever their names; an empty table gives no rows.
     """
     kind = docs.schema[key].dataType.simpleString()
     schema = SCHEMA.format(key=kind) + (", ids array<int>" if with_ids else "")
@@ -456,5 +474,20 @@ def encode_documents(docs: DataFrame, k: int = SAMPLES, key: str = "doc_id", tex
     return docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, schema)
 
 
+def decode_documents(encoded: DataFrame, ids: str = "ids", model: str = MODEL) -> DataFrame:
+    """Adds `decoded`, the text of a column of ids as SentencePiece spells it.
+
+    Null and empty ids give an empty text; bytes that are no UTF-8 become U+FFFD; ids outside the vocabulary are an
+    error.  All columns but an old `decoded` stay.
+    """
+    vocab = Vocabulary(model)
+
+    @F.pandas_udf("string")
+    def spell(column: pd.Series) -> pd.Series:
+        return pd.Series(["" if x is None else decode(vocab, np.asarray(x, np.int64)) for x in column], dtype=object)
+
+    return encoded.withColumn("decoded", spell(F.col(ids)))
+
+
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"))
