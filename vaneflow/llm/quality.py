@@ -9,14 +9,17 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
-from .common import table, trim
+from .common import keep, table, trim
 
 #: Words of a passage, the instance of a bag.
 PASSAGE_WORDS = 100
 BUCKETS = 48
 #: The fit's bound: so many labelled documents at most, those with the least hash of doc_id.
 MAX_FIT_DOCS = 4000
+#: And so many bytes of text, which no document alone may exceed.
+MAX_FIT_BYTES = 128 << 20
 HIDDEN, ATTENTION, STEPS, RATE, DECAY, SEED = 32, 16, 250, 0.02, 1e-4, 7
 THRESHOLD = 0.3
 
@@ -101,27 +104,48 @@ def forward(m: dict[str, np.ndarray], x: np.ndarray, n: np.ndarray) -> dict[str,
     return {"x": x, "h": h, "t": t, "s": s, "a": a, "z": z, "p": _sigmoid(z @ m["c"] + m["c0"]), "seg": seg, "first": first}
 
 
-def fit(x: np.ndarray, n: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
-    """Learn encoder, attention and classifier together from the labels of whole documents (Adam, all bags a step)."""
+def start(features: int) -> dict[str, np.ndarray]:
+    """Weights before the first step."""
     r = np.random.default_rng(SEED)
     init = lambda *s: (r.standard_normal(s) / np.sqrt(s[0])).astype(np.float32)
-    m = {"enc": init(x.shape[1], HIDDEN), "enc0": np.zeros(HIDDEN, np.float32), "v": init(HIDDEN, ATTENTION), "u": init(HIDDEN, ATTENTION), "w": init(ATTENTION), "c": init(HIDDEN), "c0": np.zeros(1, np.float32)}
-    fixed = {"mean": x.mean(0), "scale": x.std(0) + 1e-3}
+    m = {"enc": init(features, HIDDEN), "enc0": np.zeros(HIDDEN, np.float32)}
+    m |= {"v": init(HIDDEN, ATTENTION), "u": init(HIDDEN, ATTENTION), "w": init(ATTENTION)}
+    return m | {"c": init(HIDDEN), "c0": np.zeros(1, np.float32)}
+
+
+def label_weights(y: np.ndarray) -> np.ndarray:
+    """Both labels count alike, however rare one is."""
     share = y.mean()
-    weight = np.where(y == 1, 0.5 / max(share, 1e-3), 0.5 / max(1 - share, 1e-3)).astype(np.float32) if 0 < share < 1 else np.ones(len(y), np.float32)
+    if not 0 < share < 1:
+        return np.ones(len(y), y.dtype)
+    return np.where(y == 1, 0.5 / max(share, 1e-3), 0.5 / max(1 - share, 1e-3)).astype(y.dtype)
+
+
+def loss_and_gradient(m: dict[str, np.ndarray], x: np.ndarray, n: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
+    """Weighted cross entropy of the bags' scores, and its gradient by the learnt weights."""
+    f = forward(m, x, n)
+    p = np.clip(f["p"], 1e-12, 1 - 1e-12)
+    loss = -float((weight * (y * np.log(p) + (1 - y) * np.log(1 - p))).sum() / len(y))
+    d = weight * (f["p"] - y) / len(y)
+    dz = d[:, None] * m["c"]
+    dh = f["a"][:, None] * dz[f["seg"]]
+    da = (f["h"] * dz[f["seg"]]).sum(1)
+    de = f["a"] * (da - np.add.reduceat(f["a"] * da, f["first"])[f["seg"]])
+    dg = de[:, None] * m["w"]
+    dt, ds = dg * f["s"] * (1 - f["t"] ** 2), dg * f["t"] * f["s"] * (1 - f["s"])
+    dh += dt @ m["v"].T + ds @ m["u"].T
+    dx = dh * (1 - f["h"] ** 2)
+    grad = {"enc": f["x"].T @ dx, "enc0": dx.sum(0), "v": f["h"].T @ dt, "u": f["h"].T @ ds}
+    return loss, grad | {"w": (f["t"] * f["s"]).T @ de, "c": f["z"].T @ d, "c0": d.sum(keepdims=True)}
+
+
+def fit(x: np.ndarray, n: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
+    """Learn encoder, attention and classifier together from the labels of whole documents (Adam, all bags a step)."""
+    m, fixed = start(x.shape[1]), {"mean": x.mean(0), "scale": x.std(0) + 1e-3}
+    weight = label_weights(y)
     mom = {k: (np.zeros_like(p), np.zeros_like(p)) for k, p in m.items()}
     for step in range(1, STEPS + 1):
-        f = forward(m | fixed, x, n)
-        d = weight * (f["p"] - y) / len(y)
-        dz = d[:, None] * m["c"]
-        dh = f["a"][:, None] * dz[f["seg"]]
-        da = (f["h"] * dz[f["seg"]]).sum(1)
-        de = f["a"] * (da - np.add.reduceat(f["a"] * da, f["first"])[f["seg"]])
-        dg = de[:, None] * m["w"]
-        dt, ds = dg * f["s"] * (1 - f["t"] ** 2), dg * f["t"] * f["s"] * (1 - f["s"])
-        dh += dt @ m["v"].T + ds @ m["u"].T
-        dx = dh * (1 - f["h"] ** 2)
-        grad = {"enc": f["x"].T @ dx, "enc0": dx.sum(0), "v": f["h"].T @ dt, "u": f["h"].T @ ds, "w": (f["t"] * f["s"]).T @ de, "c": f["z"].T @ d, "c0": d.sum(keepdims=True)}
+        _, grad = loss_and_gradient(m | fixed, x, n, y, weight)
         for k, g in grad.items():
             g = g + DECAY * m[k]
             a, b = mom[k]
@@ -136,12 +160,16 @@ def _bytes(texts: pd.Series) -> list[bytes]:
 
 
 def held_out(key: Column) -> Column:
-    """The rows whose labels are never learnt from."""
-    return F.crc32(key.cast("string").cast("binary")) % 5 == 0
+    """The rows whose labels are never learnt from; a null key counts as the empty text."""
+    return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality") -> dict[str, np.ndarray]:
-    """Fit on at most MAX_FIT_DOCS labelled documents that aren't held out; executors encode them, the driver sees features."""
+    """Fit on labelled documents that aren't held out, those of the least hashes of doc_id: at most MAX_FIT_DOCS of them, of
+    MAX_FIT_BYTES together; executors encode them, the driver sees features.
+
+    A passage has more than 2 * PASSAGE_WORDS bytes but for a text's last, so the bytes bound the passages too.
+    """
     marks = labels.select(F.col(key).alias("doc_id"), F.col(label).alias("_y")).filter("doc_id is not null and _y in (0, 1)").filter(~held_out(F.col("doc_id"))).dropDuplicates(["doc_id"])
     have = docs.select(F.col(key).alias("doc_id")).distinct()
     chosen = marks.join(have, "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_FIT_DOCS)
@@ -153,7 +181,13 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
             at = np.cumsum(n) - n
             yield pd.Series([x[i : i + k].astype(np.float16).tobytes() for i, k in zip(at, n, strict=True)], dtype=object)
 
-    rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("_t")).join(F.broadcast(chosen), "doc_id")  # MAX_FIT_DOCS rows at most
+    rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("_t"))
+    chosen = keep(chosen, "labelled")
+    sized = rows.select("doc_id", F.octet_length("_t").alias("_n")).join(F.broadcast(chosen), "doc_id")  # MAX_FIT_DOCS rows at most
+    sized = sized.groupBy("doc_id", "_y").agg(F.sum("_n").alias("_n"))
+    so_far = F.sum("_n").over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))  # over those few rows
+    taken = keep(sized.withColumn("_so_far", so_far).filter(F.coalesce("_so_far", F.lit(0)) <= MAX_FIT_BYTES).select("doc_id", "_y"), "fitted")
+    rows = rows.join(F.broadcast(taken), "doc_id")
     got = rows.select("doc_id", "_y", features("_t").alias("x")).toPandas().sort_values("doc_id", kind="stable")
     if got.empty:
         return fit(np.zeros((2, N_FEATURES), np.float32), np.ones(2, np.int64), np.array([0.0, 1.0], np.float32))
@@ -189,8 +223,10 @@ def score_column(model: dict[str, np.ndarray], text: Column) -> Column:
 def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with `score` (0 to 1, higher: label 1 likelier) and `predicted` (1 if score is THRESHOLD or more).
 
-    Null texts count as empty; an empty text is a bag of one empty passage.  Without a single label every text gets
-    the untaught model's score.  Labels that contradict each other for one document count once.
+    Null texts count as empty; an empty text is a bag of one empty passage.  Texts are scored whole, however long, a
+    few MB at a time.  Rows that repeat get the same score; ids play no part in it.  Without a single label every text
+    gets the untaught model's score.  Labels that contradict each other for one document count once.  Of the other
+    columns `score` and `predicted` are replaced; an empty table gives no rows.
     """
     model = train(docs, labels, key, text)
     return docs.withColumn("score", score_column(model, F.col(text))).withColumn("predicted", F.when(F.col("score") >= THRESHOLD, 1).otherwise(0))
