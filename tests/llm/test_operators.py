@@ -4,6 +4,7 @@ import base64
 import gzip
 import hashlib
 import math
+import os
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -188,13 +189,19 @@ def test_sentencepiece_matches_enumeration():
         assert abs(first[key] / n - p[key]) < 5 * math.sqrt(p[key] / n) + 1e-3
         assert abs(second[key] / n - q) < 5 * math.sqrt(q / n) + 1e-3
         assert abs(weighted[key] - p[key]) < 0.02
-    assert len(next(sentencepiece.sample_texts(v, ["a"], [1], 9))) == len(list(every("▁a")))
+    for text in ("a", "the", "the cat", "éa b"):  # k beyond the number of segmentations: all of them, each once
+        want = {a for a, _ in every(sentencepiece.normalise(text))}
+        got = next(sentencepiece.sample_texts(v, [text], [1], len(want) + 5))
+        assert len(got) == len(want) and {tuple(g[0].tolist()) for g in got} == want and all(g[3] == 0 for g in got)
 
 
 def test_sentencepiece_documents(docs, rows, empty):
     got = sentencepiece.encode_documents(docs, 2, with_ids=True).collect()
     assert all(r.round_trip for r in got) and len(got) >= len(rows)
-    assert {(r.doc_id, r.rank, r.ids_sha256) for r in got} == {(r.doc_id, r.rank, r.ids_sha256) for r in sentencepiece.encode_documents(docs.repartition(3), 2).collect()}
+    all_of = lambda df: Counter(tuple(r) for r in df.drop("ids").collect())
+    assert Counter(tuple(r)[:-1] for r in got) == all_of(sentencepiece.encode_documents(docs.repartition(3), 2))  # doubles too
+    back = sentencepiece.decode_documents(sentencepiece.encode_documents(docs, 1, with_ids=True))
+    assert as_counter(back, "doc_id", "decoded") == Counter((i, (t or "").replace("▁", " ")) for i, t in rows)
     assert [r.n_pieces for r in got if r.doc_id in (3, 4)] == [0, 0]
     assert sentencepiece.encode_documents(empty).count() == 0
 
@@ -245,7 +252,7 @@ def test_runs_on_disk_give_whole_grams():
     assert not any(map(__import__("os").path.exists, runs.files))
 
 
-def test_decontamination(spark, docs, rows, empty):
+def test_decontamination(spark, docs, rows, empty, monkeypatch):
     items = [(1, PASSAGE), (2, "one two"), (3, None), (4, ""), (5, "Hund und laeuft"), (6, " ".join(PASSAGE.split()[:12])), (10, LOREM.upper()), (11, "a1 b2 c3 d4")]
     bench = spark.createDataFrame(items, "item_id long, text string")
     want = Counter()
@@ -263,6 +270,11 @@ def test_decontamination(spark, docs, rows, empty):
         want[(i, len(w), len(hit), len(names), hashlib.sha256(",".join(sorted(names)).encode()).hexdigest(), bool(hit))] += 1
     cols = ("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
     assert as_counter(decontaminate.contaminated_words(docs, bench), *cols) == want
+    # a benchmark too large to broadcast, for a filter that lets much through
+    monkeypatch.setattr(decontaminate, "MAX_SENT", 3)
+    monkeypatch.setattr(decontaminate, "LEAST_FILTER", 1)
+    monkeypatch.setattr(decontaminate, "MOST_FILTER", 2)
+    assert as_counter(decontaminate.contaminated_words(docs, bench), *cols) == want
     assert decontaminate.contaminated_words(empty, bench).count() == 0
     assert as_counter(decontaminate.contaminated_words(docs, bench.limit(0)), "contaminated") == {(False,): len(rows)}
 
@@ -398,16 +410,49 @@ def test_quality_learns(spark):
     assert quality.classify(df, labels.limit(0)).count() == len(every) and quality.classify(df.limit(0), labels).count() == 0
 
 
-def test_attention_gradient_points_down():
-    """The loss falls, and attention weights sum to 1 in every bag."""
-    n = np.array([3, 1, 4, 2] * 20)
-    y = np.tile([1.0, 0.0, 1.0, 0.0], 20).astype(np.float32)
-    x = RNG.standard_normal((n.sum(), 6)).astype(np.float32) + np.repeat(y, n)[:, None]
-    m = quality.fit(x, n, y)
-    f = quality.forward(m, x, n)
+def test_attention_gradient_is_that_of_the_loss():
+    """Against finite differences, in double precision; the loss falls; attention weights sum to 1 in every bag."""
+    n = np.array([3, 1, 4, 2] * 5)
+    y = np.tile([1.0, 0.0, 1.0, 0.0], 5)
+    x = RNG.standard_normal((n.sum(), 6)) + np.repeat(y, n)[:, None]
+    fixed = {"mean": x.mean(0), "scale": x.std(0) + 1e-3}
+    m = {k: v.astype(np.float64) for k, v in quality.start(6).items()}
+    weight = quality.label_weights(y)
+    _, grad = quality.loss_and_gradient(m | fixed, x, n, y, weight)
+    for name, g in grad.items():
+        for at in list(np.ndindex(g.shape))[:: max(1, g.size // 7)]:
+            ends = []
+            for sign in (1, -1):
+                moved = {k: v.copy() for k, v in m.items()}
+                moved[name][at] += sign * 1e-5
+                ends.append(quality.loss_and_gradient(moved | fixed, x, n, y, weight)[0])
+            assert abs((ends[0] - ends[1]) / 2e-5 - g[at]) < 1e-6, (name, at)
+    fitted = quality.fit(x.astype(np.float32), n, y.astype(np.float32))
+    f = quality.forward(fitted, x, n)
+    assert quality.loss_and_gradient(fitted, x, n, y, weight)[0] < quality.loss_and_gradient(m | fixed, x, n, y, weight)[0] / 2
     assert np.allclose(np.add.reduceat(f["a"], f["first"]), 1, atol=1e-5) and ((f["p"] > 0.5) == y).mean() > 0.9
 
 
+@pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.01/labels.parquet"), reason="needs the driver's tables")
+def test_held_out_labels_are_told_apart(spark):
+    labels = {r.doc_id: r.quality for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()}
+    got = [(r.score, r.predicted, labels[r.doc_id]) for r in quality.op9_quality(spark, "/root/testdata/sf0.01").filter("held_out").collect() if r.doc_id in labels]
+    good, bad = [s for s, _, y in got if y == 1], [s for s, _, y in got if y == 0]
+    auc = np.mean([(a > b) + (a == b) / 2 for a in good for b in bad])
+    assert len(good) > 20 and len(bad) > 5 and auc > 0.97 and np.mean([p == y for _, p, y in got]) > 0.95
+
+
+def test_the_fit_has_a_bound(spark, monkeypatch):
+    monkeypatch.setattr(quality, "MAX_FIT_BYTES", 2000)
+    seen = []
+    fit = quality.fit
+    monkeypatch.setattr(quality, "fit", lambda x, n, y: seen.append(int(n.sum())) or fit(x, n, y))
+    df = spark.createDataFrame([(i, some(150)) for i in range(30)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(30)], "doc_id long, quality int")
+    quality.train(df, labels)
+    assert 1 <= seen[0] <= 8
+
+
 def brute_classes(rows):
     sets = []
     for i, t in rows:
