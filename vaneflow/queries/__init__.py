@@ -20,4 +20,4 @@ def query(sql: str | None = None):
     return add
 
 
-from . import alignment, catalogue, checking, graphs, signals, sources  # noqa: E402, F401
+from . import airframes, alignment, catalogue, checking, graphs, signals, sources  # noqa: E402, F401
