@@ -28,17 +28,22 @@ def _linspace(i: Column, n: Column, stop: Column, start: Column) -> Column:
     return F.floor(start + i * F.try_divide((stop - start).cast("double"), (n - 1).cast("double")))
 
 
+def _on_steps(i: Column, top: Column, n: int) -> Column:
+    """Whether rank i is one of the n whole steps from 0 to top: the steps next to where it would be are looked at."""
+    near = F.floor(F.try_divide(i * F.lit(float(n - 1)), top.cast("double")))
+    step = lambda j: j.between(0, n - 1) & (_linspace(j, F.lit(n), top, F.lit(0)) == i)
+    return F.when(top == 0, i == 0).otherwise(step(near - 1) | step(near) | step(near + 1) | step(near + 2))
+
+
 def _bounded(chosen: DataFrame, max_points: int, keys: tuple[str, ...]) -> DataFrame:
     """At most max_points of the rows marked _keep, evenly by rank; where they are fewer, others are added evenly over all rows."""
     w = Window.partitionBy(*keys)
     r = chosen.withColumns({"_k": F.sum(F.col("_keep").cast("int")).over(w), "_r": F.sum(F.col("_keep").cast("int")).over(in_time(*keys).rowsBetween(Window.unboundedPreceding, 0)) - 1})
-    steps = F.sequence(F.lit(0), F.lit(max_points - 1))
-    spread = lambda top: F.transform(steps, lambda j: _linspace(j, F.lit(max_points), top, F.lit(0)))
-    r = r.withColumn("_even", F.array_contains(spread(F.col("_n") - 1), F.col("_i")))
+    r = r.withColumn("_even", _on_steps(F.col("_i"), F.col("_n") - 1, max_points))
     # additions count in order until the number is reached
     r = r.withColumn("_add", F.sum((F.col("_even") & ~F.col("_keep")).cast("int")).over(in_time(*keys).rowsBetween(Window.unboundedPreceding, 0)))
     few = F.col("_keep") | (F.col("_even") & (F.col("_add") <= max_points - F.col("_k")))
-    many = F.col("_keep") & F.array_contains(spread(F.col("_k") - 1), F.col("_r"))
+    many = F.col("_keep") & _on_steps(F.col("_r"), F.col("_k") - 1, max_points)
     out = r.filter((F.col("_n") <= max_points) | F.when(F.col("_k") > max_points, many).otherwise(few))
     return out.drop("_i", "_n", "_keep", "_k", "_r", "_even", "_add")
 

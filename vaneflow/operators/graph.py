@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
 import uuid
 from collections.abc import Mapping
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.expressions import compile_expression
@@ -14,32 +17,45 @@ from ..functions.scalar import exact_symbol, normalize_symbol
 from . import intervals, series
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """Written to the session's shared folder where it names one, so that rounds don't pile up and survive lost executors."""
-    spark = df.sparkSession
+_own: list[str] = []
+
+
+def _folder(spark: SparkSession) -> str:
+    """A fresh folder in the one that driver and executors share; in a temporary one where a session of one process names none."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        return df.persist()
-    path = f"{base.rstrip('/')}/closure-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        if not _own:
+            _own.append(tempfile.mkdtemp(prefix="vaneflow-"))
+            atexit.register(shutil.rmtree, _own[0], True)
+        base = f"file://{_own[0]}"
+    return f"{base.rstrip('/')}/closure-{uuid.uuid4().hex}"
 
 
 def closure(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None) -> DataFrame:
     """(seed, node, depth): everything that edges (src, dst) reach from seeds (seed, node), at its least depth, the seeds at 0.
 
-    Breadth first, a join and an anti-join per level; cycles end by themselves.
+    Breadth first, a join and an anti-join per level; cycles end by themselves.  Every level is a folder of one table,
+    written once, so that rounds don't pile up and survive lost executors.
     """
-    seen = _cut(seeds.select("seed", "node", F.lit(0).alias("depth")).distinct())
-    front, depth = seen, 0
+    spark, path = edges.sparkSession, _folder(edges.sparkSession)
+    first = seeds.select("seed", "node", F.lit(0).alias("depth")).distinct()
+
+    def read(level: str) -> DataFrame:
+        return spark.read.schema(first.schema).parquet(f"{path}/level-{level}")
+
+    first.write.parquet(f"{path}/level-0")
+    depth = 0
     while max_depth is None or depth < max_depth:
+        step = read(str(depth)).join(edges.select(F.col("src").alias("node"), "dst"), "node").select("seed", F.col("dst").alias("node")).distinct()
+        fresh = step.join(read("*"), ["seed", "node"], "left_anti").withColumn("depth", F.lit(depth + 1))
         depth += 1
-        step = front.join(edges.select(F.col("src").alias("node"), "dst"), "node").select("seed", F.col("dst").alias("node")).distinct()
-        front = _cut(step.join(seen, ["seed", "node"], "left_anti").withColumn("depth", F.lit(depth)))
-        if front.isEmpty():
+        fresh.write.parquet(f"{path}/level-{depth}")
+        if read(str(depth)).isEmpty():
             break
-        seen = _cut(seen.unionByName(front))
-    return seen
+    return read("*")
 
 
 def reverse(edges: DataFrame) -> DataFrame:

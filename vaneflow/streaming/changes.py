@@ -32,16 +32,22 @@ class _Changes(StatefulProcessor):
         self.last = handle.getValueState("last", "v double")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        pdf = pd.concat(list(rows)).sort_values(["ts_us", "seq"])
         known = self.last.exists()
         before = self.last.get()[0] if known else None
-        out = []
-        for ts, v in zip(pdf["ts_us"], pdf["v"], strict=True):
-            if not known or v != before:
-                out.append((*key, ts, v, "value_changed" if known else "initial_value"))
-            known, before = True, v
-        self.last.update((before,))
-        yield pd.DataFrame(out, columns=["multi_id", "field", "ts_us", "v", "event"])
+        # a micro-batch's rows of a key come in any order, so they are sorted together, once
+        pdf = pd.concat(list(rows)).sort_values(["ts_us", "seq"])
+        last = pdf["v"].shift()
+        last.iloc[0] = before
+        moved = (pdf["v"] != last).to_numpy()
+        moved[0] |= not known
+        out = pdf.loc[moved, ["ts_us", "v"]].copy()
+        for name, value in zip(("multi_id", "field"), key, strict=True):
+            out.insert(0 if name == "multi_id" else 1, name, value)
+        out["event"] = "value_changed"
+        if not known:
+            out.iloc[0, out.columns.get_loc("event")] = "initial_value"
+        self.last.update((float(pdf["v"].iloc[-1]),))
+        yield out
 
     def close(self) -> None:
         pass
