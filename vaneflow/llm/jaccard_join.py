@@ -356,3 +356,15 @@ def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text")
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_documents(table(spark, sf_dir, "documents")).drop("class_node", "text_hash")
+
+
+OP10_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(ws[i + 1:i + 5], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(greatest(len(ws) - 4, 1))) AS i FROM w WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT a, b, k = x.n AND k = y.n AS same FROM c JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE k >= 0.8 * (x.n + y.n - k) - 1e-9),
+r(doc_id, root) AS (SELECT doc_id, doc_id FROM w UNION SELECT l.b, r.root FROM r JOIN l ON r.doc_id = l.a)
+SELECT doc_id, min(root) AS class_id, coalesce(any_value(m.links), 0) AS n_links, coalesce(any_value(m.same), 0) + 1 AS n_same
+FROM r LEFT JOIN (SELECT a AS doc_id, count(*) AS links, count(*) FILTER (same) AS same FROM l GROUP BY a) m USING (doc_id) GROUP BY doc_id
+"""

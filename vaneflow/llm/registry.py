@@ -18,5 +18,10 @@ QUERIES = {
 ORACLE_SQL = {
     "op1_exact_dedup": exact_dedup.OP1_SQL,
     "op2_chat_formatting": chat.OP2_SQL,
+    "op4_suffix_dedup": suffix_dedup.OP4_SQL,
     "op5_decontamination": decontaminate.OP5_SQL,
+    "op6_warc": warc.OP6_SQL,
+    "op7_sharding": sharding.OP7_SQL,
+    "op8_secrets": secrets.OP8_SQL,
+    "op10_jaccard_join": jaccard_join.OP10_SQL,
 }

@@ -138,3 +138,32 @@ def find_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text", owner
 
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_secrets(table(spark, sf_dir, "documents"))
+
+
+_SQL_ASSIGN = r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+
+OP8_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS owner, concat_ws('/', source, lang) AS repo,
+  translate(coalesce(text, ''), chr(57344) || chr(57346), chr(57345) || chr(57345)) AS t FROM documents),
+k(kind, name, pat) AS (VALUES (0, 'assign', '{_SQL_ASSIGN}'), (1, 'access', 'AKIA[A-Z0-9]{{16,}}'), (2, 'hex', '[0-9a-f]{{24,}}')),
+p AS (SELECT doc_id, kind, string_split(CASE kind
+    WHEN 0 THEN regexp_replace(t, '{_SQL_ASSIGN}', chr(57344) || '\\0' || chr(57344), 'g')
+    WHEN 1 THEN regexp_replace(t, 'AKIA[A-Z0-9]{{16,}}', chr(57344) || '\\0' || chr(57344), 'g')
+    ELSE regexp_replace(t, '[0-9a-f]{{24,}}', chr(57344) || '\\0' || chr(57344), 'g') END, chr(57344)) AS ps FROM d, k),
+u AS (SELECT doc_id, kind, unnest(range(1, len(ps) + 1)) AS i, unnest(ps) AS v FROM p WHERE len(ps) > 1),
+a AS (SELECT doc_id, string_agg(CASE WHEN i % 2 = 0 AND length(regexp_extract(v, '{_SQL_ASSIGN}', 2)) >= {LEAST_VALUE} THEN repeat(chr(57346), length(v)) ELSE v END, '' ORDER BY i) AS t
+  FROM u WHERE kind = 0 GROUP BY doc_id),
+b AS (SELECT doc_id, 3 AS kind, string_split(regexp_replace(coalesce(a.t, d.t), '[A-Za-z0-9+/_' || chr(57346) || '-]{{32,}}', chr(57344) || '\\0' || chr(57344), 'g'), chr(57344)) AS ps FROM d LEFT JOIN a USING (doc_id)),
+w AS (SELECT * FROM u UNION ALL SELECT doc_id, kind, unnest(range(1, len(ps) + 1)), unnest(ps) FROM b WHERE len(ps) > 1),
+o AS (SELECT *, CAST(sum(length(v)) OVER (PARTITION BY doc_id, kind ORDER BY i ROWS UNBOUNDED PRECEDING) AS BIGINT) AS e FROM w),
+s AS (SELECT doc_id, kind, e - length(v) AS s, e, CASE kind WHEN 0 THEN regexp_extract(v, '{_SQL_ASSIGN}', 2) ELSE v END AS v FROM o WHERE i % 2 = 0),
+f AS (SELECT s.*, owner, repo FROM s JOIN d USING (doc_id) WHERE CASE kind WHEN 0 THEN length(v) >= {LEAST_VALUE}
+  WHEN 3 THEN regexp_matches(v, '[0-9]') AND regexp_matches(v, '[a-z]') AND regexp_matches(v, '[A-Z]') AND NOT contains(v, chr(57346)) AND NOT regexp_matches(v, 'AKIA[A-Z0-9]{{16,}}|[0-9a-f]{{24,}}') ELSE TRUE END),
+c AS (SELECT v, count(DISTINCT owner) > {MAX_OWNERS} OR count(DISTINCT repo) > {MAX_REPOSITORIES} AS copied FROM f GROUP BY v),
+g AS (SELECT doc_id, kind, s, e, copied, ['assign', 'access', 'hex', 'bare'][kind + 1] || ':' || s || ':' || e AS name FROM f JOIN c USING (v)),
+r AS (SELECT doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
+  string_agg(name, ',' ORDER BY s, kind, e) FILTER (kind < 3) AS base, string_agg(name, ',' ORDER BY s, kind, e) FILTER (kind < 3 OR NOT copied) AS spans,
+  count(*) FILTER (kind < 3 AND NOT copied) AS n_live, count(*) FILTER (kind < 3 AND copied) AS n_copied FROM g GROUP BY doc_id)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256,
+  coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_copied, 0) AS n_copied FROM d LEFT JOIN r USING (doc_id)
+"""
