@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.expressions import compile_expression
+from ..functions.expressions import compile_expression, lower_source, names_of
 from ..functions.scalar import exact_symbol, normalize_symbol
 from . import intervals, series
 
@@ -135,27 +135,57 @@ def last_writer(writes: DataFrame, *keys: str) -> DataFrame:
 class DecisionGraph:
     """A small graph of expressions: evidence columns, branches (conditions) and operations with the branches that control them.
 
-    It is kept on the driver and becomes columns: static branches are folded first, and what they rule out is never
-    planned; the rest of the graph is one projection over a union timeline.
+    `symbols` are values on the way: each has operations of its own, which may use evidence, parameters and other
+    symbols, and takes its sole active producer's value; one whose producers can't be told, or that depends on itself,
+    is unknown.  The graph is kept on the driver and becomes columns: symbols in the order in which they depend on each
+    other, then branches and operations, all projections over a union timeline.
     """
 
-    def __init__(self, parameters: Mapping[str, float], operations: Mapping[str, tuple[str, list[str]]], branches: Mapping[str, str]):
-        self.parameters, self.operations, self.branches = dict(parameters), dict(operations), dict(branches)
-
-    def columns(self, evidence: list[str]) -> tuple[dict[str, Column], dict[str, tuple[Column, Column]]]:
-        env: dict = {n: F.col(n) for n in evidence} | self.parameters
-        conditions = {b: compile_expression(text, env).cast("boolean") for b, text in self.branches.items()}
-        return conditions, {o: (kleene_and(F.lit(True), *(conditions[b] for b in by)), compile_expression(text, env)) for o, (text, by) in self.operations.items()}
+    def __init__(self, parameters: Mapping[str, float], operations: Mapping[str, tuple[str, list[str]]], branches: Mapping[str, str], symbols: Mapping[str, Mapping[str, tuple[str, list[str]]]] | None = None):
+        self.parameters, self.operations, self.branches, self.symbols = dict(parameters), dict(operations), dict(branches), dict(symbols or {})
+
+    def order(self) -> tuple[list[str], list[str]]:
+        """Symbols so that each comes after those that it uses; and those that use themselves, by whatever way, or such a one."""
+        uses = {}
+        for s, producers in self.symbols.items():
+            texts = [t for text, by in producers.values() for t in (text, *(self.branches[b] for b in by))]
+            uses[s] = {n for t in texts for n in names_of(lower_source(t))} & set(self.symbols)
+        done: list[str] = []
+        while ready := [s for s in self.symbols if s not in done and uses[s] <= set(done)]:
+            done += ready
+        return done, [s for s in self.symbols if s not in done]
+
+    def _env(self, known: list[str]) -> dict:
+        return {n: F.col(n) for n in known} | self.parameters
+
+    def _producers(self, operations: Mapping[str, tuple[str, list[str]]], known: list[str]) -> dict[str, tuple[Column, Column]]:
+        env = self._env(known)
+        condition = lambda b: compile_expression(self.branches[b], env).cast("boolean")
+        return {o: (kleene_and(F.lit(True), *map(condition, by)), compile_expression(text, env)) for o, (text, by) in operations.items()}
+
+    def with_symbols(self, timeline: DataFrame, evidence: list[str]) -> DataFrame:
+        """The timeline with a column for each symbol, null where its value is unknown."""
+        ordered, circular = self.order()
+        for s in circular:
+            timeline = timeline.withColumn(s, F.lit(None).cast("double"))
+        known = [*evidence, *circular]
+        for s in ordered:
+            timeline = timeline.withColumn(s, sole_producer(self._producers(self.symbols[s], known))["value"])
+            known.append(s)
+        return timeline
 
     def evaluate(self, timeline: DataFrame, evidence: list[str]) -> DataFrame:
         """The output at every time: status, value and producer."""
-        return timeline.withColumn("output", sole_producer(self.columns(evidence)[1])).select("*", "output.*").drop("output")
+        rows = self.with_symbols(timeline, evidence)
+        output = sole_producer(self._producers(self.operations, [*evidence, *self.symbols]))
+        return rows.withColumn("output", output).select("*", "output.*").drop("output")
 
     def feasible_windows(self, timeline: DataFrame, evidence: list[str], *keys: str) -> DataFrame:
         """(keys, branch, start_s, end_s): when each branch is true."""
-        conditions, _ = self.columns(evidence)
-        rows = timeline.withColumn("seq", F.lit(0))
-        return reduce(DataFrame.unionByName, (series.true_windows(rows, c, *keys).withColumn("branch", F.lit(b)) for b, c in conditions.items()))
+        env = self._env([*evidence, *self.symbols])
+        rows = self.with_symbols(timeline, evidence).withColumn("seq", F.lit(0))
+        one = lambda b: series.true_windows(rows, compile_expression(self.branches[b], env).cast("boolean"), *keys).withColumn("branch", F.lit(b))
+        return reduce(DataFrame.unionByName, map(one, self.branches))
 
 
 def replay(outputs: DataFrame, actual: DataFrame, keys: list[str], tolerance: Column, share: float = 0.95) -> DataFrame:

@@ -62,6 +62,15 @@ def decision_graph(spark, d):
     return g.evaluate(timeline(spark, d), ["x", "y"]).select("multi_id", "ts_us", "status", F.round("value", 6).alias("value"))
 
 
+@query(f"""{UT}, m AS (SELECT multi_id, ts_us, x, CASE WHEN x > 50 THEN x - y ELSE x + y END AS mid FROM t), o AS (SELECT *, mid * 2 + 1 AS far FROM m)
+SELECT multi_id, ts_us, CASE WHEN far > 20 THEN 'value' WHEN far IS NULL THEN 'unresolved' ELSE 'inactive' END AS status, CASE WHEN far > 20 THEN round(far + x, 6) END AS value FROM o""")
+def decision_chain(spark, d):
+    """Symbols that build on each other, and one that goes round in a circle, which nothing depends on."""
+    symbols = {"far": {"f": ("mid * 2 + 1", [])}, "mid": {"m": ("x - y", ["high_x"]), "n": ("x + y", ["low_x"])}, "round": {"r": ("round + 1", [])}}
+    g = graph.DecisionGraph({"LIMIT": 50.0}, {"p": ("far + x", ["wide"])}, {"high_x": "x > LIMIT", "low_x": "x <= LIMIT", "wide": "far > 20"}, symbols)
+    return g.evaluate(timeline(spark, d), ["x", "y"]).select("multi_id", "ts_us", "status", F.round("value", 6).alias("value"))
+
+
 @query(f"""{UT}, o AS (SELECT multi_id, ts_us, round(ts_us / 1e6, 6) AS s, 'high_x' AS branch, x > 50 AS c FROM t UNION ALL SELECT multi_id, ts_us, round(ts_us / 1e6, 6), 'high_y', y > 50 FROM t),
 e AS (SELECT *, lag(c) OVER w AS p, max(s) OVER (PARTITION BY multi_id, branch) AS l FROM o WINDOW w AS (PARTITION BY multi_id, branch ORDER BY ts_us)), r AS (SELECT *, coalesce(lead(s) OVER (PARTITION BY multi_id, branch ORDER BY ts_us), l) AS e FROM e WHERE p IS NULL OR p <> c)
 SELECT multi_id, branch, s AS start_s, e AS end_s FROM r WHERE c""")
