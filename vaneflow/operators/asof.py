@@ -50,8 +50,7 @@ def value_at(method: str, t: Column | None = None, clamped: bool = True) -> Colu
 
     prior: the last at or before; nearest: ties go to the earlier; linear; angle_wrap: linear along the shorter arc, in
     radians; discrete_hold: like prior, but inside the span only.  clamped keeps the end values beyond the span; else
-    there is none there.  A NaN end breaks its segment.  quaternion_slerp: at the
-    right side's own times only, since one component alone can't be interpolated.
+    there is none there.  A NaN end breaks its segment.  quaternion_slerp is declared by policies, but gives null.
     """
     t = F.col("ts_us") if t is None else t
     p, n, pt, nt = F.col("prev_v"), F.col("next_v"), F.col("prev_us"), F.col("next_us")
@@ -74,14 +73,15 @@ def value_at(method: str, t: Column | None = None, clamped: bool = True) -> Colu
         x = p + share * arc
         return F.when(hit, p).when(sound, x - F.lit(2 * PI) * F.floor((x + PI) / (2 * PI)))
     if method == "quaternion_slerp":
-        return F.when(hit, p)
+        return F.lit(None).cast("double")
     raise ValueError(f"unknown method {method!r}")
 
 
 def by_policy(method: Column) -> Column:
-    """The method is a column of policies."""
-    names = ("discrete_hold", "linear", "angle_wrap", "quaternion_slerp")
-    return reduce(lambda acc, m: acc.when(method == m, value_at(m, clamped=False)), names[1:], F.when(method == names[0], value_at(names[0])))
+    """The method is a column of policies; of a quaternion's component there are values at its own times only."""
+    names = ("discrete_hold", "linear", "angle_wrap")
+    out = reduce(lambda acc, m: acc.when(method == m, value_at(m, clamped=False)), names[1:], F.when(method == names[0], value_at(names[0])))
+    return out.when((method == "quaternion_slerp") & (F.col("prev_us") == F.col("ts_us")), F.col("prev_v"))
 
 
 def align(left: DataFrame, right: DataFrame, keys: list[str], method: str = "linear", name: str = "right_v", clamped: bool = False, bucket_us: int | None = None) -> DataFrame:
