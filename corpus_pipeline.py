@@ -49,9 +49,11 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Documents that the classifier, fitted to the labels, doesn't reject.
 
     The score comes from the text alone, so rows that repeat, and rows without an id, are judged like any other; empty
-    texts get a score too.
+    texts get a score too.  Where there are no labels to learn from no document is rejected.
     """
     model = quality.train(docs, table(spark, sf_dir, "labels"))
+    if model is None:
+        return docs
     return docs.filter(quality.score_column(model, F.col("text")) >= quality.THRESHOLD)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,10 +19,12 @@ PASSAGE_WORDS = 100
 BUCKETS = 48
 #: The fit's bound: so many labelled documents at most, those with the least hash of doc_id.
 MAX_FIT_DOCS = 4000
-#: And so many bytes of text, which no document alone may exceed.
-MAX_FIT_BYTES = 128 << 20
+#: And so many bytes of text; a document of more than MAX_DOC_BYTES is not fitted to (it is scored like any other).
+MAX_FIT_BYTES, MAX_DOC_BYTES = 128 << 20, 1 << 20
 HIDDEN, ATTENTION, STEPS, RATE, DECAY, SEED = 32, 16, 250, 0.02, 1e-4, 7
 THRESHOLD = 0.3
+#: Of every text where there is nothing to learn from.
+NO_SCORE = 0.5
 
 _MARKS = b"|#$%&*!?.,;:"
 _KINDS = ("upper", "lower", "digit", "beyond", "mark", "control", *(chr(x) for x in _MARKS))
@@ -164,15 +167,21 @@ def held_out(key: Column) -> Column:
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality") -> dict[str, np.ndarray]:
+def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality") -> dict[str, np.ndarray] | None:
     """Fit on labelled documents that aren't held out, those of the least hashes of doc_id: at most MAX_FIT_DOCS of them, of
     MAX_FIT_BYTES together; executors encode them, the driver sees features.
 
-    A passage has more than 2 * PASSAGE_WORDS bytes but for a text's last, so the bytes bound the passages too.
+    Documents of more than MAX_DOC_BYTES (all rows of an id together) are left out before, so a long one takes no place
+    from others.  Labels that contradict each other for an id count as the least, whatever the order of rows.  A passage
+    has more than 2 * PASSAGE_WORDS bytes but for a text's last, so the bytes bound the passages too.  None, with a
+    warning, where there is nothing to fit to.  Labels of one value only teach that value.
     """
-    marks = labels.select(F.col(key).alias("doc_id"), F.col(label).alias("_y")).filter("doc_id is not null and _y in (0, 1)").filter(~held_out(F.col("doc_id"))).dropDuplicates(["doc_id"])
-    have = docs.select(F.col(key).alias("doc_id")).distinct()
-    chosen = marks.join(have, "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_FIT_DOCS)
+    marks = labels.select(F.col(key).alias("doc_id"), F.col(label).alias("_y")).filter("doc_id is not null and _y in (0, 1)")
+    marks = marks.filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("_y").alias("_y"))
+    rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("_t"))
+    size = F.coalesce(F.octet_length("_t"), F.lit(0)).cast("long").alias("_n")
+    sized = rows.select("doc_id", size).groupBy("doc_id").agg(F.sum("_n").alias("_n")).filter(F.col("_n") <= MAX_DOC_BYTES)
+    chosen = keep(marks.join(sized, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_FIT_DOCS), "labelled")
 
     @F.pandas_udf(T.BinaryType())
     def features(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -181,22 +190,21 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
             at = np.cumsum(n) - n
             yield pd.Series([x[i : i + k].astype(np.float16).tobytes() for i, k in zip(at, n, strict=True)], dtype=object)
 
-    rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("_t"))
-    chosen = keep(chosen, "labelled")
-    sized = rows.select("doc_id", F.octet_length("_t").alias("_n")).join(F.broadcast(chosen), "doc_id")  # MAX_FIT_DOCS rows at most
-    sized = sized.groupBy("doc_id", "_y").agg(F.sum("_n").alias("_n"))
-    so_far = F.sum("_n").over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))  # over those few rows
-    taken = keep(sized.withColumn("_so_far", so_far).filter(F.coalesce("_so_far", F.lit(0)) <= MAX_FIT_BYTES).select("doc_id", "_y"), "fitted")
-    rows = rows.join(F.broadcast(taken), "doc_id")
-    got = rows.select("doc_id", "_y", features("_t").alias("x")).toPandas().sort_values("doc_id", kind="stable")
-    if got.empty:
-        return fit(np.zeros((2, N_FEATURES), np.float32), np.ones(2, np.int64), np.array([0.0, 1.0], np.float32))
+    so_far = F.sum("_n").over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))  # over MAX_FIT_DOCS rows at most
+    taken = keep(chosen.withColumn("_so_far", so_far).filter(F.col("_so_far") <= MAX_FIT_BYTES).select("doc_id", "_y"), "fitted")
+    if taken.isEmpty():
+        logging.getLogger(__name__).warning("no model: there are no labels of documents that may be fitted to")
+        return None
+    got = rows.join(F.broadcast(taken), "doc_id").select("doc_id", "_y", features("_t").alias("x")).toPandas()
+    got = got.sort_values(["doc_id", "x"], kind="stable")
     bags = [np.frombuffer(b, np.float16).reshape(-1, N_FEATURES).astype(np.float32) for b in got["x"]]
     return fit(np.concatenate(bags), np.fromiter(map(len, bags), np.int64), got["_y"].to_numpy(np.float32))
 
 
-def score_column(model: dict[str, np.ndarray], text: Column) -> Column:
-    """The score as a column, from the text alone."""
+def score_column(model: dict[str, np.ndarray] | None, text: Column) -> Column:
+    """The score as a column, from the text alone; without a model NO_SCORE for every text."""
+    if model is None:
+        return F.lit(NO_SCORE)
 
     @F.pandas_udf(T.DoubleType())
     def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -224,8 +232,9 @@ def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     """docs with `score` (0 to 1, higher: label 1 likelier) and `predicted` (1 if score is THRESHOLD or more).
 
     Null texts count as empty; an empty text is a bag of one empty passage.  Texts are scored whole, however long, a
-    few MB at a time.  Rows that repeat get the same score; ids play no part in it.  Without a single label every text
-    gets the untaught model's score.  Labels that contradict each other for one document count once.  Of the other
+    few MB at a time.  Rows that repeat get the same score; ids play no part in it.  Without
+    labels to learn from every text gets NO_SCORE and is taken for good.  Labels that contradict each
+    other for one document count as the least.  Texts of more than MAX_DOC_BYTES are scored, but not fitted to.  Of the other
     columns `score` and `predicted` are replaced; an empty table gives no rows.
     """
     model = train(docs, labels, key, text)
