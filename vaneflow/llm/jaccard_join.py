@@ -48,7 +48,7 @@ def _family() -> tuple[np.ndarray, np.ndarray]:
 
 
 def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
-    """Each text's sorted distinct shingle hashes: WORDS words in a row, lower-cased in A-Z; a text of fewer words, but not none, has one shingle."""
+    """Each text's sorted distinct shingle hashes of 64 bits, which stand for the shingles: WORDS words in a row, lower-cased in A-Z; a text of fewer words, but not none, has one shingle."""
     buf = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
     size = np.fromiter(map(len, texts), np.int64, len(texts))
     doc_start = np.concatenate([[0], np.cumsum(size + 1)[:-1]])
@@ -63,6 +63,8 @@ def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
     lead[starts] = starts
     place = np.arange(len(buf), dtype=np.int32) - np.maximum.accumulate(lead)
     value = (_LOWER[buf] + np.uint64(1)) * weights[place & 4095]
+    if (far := np.flatnonzero(place >> 12)).size:  # words of over 4,096 bytes: their weights never repeat
+        value[far] *= _mix((place[far] >> 12).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
     value[token == 0] = 0
     h = _mix(np.add.reduceat(value, starts) + (ends - starts).astype(np.uint64))
     n = np.bincount(np.searchsorted(doc_start, starts, "right") - 1, minlength=len(texts))
@@ -308,8 +310,8 @@ def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text")
 
     Documents of equal shingle sets stand as one node with a count.  Pairs that share a MinHash band's bucket are
     compared incrementally and dropped when they are unlikely to reach the threshold; shingle sets are made only for the
-    nodes that remain, and verified exactly within the groups that likely pairs tie together, block by block where a
-    group is large.  Only counts and a spanning forest leave a task.  No bucket, group or number of partners is capped.
+    nodes that remain, and verified exactly (over all shingles' 64-bit hashes, not a sample of them) within the groups that likely pairs tie
+    together, block by block where a group is large.  Only counts and a spanning forest leave a task.  No bucket, group or number of partners is capped.
 
     Null, empty and wordless texts link to nothing and are classes of their own.  Ids may be of any type with an order;
     they never pass through Python.  A null id is never a class_id unless its class has no other.  Texts are read whole,
