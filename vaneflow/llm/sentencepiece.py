@@ -21,6 +21,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import table, trim
 
@@ -438,13 +439,14 @@ def encode_documents(docs: DataFrame, k: int = SAMPLES, key: str = "doc_id", tex
     ids_sha256: of the ids as little-endian 4-byte integers; round_trip: the decoded ids give the text, its U+2581 as
     spaces; with_ids adds the ids.  Samples of a row are distinct and depend on its key and text alone, to the last bit,
     so rows that repeat give the same samples, and rows that share a key but not the text their own.  An empty or null
-    text has one sample of no pieces; a null key seeds like 0.  Ties of perturbed log probabilities have no chance to
+    text has one sample of no pieces; a null key seeds like 0.  Keys may be of any type that casts to a string; those
+    that aren't whole numbers seed by the hash of that string.  Ties of perturbed log probabilities have no chance to
     matter: they go in the order found.  Texts are segmented whole; a very long one takes memory in proportion to its
     length.  Other columns play no part, whatever their names; an empty table gives no rows.
     """
-    kind = docs.schema[key].dataType.simpleString()
+    kind, named = docs.schema[key].dataType.simpleString(), not isinstance(docs.schema[key].dataType, T.IntegralType)
     schema = SCHEMA.format(key=kind) + (", ids array<int>" if with_ids else "")
-    fields = [pa.field("doc_id", {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]), pa.field("rank", pa.int32()), pa.field("n_pieces", pa.int64()), pa.field("log_prob", pa.float64()), pa.field("perturbed", pa.float64()), pa.field("log_inclusion", pa.float64()), pa.field("ids_sha256", pa.string()), pa.field("round_trip", pa.bool_())]
+    fields = [pa.field("rank", pa.int32()), pa.field("n_pieces", pa.int64()), pa.field("log_prob", pa.float64()), pa.field("perturbed", pa.float64()), pa.field("log_inclusion", pa.float64()), pa.field("ids_sha256", pa.string()), pa.field("round_trip", pa.bool_())]
     if with_ids:
         fields.append(pa.field("ids", pa.list_(pa.int32())))
 
@@ -453,25 +455,31 @@ def encode_documents(docs: DataFrame, k: int = SAMPLES, key: str = "doc_id", tex
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Known(vocab)
         for batch in batches:
-            ids = batch.column(0).to_pylist()
+            seeds = batch.column(2).to_pylist()
             sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_pylist()
-            keys = [i if isinstance(i, int) else 0 if i is None else int.from_bytes(hashlib.sha256(i.encode()).digest()[:7]) for i in ids]
+            keys = [int(seed, 16) if named else int(seed) for seed in seeds]
             for a, b in _batches(sizes):
                 out: list[tuple] = []
+                origin: list[int] = []
                 texts = batch.column(1).slice(a, b - a).to_pylist()
-                for doc, own, samples in zip(ids[a:b], texts, sample_texts(vocab, texts, keys[a:b], k, known), strict=True):
+                for at_row, own, samples in zip(range(a, b), texts, sample_texts(vocab, texts, keys[a:b], k, known), strict=True):
                     want = (" " + own.replace(SPACE, " ")).encode("utf-8", "surrogatepass") if own else b""
                     spelt, at = vocab.spell(np.concatenate([s[0] for s in samples])).tobytes(), 0
                     for rank, (pieces, phi, g, score) in enumerate(samples, 1):
                         to = at + int(vocab.length[pieces].sum())
                         pieces = pieces.astype("<i4", copy=False)
-                        out.append((doc, rank, len(pieces), phi, g, score, hashlib.sha256(pieces.tobytes()).hexdigest(), spelt[at:to] == want, pieces)[: len(fields)])
+                        out.append((rank, len(pieces), phi, g, score, hashlib.sha256(pieces.tobytes()).hexdigest(), spelt[at:to] == want, pieces)[: len(fields)])
+                        origin.append(at_row)
                         at = to
-                yield pa.RecordBatch.from_arrays([pa.array(list(x), f.type) for x, f in zip(zip(*out, strict=True), fields, strict=True)], schema=pa.schema(fields))
+                made = [pa.array(list(x), f.type) for x, f in zip(zip(*out, strict=True), fields, strict=True)]
+                ids = batch.column(0).take(pa.array(origin, pa.int32()))  # as they came, whatever their type
+                yield pa.RecordBatch.from_arrays([ids, *made], ["doc_id", *(f.name for f in fields)])
                 del out, texts
                 trim()
 
-    return docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, schema)
+    name = F.col(key).cast("string")
+    seed = F.substring(F.sha2(name, 256), 1, 14) if named else name
+    return docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"), F.coalesce(seed, F.lit("0")).alias("seed")).mapInArrow(run, schema)
 
 
 def decode_documents(encoded: DataFrame, ids: str = "ids", model: str = MODEL) -> DataFrame:
