@@ -47,8 +47,9 @@ def assign(docs: DataFrame, shards: int, key: str = "doc_id", text: str = "text"
     One row per input row: the key, size (UTF-8 bytes of the text, none if null, plus 16), text_crc32, law, shard,
     slot (gapless from 0 within the shard) and grown_shard, the shard if there were one more.  Law `key`: the key and
     the shard count alone decide.  Keys that aren't whole numbers are hashed.  Only key, size and checksum move, so very
-    long texts cost no more than reading them.  Slots go by sub-bucket (the checksum of the key as text), key, size and
-    checksum; rows are numbered within (shard, sub-bucket) groups, whose counts, SUB x shards rows at most, give the
+    long texts cost no more than reading them.  Slots go by sub-bucket (checksums of the key as text and of the
+    text, and size, summed up, so that neither null keys nor copies of a text share one), key, size and checksum; rows
+    equal in all of these have slots next to each other, in no order of their own.  Rows are numbered within (shard, sub-bucket) groups, whose counts, SUB x shards rows at most, give the
     offsets.  Repeated keys and rows get slots of their own; a null text has size 16 and checksum 0; other columns play
     no part, whatever their names; an empty table gives no rows.
     """
@@ -58,7 +59,7 @@ def assign(docs: DataFrame, shards: int, key: str = "doc_id", text: str = "text"
     place = lambda n: jump_column(F.col("doc_id"), n, isinstance(docs.schema[key].dataType, T.IntegralType))
     rows = rows.withColumns({"shard": place(shards), "grown_shard": place(shards + 1)})
     named = F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")
-    rows = rows.withColumn("_sub", (F.crc32(named) % SUB).cast("int"))
+    rows = rows.withColumn("_sub", ((F.crc32(named) + F.col("text_crc32") + F.col("size")) % SUB).cast("int"))
     counts = rows.groupBy("shard", "_sub").agg(F.count("*").alias("_n"))
     before = Window.partitionBy("shard").orderBy("_sub").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("shard", "_sub", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
@@ -88,7 +89,7 @@ tab AS (SELECT list(c ORDER BY i) AS t FROM t8 WHERE k = 8),
 d AS (SELECT doc_id, octet_length(encode(coalesce(text, ''))) AS n, hex(encode(coalesce(text, ''))) AS hx, hex(encode(CAST(doc_id AS VARCHAR))) AS hk FROM documents),
 crc AS (SELECT doc_id, n,
   xor(list_reduce(list_transform(range(n), lambda j: CAST('0x' || substr(hx, CAST(2 * j + 1 AS BIGINT), 2) AS BIGINT)), lambda c, b: xor(c >> 8, t[CAST(xor(c, b) & 255 AS INT) + 1]), 4294967295), 4294967295) AS text_crc32,
-  xor(list_reduce(list_transform(range(length(hk) // 2), lambda j: CAST('0x' || substr(hk, CAST(2 * j + 1 AS BIGINT), 2) AS BIGINT)), lambda c, b: xor(c >> 8, t[CAST(xor(c, b) & 255 AS INT) + 1]), 4294967295), 4294967295) % 64 AS sub
+  xor(list_reduce(list_transform(range(length(hk) // 2), lambda j: CAST('0x' || substr(hk, CAST(2 * j + 1 AS BIGINT), 2) AS BIGINT)), lambda c, b: xor(c >> 8, t[CAST(xor(c, b) & 255 AS INT) + 1]), 4294967295), 4294967295) AS key_crc32
   FROM d, tab),
 j(doc_id, n, key, b, j) AS (
   SELECT doc_id, s, CAST(doc_id AS HUGEINT), CAST(-1 AS BIGINT), CAST(0 AS BIGINT) FROM documents, (VALUES (40), (41)) v(s)
@@ -97,6 +98,6 @@ j(doc_id, n, key, b, j) AS (
   FROM (SELECT doc_id, n, j, (key * 2862933555777941757 + 1) % 18446744073709551616 AS k FROM j WHERE j < n)),
 placed AS (SELECT doc_id, CAST(max(b) FILTER (n = 40) AS INT) AS shard, CAST(max(b) FILTER (n = 41) AS INT) AS grown_shard FROM j WHERE j >= n GROUP BY doc_id)
 SELECT doc_id, CAST(n + 16 AS BIGINT) AS size, text_crc32, 'key' AS law, shard,
-  row_number() OVER (PARTITION BY shard ORDER BY sub, doc_id, n, text_crc32) - 1 AS slot, grown_shard
+  row_number() OVER (PARTITION BY shard ORDER BY (key_crc32 + text_crc32 + n + 16) % 64, doc_id, n, text_crc32) - 1 AS slot, grown_shard
 FROM crc JOIN placed USING (doc_id)
 """
