@@ -453,6 +453,69 @@ def test_the_fit_has_a_bound(spark, monkeypatch):
     assert 1 <= seen[0] <= 8
 
 
+def test_long_texts_take_no_place_in_the_fit(spark, monkeypatch):
+    """Wherever a text above the bound stands, the others are fitted to, and it is scored."""
+    monkeypatch.setattr(quality, "MAX_DOC_BYTES", 5000)
+    good, bad = (lambda: some(80)), (lambda: " ".join(w.upper() + "!!" for w in some(80).split()))
+    rows = [(i, good() if i % 2 else bad()) for i in range(60)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    seen, fit = [], quality.fit
+    monkeypatch.setattr(quality, "fit", lambda x, n, y: seen.append(len(y)) or fit(x, n, y))
+    order = [r[0] for r in labels.filter(~quality.held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id")).collect()]
+    for long in (order[0], order[len(order) // 2]):
+        df = spark.createDataFrame([(i, (t + " ") * 300 if i == long else t) for i, t in rows], "doc_id long, text string")
+        got = {r.doc_id: r for r in quality.classify(df, labels).collect()}
+        assert len(got) == 60 and all(r.predicted == i % 2 for i, r in got.items() if i != long)
+    assert seen == [len(order) - 1] * 2
+
+
+def test_labels_that_contradict_each_other(spark):
+    df = spark.createDataFrame([(i, some(60) if i % 2 else some(60).upper()) for i in range(40)], "doc_id long, text string")
+    rows = [(i, y) for i in range(40) for y in ((i % 2, 0) if i < 8 else (i % 2,))]
+    scores = []
+    for order in (rows, rows[::-1]):
+        labels = spark.createDataFrame(order, "doc_id long, quality int").coalesce(1)
+        scores.append(as_counter(quality.classify(df, labels), "doc_id", "score"))
+    assert scores[0] == scores[1]
+
+
+def test_nothing_to_learn_from(spark, docs):
+    for rows in ([], [(1, None), (2, 7)]):
+        labels = spark.createDataFrame(rows, "doc_id long, quality int")
+        assert quality.train(docs, labels) is None
+        assert as_counter(quality.classify(docs, labels), "score", "predicted") == Counter({(quality.NO_SCORE, 1): docs.count()})
+
+
+def test_long_words_that_differ_are_different():
+    a, b = b"a" * 4096, b"b" * 4096
+    sets = jaccard_join.shingle_sets([a + b, b + a, a + b, a + a, a, a * 3 + b, a * 2 + b + a])
+    assert [tuple(s) for s in sets].count(tuple(sets[0])) == 2 and len({tuple(s) for s in sets}) == 6
+
+
+def test_keys_of_any_type_seed_samples(spark):
+    texts = [some(20), some(20)]
+    for kind, values in (("smallint", ["1", "2"]), ("decimal(9,2)", ["1.50", "2.25"]), ("binary", ["x", "y"]), ("date", ["2020-01-01", "2021-02-03"]), ("long", ["-5", "7"])):
+        df = spark.createDataFrame(list(zip(values, texts, strict=True)), "i string, text string").select(F.col("i").cast(kind).alias("doc_id"), "text")
+        found = sentencepiece.encode_documents(df, 2)
+        assert found.schema["doc_id"].dataType == df.schema["doc_id"].dataType
+        assert as_counter(found, F.col("doc_id").cast("string"), "rank") == Counter((v, r) for v in values for r in (1, 2))
+
+
+def test_equal_keys_spread_over_sub_buckets(spark):
+    df = spark.createDataFrame([(None, some(3)) for _ in range(400)], "doc_id long, text string")
+    got = sharding.assign(df, 3)
+    assert sorted(r.slot for r in got.collect()) == list(range(400))
+    sub = (F.crc32(F.lit("").cast("binary")) + F.col("text_crc32") + F.col("size")) % sharding.SUB
+    assert got.select(sub).distinct().count() > 40
+
+
+def test_least_id_is_not_null(spark):
+    text = some(40)
+    df = spark.createDataFrame([(-(2**63), text), (None, text), (5, text)], "doc_id long, text string")
+    assert as_counter(suffix_dedup.remove_repeats(df), "doc_id", F.col("n_removed") > 0) == Counter([(-(2**63), True), (None, False), (5, True)])
+    assert suffix_dedup.remove_repeats(df.filter("doc_id = 5").withColumn("doc_id", F.col("doc_id").cast("int"))).schema["doc_id"].dataType.simpleString() == "int"
+
+
 def brute_classes(rows):
     sets = []
     for i, t in rows:

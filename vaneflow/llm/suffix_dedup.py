@@ -404,12 +404,17 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
     Strings are judged on the input and never cross documents.  Null text is empty; texts of fewer bytes lose nothing.
     Rows that share doc_id count as documents in the order of their texts' hashes; rows that repeat both are one
-    document, judged alike.  A null doc_id sorts first.  An empty table gives no rows.
+    document, judged alike.  A null doc_id sorts first.  Texts are read whole; a very long one takes memory in proportion
+    to its length.  Keys may be of any type with an order and come back as they were.  Other columns play no part,
+    whatever their names.  An empty table gives no rows.
     """
     if not isinstance(docs.schema[key].dataType, T.IntegralType):
         return _by_rank(docs, key, text)
-    least = -(2**63)
-    size = docs.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0
+    least = -(2**63)  # stands for null
+    size, first = docs.agg(F.sum(F.octet_length(F.col(text))), F.min(F.col(key).cast("long"))).first()
+    if first == least:
+        return _by_rank(docs, key, text)
+    size = size or 0
     buckets = 24 + size // BUCKET_BYTES
     rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(least)).alias("k"), F.xxhash64(F.col(text)).alias("h"), F.col(text).alias("text"))
     packed = rows.mapInPandas(_anchor_rows(buckets), PACKED).repartition(buckets, "bucket")
@@ -424,7 +429,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     gone = judged.filter(F.col("kind") == RESOLVED).select("k", "h", "lo", "n").unionByName(compared)
     spans = gone.groupBy("k", "h").agg(F.collect_list(F.struct("lo", "n")).alias("spans")).withColumnsRenamed({"k": "_k", "h": "_h"})
     full = dealt.join(spans, (F.col("k") == F.col("_k")) & (F.col("h") == F.col("_h")), "left").select("k", "text", "spans")
-    return full.mapInPandas(_cut, CUT).withColumn("doc_id", F.when(F.col("doc_id") != least, F.col("doc_id")))
+    return full.mapInPandas(_cut, CUT).withColumn("doc_id", F.when(F.col("doc_id") != least, F.col("doc_id")).cast(docs.schema[key].dataType))
 
 
 def _by_rank(docs: DataFrame, key: str, text: str) -> DataFrame:
