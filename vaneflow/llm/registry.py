@@ -1,10 +1,12 @@
 """The queries of this subpackage and their SQL."""
 
-from . import chat, decontaminate, exact_dedup, jaccard_join, quality, secrets, sentencepiece, sharding, suffix_dedup, warc
+from . import chat, decontaminate, exact_dedup, hard_negatives, jaccard_join, quality, secrets, sentencepiece, sharding, suffix_dedup, vector_codes, warc
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
     "op10_jaccard_join": jaccard_join.op10_jaccard_join,
+    "op11_vector_codes": vector_codes.op11_vector_codes,
+    "op12_hard_negatives": hard_negatives.op12_hard_negatives,
     "op2_chat_formatting": chat.op2_chat_formatting,
     "op3_sentencepiece": sentencepiece.op3_sentencepiece,
     "op4_suffix_dedup": suffix_dedup.op4_suffix_dedup,
@@ -24,4 +26,6 @@ ORACLE_SQL = {
     "op7_sharding": sharding.OP7_SQL,
     "op8_secrets": secrets.OP8_SQL,
     "op10_jaccard_join": jaccard_join.OP10_SQL,
+    "op11_vector_codes": vector_codes.OP11_SQL,
+    "op12_hard_negatives": hard_negatives.OP12_SQL,
 }
