@@ -1,12 +1,13 @@
 """The queries of this subpackage and their SQL."""
 
-from . import chat, decontaminate, exact_dedup, hard_negatives, jaccard_join, quality, secrets, sentencepiece, sharding, suffix_dedup, vector_codes, warc
+from . import chat, decontaminate, exact_dedup, hard_negatives, jaccard_join, mixing, quality, secrets, sentencepiece, sharding, suffix_dedup, vector_codes, warc
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
     "op10_jaccard_join": jaccard_join.op10_jaccard_join,
     "op11_vector_codes": vector_codes.op11_vector_codes,
     "op12_hard_negatives": hard_negatives.op12_hard_negatives,
+    "op13_mixing": mixing.op13_mixing,
     "op2_chat_formatting": chat.op2_chat_formatting,
     "op3_sentencepiece": sentencepiece.op3_sentencepiece,
     "op4_suffix_dedup": suffix_dedup.op4_suffix_dedup,
@@ -28,4 +29,5 @@ ORACLE_SQL = {
     "op10_jaccard_join": jaccard_join.OP10_SQL,
     "op11_vector_codes": vector_codes.OP11_SQL,
     "op12_hard_negatives": hard_negatives.OP12_SQL,
+    "op13_mixing": mixing.OP13_SQL,
 }
