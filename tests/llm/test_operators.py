@@ -14,7 +14,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from vaneflow.llm import chat, decontaminate, exact_dedup, jaccard_join, quality, secrets, sentencepiece, sharding, suffix_dedup, warc
+from vaneflow.llm import chat, decontaminate, exact_dedup, hard_negatives, jaccard_join, mixing, quality, secrets, sentencepiece, sharding, suffix_dedup, vector_codes, warc
 
 LOREM = "der schnelle braune Fuchs springt ueber den faulen Hund und laeuft dann in den dunklen Wald hinein wo er sich ausruht bis der Morgen kommt"
 RNG = np.random.default_rng(5)
@@ -590,3 +590,176 @@ def test_pruning_keeps_pairs_at_the_threshold():
     least = jaccard_join.least_matches()
     tail = lambda n, m: sum(math.comb(n, i) * 0.8**i * 0.2 ** (n - i) for i in range(m))
     assert all(tail(n, m) < 1e-5 for n, m in least.items()) and least[128] > 60
+
+
+def brute_codes(rows, parts=16, entries=64, rounds=2):
+    """Lloyd's rounds over (id, vector) with every distance computed."""
+    kept = [(i, [math.floor(256 * x) for x in v]) for i, v in rows if v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    kept.sort(key=lambda r: (r[0] is None, r[0] or 0))
+    w = len(kept[0][1]) // parts
+    cut = [[v[p * w : (p + 1) * w] for p in range(parts)] for _, v in kept]
+    books = [[cut[k][p] for k in range(min(entries, len(cut)))] for p in range(parts)]
+    far = lambda a, b: sum((x - y) ** 2 for x, y in zip(a, b, strict=True))
+    for r in range(rounds + 1):
+        near = [[min(range(len(books[p])), key=lambda k: (far(v[p], books[p][k]), k)) for p in range(parts)] for v in cut]  # noqa: B023
+        if r < rounds:
+            for p in range(parts):
+                for k in range(len(books[p])):
+                    own = [v[p] for v, c in zip(cut, near, strict=True) if c[p] == k]
+                    if own:
+                        books[p][k] = [sum(x) // len(own) for x in zip(*own, strict=True)]
+    digest = hashlib.sha256(",".join(str(x) for b in books for e in b for x in e).encode()).hexdigest()
+    return [(i, "".join(f"{c:02x}" for c in n), sum(far(v[p], books[p][n[p]]) for p in range(parts)), digest) for (i, _), v, n in zip(kept, cut, near, strict=True)]
+
+
+@pytest.fixture(scope="module")
+def vectors():
+    r = np.random.default_rng(11)
+    base = [list(map(float, v)) for v in r.normal(size=(300, 32)).astype(np.float32)]
+    rows = [(i, v, i % 4) for i, v in enumerate(base)]
+    rows += [(300 + i, base[7], 1) for i in range(150)]  # copies
+    rows += [(500 + i, [float(x) for x in r.integers(-1, 2, 32)], None if i % 3 else 2) for i in range(60)]  # ties
+    rows += [(600, None, 1), (601, [None, *base[0][1:]], 1), (602, [math.nan, *base[0][1:]], 1), (603, [math.inf, *base[0][1:]], 2), (604, [], 0)]
+    return rows + [(None, base[3], 5), (700, base[5], 5), (700, base[5], 5), (800, [1e30, -1e30, *base[1][2:]], 0)]
+
+
+@pytest.fixture(scope="module")
+def embedded(spark, vectors):
+    return spark.createDataFrame([(*r, "x", 1.0, b"y", "z") for r in vectors], "vec_id long, embedding array<double>, label int, code string, error double, x binary, list string").repartition(5)
+
+
+@pytest.mark.parametrize("block", [4096, 40])
+def test_vector_codes(spark, embedded, vectors, block, monkeypatch):
+    monkeypatch.setattr(vector_codes, "BLOCK", block)
+    limit = 2.0**24 / 256
+    usable = [(i, v and [x if x is None or not math.isfinite(x) else max(-limit, min(limit, x)) for x in v]) for i, v, _ in vectors if v != []]
+    want = brute_codes(usable)
+    got = vector_codes.compress(embedded)
+    assert as_counter(got, "vec_id", "code", "error", "codebooks_sha256") == Counter(want)
+    label = {i: y for i, _, y in vectors}
+    total = defaultdict(int)
+    for i, _, e, _ in want:
+        total[label[i]] += e
+    assert all(r.label_error == total[label[r.vec_id]] for r in got.collect())
+
+
+def test_vector_codes_of_few_rows(spark):
+    df = lambda rows: spark.createDataFrame(rows, "vec_id string, embedding array<float>, label string")
+    assert vector_codes.compress(df([])).count() == 0
+    assert vector_codes.compress(df([("a", None, "x")])).count() == 0
+    one = vector_codes.compress(df([("a", [0.5] * 16, None)])).collect()
+    assert [(r.vec_id, r.code, r.error, r.label_error) for r in one] == [("a", "00" * 16, 0, 0)]
+
+
+def test_heaps_leave_most_parts_alone(spark):
+    """Parts are rescanned only when drift reaches them, and those heaps that don't change stay heaps."""
+    r = np.random.default_rng(2)
+    x = np.rint(r.normal(size=(2000, 2, 4)) * 100).astype(np.int64)
+    books = np.rint(r.normal(size=(2, 64, 4)) * 100).astype(np.int64)
+    (nearest, key, heap), _, scanned = vector_codes.assign(x, books, None, None)
+    assert scanned == 4000
+    drift = np.zeros((2, 64))
+    for _ in range(4):
+        new = books + r.integers(-1, 2, books.shape)
+        drift = drift + vector_codes.drifted(books, new)
+        books = new
+        due = [vector_codes.pop(heap[p], np.bincount(nearest[p], minlength=64), key[p], drift[p]) for p in range(2)]
+        assert all(set(d) == set(np.flatnonzero(key[p] <= drift[p][nearest[p]])) for p, d in enumerate(due))
+        (nearest, key, heap), _, scanned = vector_codes.assign(x, books, drift, (nearest, key, heap))
+        assert 0 < scanned == sum(map(len, due)) < 2000
+        for p in range(2):
+            assert (nearest[p] == vector_codes.scan(x[:, p], books[p])[0]).all()
+            assert sorted(heap[p]) == list(range(2000))
+            at = 0
+            for k, n in enumerate(np.bincount(nearest[p], minlength=64)):
+                own = key[p][heap[p][at : at + n]]
+                assert (nearest[p][heap[p][at : at + n]] == k).all() and all(own[(j - 1) // 2] <= own[j] for j in range(1, n))
+                at += n
+
+
+def brute_negatives(rows, every=100, n_pos=5, n_neg=10):
+    whole = lambda v: [max(-(2**24), min(2**24, math.floor(256 * x))) for x in v]
+    kept = [(i, whole(v), y) for i, v, y in rows if y is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    order = lambda r: (-r[0], r[1] is None, r[1] or 0)
+    out = Counter()
+    for a, v, y in {(i, tuple(v), y) for i, v, y in kept if i is not None and i % every == 0}:
+        scored = [(sum(p * q for p, q in zip(v, w, strict=True)), i, z) for i, w, z in kept]
+        for ps, p, _ in sorted((s for s in scored if s[2] == y and s[1] != a), key=order)[:n_pos]:
+            inside = sorted((s for s in scored if s[2] != y and 30 * ps <= 100 * s[0] <= 90 * ps), key=order)[:n_neg]
+            out.update((a, p, n, i, ps, s) for n, (s, i, _) in enumerate(inside, 1))
+    return out
+
+
+@pytest.mark.parametrize("bound", [None, 4000])
+def test_hard_negatives(spark, embedded, vectors, bound, monkeypatch):
+    if bound:  # several blocks of anchors, and few rows at a time
+        for name, value in (("ANCHOR_BYTES", bound), ("ROWS", 16), ("FIRST_ROWS", 3), ("ANCHORS", 2)):
+            monkeypatch.setattr(hard_negatives, name, value)
+    got = hard_negatives.hard_negatives(embedded, F.col("vec_id") % 20 == 0)
+    want = brute_negatives([r for r in vectors if r[1] != []], 20)
+    assert want and as_counter(got, "anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score") == want
+    assert hard_negatives.hard_negatives(embedded.limit(0), F.col("vec_id") % 20 == 0).count() == 0
+    assert hard_negatives.hard_negatives(embedded, F.col("vec_id") == -1).count() == 0
+
+
+def test_rotation_bounds_hold():
+    """What is discarded early couldn't have scored inside the bounds."""
+    r = np.random.default_rng(4)
+    a, b = (np.rint(r.normal(size=(n, 32)) * 0.5 ** np.arange(32) * 10_000).astype(np.int64) for n in (40, 500))
+    rot = hard_negatives.Rotation(b[:200], 32)
+    exact = a @ b.T
+    low, high = np.sort(exact, 1)[:, -20].astype(float), np.sort(exact, 1)[:, -5].astype(float)
+    i, j = hard_negatives.survivors(rot, rot.turn(a), rot.turn(b), low, high, np.zeros(exact.shape, bool))
+    live = np.zeros(exact.shape, bool)
+    live[i, j] = True
+    assert live[(exact >= low[:, None]) & (exact <= high[:, None])].all() and live.mean() < 0.2
+
+
+def brute_targets(sizes, weights=(1, 2, 3), most=3):
+    """Sharing again and again what is above the limits."""
+    names = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: weights[k % len(weights)] for k, s in enumerate(names)}
+    full, left = set(), sum(sizes.values())
+    while True:
+        rest = left - sum(most * sizes[s] for s in full)
+        free = sum(weight[s] for s in names if s not in full)
+        share = {s: most * sizes[s] if s in full else rest * weight[s] / free for s in names}
+        over = {s for s in names if s not in full and share[s] > most * sizes[s]}
+        if not over:
+            return share
+        full |= over
+
+
+def test_mixing(spark, docs, rows, empty):
+    many = [(1000 + i, some(int(n)), f"t{i % 7}" if i % 3 else "hot") for i, n in enumerate(RNG.integers(1, 80, 900))]
+    many += [(3000, LONG, "hot"), (3001, None, "hot"), (3002, " \n", "none"), (None, "no id", None), (None, "no id at all", None), (3003, "twice", "t1"), (3003, "twice", "t1")]
+    many += [(4000 + i, "tiny text", "small") for i in range(3)]
+    df = spark.createDataFrame([(*r, "x", 1.0, 2) for r in many], "doc_id long, text string, source string, u string, rank double, n int").repartition(4)
+    got = mixing.mix(df).collect()
+    assert Counter((r.doc_id, r.size, r.source) for r in got) == Counter((i, len(re.findall(r"[^\x20\x09-\x0D]+", t or "")), s) for i, t, s in many)
+    sizes, taken, target = defaultdict(int), defaultdict(int), {}
+    for r in got:
+        sizes[r.source] += r.size
+        taken[r.source] += r.taken
+        target[r.source] = r.target
+        assert r.taken <= 3 * r.size and r.taken == r.copies * r.size
+    assert all(r.source_size == sizes[r.source] for r in got)
+    for s, t in brute_targets(sizes).items():
+        assert math.isclose(target[s], t, rel_tol=1e-9, abs_tol=1e-9)
+        assert taken[s] <= t + 1e-6 and (t < 100 or taken[s] > 0.98 * t)
+    again = mixing.mix(df.repartition(7)).collect()
+    assert Counter((r.doc_id, r.size, r.taken) for r in again) == Counter((r.doc_id, r.size, r.taken) for r in got)
+    assert mixing.mix(docs).count() == len(rows) and mixing.mix(empty).count() == 0
+
+
+def test_ranges_of_ranks_do_not_matter(spark, monkeypatch):
+    """Samples by narrow ranges of ranks are those of one range, and chances are those of the targets."""
+    df = spark.createDataFrame([(i, some(int(n)), "a" if i < 2500 else "b") for i, n in enumerate(RNG.integers(1, 9, 3000))], "doc_id long, text string, source string")
+    whole = as_counter(mixing.mix(df), "doc_id", "copies")
+    monkeypatch.setattr(mixing, "RANGE_DOCS", 50)
+    assert as_counter(mixing.mix(df), "doc_id", "copies") == whole
+    seen = defaultdict(list)
+    for r in mixing.mix(df).collect():
+        seen[r.source, r.size > 4].append(r.copies)
+    share = {s: np.mean(x) for s, x in seen.items()}
+    assert abs(share["a", True] - share["a", False]) < 0.1
