@@ -756,8 +756,9 @@ def test_ranges_of_ranks_do_not_matter(spark, monkeypatch):
     """Samples by narrow ranges of ranks are those of one range, and chances are those of the targets."""
     df = spark.createDataFrame([(i, some(int(n)), "a" if i < 2500 else "b") for i, n in enumerate(RNG.integers(1, 9, 3000))], "doc_id long, text string, source string")
     whole = as_counter(mixing.mix(df), "doc_id", "copies")
-    monkeypatch.setattr(mixing, "RANGE_DOCS", 50)
-    assert as_counter(mixing.mix(df), "doc_id", "copies") == whole
+    for n in (1, 500):
+        monkeypatch.setattr(mixing, "ranges", lambda _, n=n: F.lit(n))
+        assert as_counter(mixing.mix(df), "doc_id", "copies") == whole
     seen = defaultdict(list)
     for r in mixing.mix(df).collect():
         seen[r.source, r.size > 4].append(r.copies)

@@ -17,8 +17,6 @@ from pyspark.sql.window import Window
 from .common import join_counted, keep, mark, release, table
 
 WEIGHTS, MOST, SEED = (1, 2, 3), 3, 13
-#: Ranks of a source are summed up in ranges of about so many documents.
-RANGE_DOCS = 10_000
 #: The sample ends before the document that no longer fits; so often is the gap filled by later ones that do.
 FILLS = 5
 KEYS = ["no_source", "source"]
@@ -63,6 +61,11 @@ def picked() -> Column:
     return F.exists("cuts", lambda c: (F.col("size") <= c["gap"]) & (rank() < c["rank"]))
 
 
+def ranges(n: Column) -> Column:
+    """Into how many ranges the ranks of n documents are cut: about as many as a range then holds."""
+    return F.ceil(F.sqrt(n))
+
+
 def rank() -> Column:
     """Random odds over inclusion odds."""
     return F.col("u") / (1 - F.col("u")) / F.col("odds")
@@ -73,7 +76,7 @@ def _fill(rows: DataFrame, sources: DataFrame) -> DataFrame | None:
 
     The sources with their cuts and gaps after it; None where nothing fits.
     """
-    place = F.floor(F.ceil(F.col("n") / RANGE_DOCS) * rank() / (1 + rank())).alias("place")
+    place = F.floor(ranges(F.col("n")) * rank() / (1 + rank())).alias("place")
 
     def candidates(known: DataFrame) -> DataFrame:
         joined = join_counted(rows, known, KEYS, "n")
