@@ -6,7 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
-from collections.abc import Mapping
+from collections.abc import Iterable, Mapping
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -138,11 +138,14 @@ class DecisionGraph:
     `symbols` are values on the way: each has operations of its own, which may use evidence, parameters and other
     symbols, and takes its sole active producer's value; one whose producers can't be told, or that depends on itself,
     is unknown.  The graph is kept on the driver and becomes columns: symbols in the order in which they depend on each
-    other, then branches and operations, all projections over a union timeline.
+    other, then branches and operations, all projections over a union timeline.  `evaluated` names branches whose state
+    the timeline brings along as branch_<name> (feasibility.states_at: folded, or looked up in windows); where it is
+    unknown the branch's own expression counts.
     """
 
-    def __init__(self, parameters: Mapping[str, float], operations: Mapping[str, tuple[str, list[str]]], branches: Mapping[str, str], symbols: Mapping[str, Mapping[str, tuple[str, list[str]]]] | None = None):
+    def __init__(self, parameters: Mapping[str, float], operations: Mapping[str, tuple[str, list[str]]], branches: Mapping[str, str], symbols: Mapping[str, Mapping[str, tuple[str, list[str]]]] | None = None, evaluated: Iterable[str] = ()):
         self.parameters, self.operations, self.branches, self.symbols = dict(parameters), dict(operations), dict(branches), dict(symbols or {})
+        self.evaluated = set(evaluated)
 
     def order(self) -> tuple[list[str], list[str]]:
         """Symbols so that each comes after those that it uses; and those that use themselves, by whatever way, or such a one."""
@@ -160,7 +163,10 @@ class DecisionGraph:
 
     def _producers(self, operations: Mapping[str, tuple[str, list[str]]], known: list[str]) -> dict[str, tuple[Column, Column]]:
         env = self._env(known)
-        condition = lambda b: compile_expression(self.branches[b], env).cast("boolean")
+        def condition(b: str) -> Column:
+            own = compile_expression(self.branches[b], env).cast("boolean")
+            return F.coalesce(F.col(f"branch_{b}"), own) if b in self.evaluated else own
+
         return {o: (kleene_and(F.lit(True), *map(condition, by)), compile_expression(text, env)) for o, (text, by) in operations.items()}
 
     def with_symbols(self, timeline: DataFrame, evidence: list[str]) -> DataFrame:

@@ -20,4 +20,4 @@ def query(sql: str | None = None):
     return add
 
 
-from . import airframes, alignment, catalogue, checking, graphs, signals, slicing, sources  # noqa: E402, F401
+from . import airframes, alignment, catalogue, checking, feasible, graphs, signals, slicing, sources  # noqa: E402, F401
