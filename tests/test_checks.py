@@ -115,6 +115,7 @@ def test_signal_resolution(spark):
 
 def test_policies(spark):
     rows = [("bool", "x", None, False, None, "discrete_hold"), ("float32", "reset_counter", None, False, None, "discrete_hold"), ("float32", "delta_q_reset", None, False, 4, "discrete_hold"), ("float32", "q", "Quaternion", False, 4, "quaternion_slerp"), ("uint8", "x", "wrap", False, None, "discrete_hold"), ("float32", "yaw", "[rad] heading -pi..pi", False, None, "angle_wrap"), ("float32", "yawspeed", "[rad/s]", False, None, "linear"), ("float32", "x", None, False, None, "linear"), ("float32", "m", None, True, None, "discrete_hold")]
+    rows += [("float32", "yaw", "in radians -PI..+PI", False, None, "angle_wrap"), ("float32", "azimuth", "[rad]", False, None, "angle_wrap"), ("float32", "scroll", "(rad)", False, None, "linear"), ("float32", "wind_angle_ratio", "[rad]", False, None, "linear"), ("float32", "v", "[metres/sec]", False, None, "linear"), ("float32", "z", "down, in m", False, None, "linear"), ("float32", "heading_rate", "radians / s", False, None, "linear"), ("float32", "cog_rad", "(rad)", False, None, "angle_wrap"), ("float32", "v", "allow to wrap [rad]", False, None, "linear"), ("float32", "orientation_q", None, False, 4, "quaternion_slerp"), ("float32", "r", "quaterion", False, 4, "quaternion_slerp"), ("float32", "sensor_ids", None, False, None, "discrete_hold"), ("float32", "v", "+PI limit, radian", False, None, "angle_wrap")]
     df = spark.createDataFrame(rows, "t string, n string, c string, e boolean, a int, want string")
     got = df.withColumn("p", scalar.signal_policy(F.col("t"), F.col("n"), F.col("c"), F.col("e"), F.col("a"))).collect()
     assert [r.p.method for r in got] == [r.want for r in got] and got[7].p.confidence == "low"

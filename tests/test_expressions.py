@@ -89,6 +89,10 @@ def test_comparison_about_a_parameter():
         ("(x.get() == true) || !y", "Q"): ("==", "true"),
         ("A_B <= -2.5f && C > 3", "A_B"): ("<=", "-2.5"),
         ("", "A_B"): (None, None),
+        ("a->b.get() > 3", "A_B"): (">", "3"),
+        ("(int)P.get() == 1", "P"): ("==", "1"),
+        ("static_cast<int32_t>(A_B) == 1", "A_B"): ("==", "1"),
+        ("A_B_C > 1 && A_B < 2", "A_B"): ("<", "2"),
     }
     for (text, name), want in cases.items():
         assert comparison_of(text, name) == want, text

@@ -319,11 +319,22 @@ def branches_to_ternary(branches: list[tuple[str, str]], fallback: str) -> str:
 COMPARED = {ast.GtE: ">=", ast.LtE: "<=", ast.Eq: "==", ast.NotEq: "!=", ast.Gt: ">", ast.Lt: "<"}
 
 
+# Types that a cast may name.
+CASTS = ["bool", "char", "int", "unsigned", "long", "float", "double", "size_t", "int8_t", "int16_t", "int32_t", "int64_t", "uint8_t", "uint16_t", "uint32_t", "uint64_t"]
+
+
+def without_casts(text: str) -> str:
+    """Casts in either style taken away, members of pointers as those of objects."""
+    kind = rf"(?:const\s+)?(?:{'|'.join(CASTS)})\b\s*"
+    return re.sub(rf"\(\s*{kind}\)|static_cast\s*<\s*{kind}>", "", text).replace("->", ".")
+
+
 def comparison_of(predicate: str, parameter: str) -> tuple[str | None, str | None]:
     """(operator, literal) of the predicate's first comparison whose left side names the parameter or reads one (`get()`).
 
     The right side is a number, true or false, or a name; (None, None) if there is no such comparison.
     """
+    predicate = without_casts(predicate)
     try:
         tree = parse(lower_source(predicate.replace("::", ".")))
     except UnsupportedExpression:
@@ -333,7 +344,7 @@ def comparison_of(predicate: str, parameter: str) -> tuple[str | None, str | Non
     compared = [n for n in ast.walk(tree) if isinstance(n, ast.Compare) and len(n.ops) == 1 and type(n.ops[0]) in COMPARED]
     for node in sorted(compared, key=lambda n: (n.lineno, n.col_offset)):
         left, right = ast.unparse(node.left), _literal(node.comparators[0])
-        if right is not None and (".get()" in left or parameter in left):
+        if right is not None and (".get()" in left or parameter in re.findall(r"\w+", left)):
             return COMPARED[type(node.ops[0])], right
     return None, None
 

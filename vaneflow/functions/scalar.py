@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .units import unit_of
+
 # ---- clocks: three roundings of microseconds, which operators keep apart
 
 
@@ -169,29 +172,48 @@ def enum_key(label: Column) -> Column:
 
 # ---- resampling policy of a field, from its type, name and comment
 
-# Shapes of names, comments and types of the message definitions.
-DISCRETE_NAME = r"(_counter|_count|_id|_index|_flags|_bitfield)$|^reset_count|^counter$"
+# Types, names and words of the message definitions.
+DISCRETE_ENDS = ["_counter", "_count", "reset_count", "_id", "_ids", "_index", "_indices", "_bitfield", "_bitmask", "_flags", "_flag"]
 INTEGERS = ["int8", "int16", "int32", "int64", "uint8", "uint16", "uint32", "uint64", "char", "byte"]
 FLOATS = ["float32", "float64"]
-RESET_NAME, RESET_COMMENT = "^delta_", "amount by which.*reset"
-QUATERNION_NAME, QUATERNION_COMMENT = "^(delta_)?q(_|$)", "quaternion"
-ANGLE_NAME, ANGLE_COMMENT = "yaw|heading|roll|pitch|bearing|course|angle", "-pi|wrap"
-UNIT = r"(?i)[\[(]\s*(rad/s|rad|m/s\^?2|m/s|deg/s|deg|hz|pa|celsius|m|s|v|a|%|us|ms)\s*[\])]"
+RESET_WORDS = ["amount by which", "reset delta"]
+QUATERNION_WORDS = ["quaternion", "quaterion"]
+ANGLE_NAMES = ["heading", "yaw", "roll", "pitch", "cog_rad", "course", "bearing", "azimuth"]
+RADIANS = ["rad", "radian", "radians"]
+RATE_UNITS = ["rad/s", "radian/s", "radians/s", "deg/s", "degree/s", "degrees/s"]
+SIGNED_PI = r"[-+]\s*PI\b"
+
+
+def _any_of(words: list[str], test: Callable[[str], Column]) -> Column:
+    return reduce(lambda a, b: a | b, map(test, words))
+
+
+def is_absolute_angle(name: Column, comment: Column) -> Column:
+    """In radians, not a rate, and cyclic: by a range with PI in the comment, or by a part of the name."""
+    text = F.lower(comment)
+    close = F.regexp_replace(comment, r"\s", "")
+    rate = _any_of(RATE_UNITS, F.lower(close).contains) | text.rlike(r"per\s+second")
+    radians = F.arrays_overlap(F.split(text, "[^a-z0-9_]+"), F.array(*map(F.lit, RADIANS)))
+    named = F.concat(F.lit("_"), F.lower(name), F.lit("_"))
+    angle = _any_of([a for a in ANGLE_NAMES if "_" not in a], lambda a: named.contains(f"_{a}_")) | _any_of([a for a in ANGLE_NAMES if "_" in a], lambda a: named.startswith(f"_{a}_"))
+    return ~rate & radians & (angle | close.contains("PI..") | comment.rlike(SIGNED_PI))
 
 
 def signal_policy(type_: Column, name: Column, comment: Column, is_enum: Column, array_size: Column) -> Column:
     """struct(method, unit, confidence): the first rule that holds, as a CASE of nine."""
-    text, unit = F.lower(F.coalesce(comment, F.lit(""))), F.lower(F.regexp_extract(F.coalesce(comment, F.lit("")), UNIT, 1))
+    name, comment = F.coalesce(name, F.lit("")), F.coalesce(comment, F.lit(""))
+    text, unit = F.lower(comment), unit_of(comment)
     as_ = lambda method, u=None, c="high": F.struct(F.lit(method).alias("method"), (u if isinstance(u, Column) else F.lit(u).cast("string")).alias("unit"), F.lit(c).alias("confidence"))
-    reset = name.rlike(RESET_NAME) | text.rlike(RESET_COMMENT)
-    quaternion = (type_ == "float32") & (array_size == 4) & (name.rlike(QUATERNION_NAME) | text.contains(QUATERNION_COMMENT))
-    angle = (unit == "rad") & (name.rlike(ANGLE_NAME) | text.rlike(ANGLE_COMMENT))
-    hold = as_("discrete_hold")
+    reset = name.startswith("delta_") | _any_of(RESET_WORDS, text.contains)
+    shaped = name.isin("q", "q_d") | name.startswith("q_") | name.endswith("_q") | _any_of(QUATERNION_WORDS, text.contains)
+    quaternion = (type_ == "float32") & (array_size == 4) & shaped
+    hold, is_float = as_("discrete_hold"), type_.isin(FLOATS)
     return (
-        F.when(type_ == "bool", hold).when(is_enum, hold).when(name.rlike(DISCRETE_NAME), hold).when(reset, hold)
+        F.when(type_ == "bool", hold).when(is_enum, hold).when(_any_of(DISCRETE_ENDS, name.endswith), hold).when(reset, hold)
         .when(F.coalesce(quaternion, F.lit(False)), as_("quaternion_slerp", "quaternion")).when(type_.isin(INTEGERS), hold)
-        .when(type_.isin(FLOATS) & angle, as_("angle_wrap", "rad")).when(type_.isin(FLOATS) & (unit != ""), as_("linear", unit))
-        .when(type_.isin(FLOATS), as_("linear", None, "low")).otherwise(as_("discrete_hold", None, "low"))
+        .when(is_float & is_absolute_angle(name, comment), as_("angle_wrap", F.coalesce(unit["unit"], F.lit("rad"))))
+        .when(is_float & (unit["kind"] != "none"), as_("linear", unit["unit"]))
+        .when(is_float, as_("linear", None, "low")).otherwise(as_("discrete_hold", None, "low"))
     )
 
 

@@ -176,7 +176,8 @@ def branch_parameter_satisfied(checks: DataFrame, parameters: DataFrame) -> Data
     def about(predicate: pd.Series, parameter: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([comparison_of(t or "", n or "") for t, n in zip(predicate, parameter, strict=True)], columns=["op", "literal"])
 
-    c = checks.withColumn("_about", about("source_predicate", "parameter"))
+    asked = checks.select(F.col("source_predicate").alias("_text"), F.col("parameter").alias("_parameter")).distinct().withColumn("_about", about("_text", "_parameter"))
+    c = checks.join(asked, F.col("source_predicate").eqNullSafe(F.col("_text")) & F.col("parameter").eqNullSafe(F.col("_parameter")), "left").drop("_text", "_parameter")
     text = F.col("_about.literal")
     literal = F.when(text == "true", "1").when(text == "false", "0").otherwise(text)
     found = {"op": F.coalesce("op", "_about.op"), "value": F.coalesce("value", literal.try_cast("double")), "value_text": F.coalesce("value_text", text)}

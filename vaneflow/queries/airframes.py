@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from ..functions import units
+from ..functions import scalar, units
 from ..operators import airframe
 from ..sources.tables import table
 from . import query
@@ -16,6 +16,22 @@ def unit_labels(spark, d):
     return p.select("p_partkey", "u.unit", "u.kind", units.units_agree(F.col("u.unit"), F.lit("metres")).alias("metres"))
 
 
+POLICIES = [
+    ("bool", "armed", "[m]", False, None, "discrete_hold", None, "high"), ("float32", "mode", None, True, None, "discrete_hold", None, "high"), ("float32", "reset_count", "in m", False, None, "discrete_hold", None, "high"),
+    ("float32", "delta_heading", "[rad]", False, None, "discrete_hold", None, "high"), ("float32", "q_d", None, False, 4, "quaternion_slerp", "quaternion", "high"), ("uint8", "yaw", "[rad]", False, None, "discrete_hold", None, "high"),
+    ("float32", "yaw", "in radians -PI..+PI", False, None, "angle_wrap", "rad", "high"), ("float32", "yawspeed", "[rad/s] about yaw", False, None, "linear", "rad/s", "high"), ("float32", "vx", "North velocity, in metres/sec.", False, None, "linear", "m/s", "high"),
+    ("float32", "scroll", "(rad)", False, None, "linear", "rad", "high"), ("float32", "ratio", "no unit", False, None, "linear", None, "low"), ("string", "text", None, False, None, "discrete_hold", None, "low"),
+]
+
+
+@query(f"""SELECT p_partkey, {", ".join(f"CASE p_partkey % {len(POLICIES)} " + " ".join(f"WHEN {i} THEN '{r[at]}'" for i, r in enumerate(POLICIES) if r[at]) + f" END AS {name}" for at, name in ((5, "method"), (6, "unit"), (7, "confidence")))} FROM part""")
+def signal_policies(spark, d):
+    """How fields of nine kinds are resampled."""
+    rows = F.array(*(F.struct(*(F.lit(v).cast(t).alias(n) for v, (n, t) in zip(r, (("type", "string"), ("name", "string"), ("comment", "string"), ("is_enum", "boolean"), ("size", "int")), strict=False))) for r in POLICIES))
+    p = table(spark, d, "part").withColumn("f", rows[(F.col("p_partkey") % len(POLICIES)).cast("int")])
+    return p.select("p_partkey", scalar.signal_policy(F.col("f.type"), F.col("f.name"), F.col("f.comment"), F.col("f.is_enum"), F.col("f.size")).alias("p")).select("p_partkey", "p.*")
+
+
 def surface_tables(spark, d):
     """Nations as logs: suppliers' keys say surfaces' types, customers' the functions of output channels."""
     text = lambda *parts: F.concat(*(p if not isinstance(p, str) else F.lit(p) for p in parts))

@@ -124,13 +124,13 @@ def parameter_checks(spark, d):
     return C.branch_parameter_satisfied(c, p).select("check_id", "status", "actual")
 
 
-@query("""SELECT 'c' || p_partkey AS check_id, CASE p_partkey % 4 WHEN 3 THEN 'unresolved' WHEN 0 THEN CASE WHEN p_retailprice >= 1000 THEN 'passed' ELSE 'failed' END WHEN 1 THEN CASE WHEN p_retailprice < 950.5 THEN 'passed' ELSE 'failed' END ELSE CASE WHEN p_retailprice > -3 THEN 'passed' ELSE 'failed' END END AS status, p_retailprice AS actual FROM part""")
+@query("""SELECT 'c' || p_partkey AS check_id, CASE p_partkey % 7 WHEN 3 THEN 'unresolved' WHEN 6 THEN 'unresolved' WHEN 0 THEN CASE WHEN p_retailprice >= 1000 THEN 'passed' ELSE 'failed' END WHEN 1 THEN CASE WHEN p_retailprice < 950.5 THEN 'passed' ELSE 'failed' END WHEN 4 THEN CASE WHEN p_retailprice > 990 THEN 'passed' ELSE 'failed' END WHEN 5 THEN CASE WHEN p_retailprice <= 1200 THEN 'passed' ELSE 'failed' END ELSE CASE WHEN p_retailprice > -3 THEN 'passed' ELSE 'failed' END END AS status, p_retailprice AS actual FROM part""")
 def parameter_predicates(spark, d):
     """Of a source predicate the comparison about the check's own parameter counts, wherever it stands."""
     p = part_parameters(spark, d)
-    texts = F.array(F.lit("speed > 1 && _param.get() >= 1000"), F.concat(F.lit("(mode == 2 || "), "name", F.lit(" < 950.5f)")), F.concat(F.lit("ns::"), "name", F.lit(" > -3")), F.lit("speed > 1"))
+    texts = F.array(F.lit("speed > 1 && _param.get() >= 1000"), F.concat(F.lit("(mode == 2 || "), "name", F.lit(" < 950.5f)")), F.concat(F.lit("ns::"), "name", F.lit(" > -3")), F.lit("speed > 1"), F.lit("_self->param.get() > 990"), F.concat(F.lit("(int)"), "name", F.lit(".get() <= static_cast<float>(1200)")), F.concat("name", F.lit("_LONGER == 1")))
     null = {n: F.lit(None).cast(CHECKS[n].dataType) for n in CHECKS.names}
-    c = p.select("*", F.substring("name", 3, 20).alias("k")).select(F.concat(F.lit("c"), "k").alias("check_id"), F.col("name").alias("parameter"), texts[(F.col("k").cast("long") % 4).cast("int")].alias("source_predicate"))
+    c = p.select("*", F.substring("name", 3, 20).alias("k")).select(F.concat(F.lit("c"), "k").alias("check_id"), F.col("name").alias("parameter"), texts[(F.col("k").cast("long") % 7).cast("int")].alias("source_predicate"))
     c = c.withColumns({k: v for k, v in null.items() if k not in c.columns} | {"type": F.lit("branch_parameter_satisfied")})
     return C.branch_parameter_satisfied(c, p).select("check_id", "status", "actual")
 

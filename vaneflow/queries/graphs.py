@@ -104,10 +104,16 @@ def symbol_rules(spark, d):
     return t.select("p_partkey", scalar.produces(F.col("s.p"), F.col("s.r")).alias("makes"), scalar.normalize_symbol(F.col("s.p")).alias("lossy"))
 
 
-@query("""SELECT r AS reference, CASE s WHEN 'observed' THEN y END AS symbol, s AS status FROM (VALUES ('_a->b', 'a.b', 'observed'), ('yaw', 'att.yaw', 'observed'), ('x', NULL, 'ambiguous'), ('none', NULL, 'unavailable')) t(r, y, s)""")
+@query("""WITH k AS (SELECT DISTINCT n_name AS n, n_regionkey AS r FROM nation), p AS (SELECT DISTINCT p_size AS z FROM part),
+x AS (SELECT '_at->' || n || '[0]' AS reference, 'at.' || n || '[0]' AS symbol, 'observed' AS status FROM k UNION ALL SELECT n, CASE WHEN r <> 2 THEN 'at.' || n || '[0]' END, CASE WHEN r = 2 THEN 'ambiguous' ELSE 'observed' END FROM k UNION ALL SELECT 'size' || z, NULL, 'unavailable' FROM p)
+SELECT * FROM x""")
 def name_resolution(spark, d):
-    b = spark.createDataFrame([("a.b",), ("att.yaw",), ("p.x",), ("q.x",)], "symbol string")
-    return graph.resolve_names(spark.createDataFrame([("_a->b",), ("yaw",), ("x",), ("none",)], "reference string"), b)
+    """Nations' names as symbols, which some objects share; references by spelling, by last part, and of nothing."""
+    n = table(spark, d, "nation")
+    at = lambda prefix: F.concat(F.lit(prefix), "n_name", F.lit("[0]"))
+    b = n.select(at("at.").alias("symbol")).unionByName(n.filter("n_regionkey = 2").select(at("by.").alias("symbol")))
+    sizes = table(spark, d, "part").select(F.concat(F.lit("size"), F.col("p_size").cast("string")).alias("reference"))
+    return graph.resolve_names(n.select(at("_at->").alias("reference")).unionByName(n.select(F.col("n_name").alias("reference"))).unionByName(sizes), b)
 
 
 @query("""WITH w AS (SELECT l_orderkey AS f, l_partkey AS s, count(*) AS n FROM lineitem GROUP BY ALL), r AS (SELECT DISTINCT l_orderkey AS f, l_partkey AS s FROM lineitem WHERE l_returnflag = 'R'),

@@ -13,14 +13,17 @@ from pyspark.sql import functions as F
 from .readers import message_constants, message_fields
 
 
+# Fixed value: a word of a comment that may be the beginning of labels.
+CAPITALS = "[A-Z][A-Z0-9_]{2,}"
+
+
 def _message(path: Column) -> Column:
     return F.regexp_extract(path, r"([^/]+)\.msg$", 1)
 
 
 def snake(name: Column) -> Column:
-    """CamelCase as lower case with underscores."""
-    apart = F.regexp_replace(name, "(.)([A-Z][a-z]+)", "$1_$2")
-    return F.lower(F.regexp_replace(apart, "([a-z0-9])([A-Z])", "$1_$2"))
+    """CamelCase as lower case with underscores: a word begins at a capital behind a small letter or digit, or before a small letter."""
+    return F.lower(F.regexp_replace(name, "(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])", "_"))
 
 
 def topics(texts: DataFrame) -> DataFrame:
@@ -30,17 +33,17 @@ def topics(texts: DataFrame) -> DataFrame:
     return m.select("message", F.explode(F.when(F.size("_l") > 0, F.col("_l")).otherwise(F.array(snake(F.col("message"))))).alias("topic"))
 
 
-def flat_fields(texts: DataFrame, max_depth: int = 16) -> DataFrame:
+def flat_fields(texts: DataFrame) -> DataFrame:
     """(message, field, owner, name, type, array_size, comment): fields of every definition, those of nested ones by their path.
 
-    owner is the definition in which the field stands.  A definition inside itself ends its path there.  Definitions are
-    a source tree's, so a level is a small join; levels end when no field is nested.
+    owner is the definition in which the field stands.  A definition inside itself ends its path there, so
+    levels end when no field is nested, however deep.  Definitions are a source tree's, so a level is a small join.
     """
     own = message_fields(texts).withColumn("message", _message(F.col("path"))).drop("path", "line")
     names = own.select(F.col("message").alias("type")).distinct()
     front = own.select("message", F.array("message").alias("seen"), F.col("name").alias("field"), F.col("message").alias("owner"), "name", "type", "array_size", "comment")
     done = []
-    for _ in range(max_depth):
+    while True:
         done.append(front.join(names, "type", "left_anti").drop("seen"))
         nested = front.join(names, "type", "left_semi").filter(~F.array_contains("seen", F.col("type")))
         if nested.isEmpty():
@@ -60,8 +63,8 @@ def schema(texts: DataFrame) -> DataFrame:
 def field_enums(texts: DataFrame) -> DataFrame:
     """(topic, field, label, value): constants of the field's definition whose labels begin with the field's name, or with a word in capitals of its comment."""
     constants = message_constants(texts).select(_message(F.col("path")).alias("owner"), "label", "value")
-    own = F.upper(F.regexp_replace(F.regexp_replace("name", "[^A-Za-z0-9]+", "_"), "^_+|_+$", ""))
-    said = F.regexp_extract_all(F.coalesce("comment", F.lit("")), F.lit(r"\b([A-Z][A-Z0-9_]{2,})\b"), F.lit(1))
+    own = F.upper(F.array_join(F.filter(F.split("name", "[^A-Za-z0-9]"), lambda w: w != ""), "_"))
+    said = F.filter(F.split(F.coalesce("comment", F.lit("")), r"\W+"), lambda w: w.rlike(f"^{CAPITALS}$"))
     fields = flat_fields(texts).select("message", "field", "owner", F.explode(F.array_distinct(F.concat(F.array(own), said))).alias("prefix"))
     fits = (F.col("label") == F.col("prefix")) | F.startswith("label", F.concat("prefix", F.lit("_")))
     return fields.join(constants, "owner").filter(fits).join(topics(texts), "message").select("topic", "field", "label", "value").distinct()
