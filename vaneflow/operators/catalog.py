@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import json
+import os
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalar import date_bound
@@ -102,3 +106,55 @@ def external_logs(logs: DataFrame, generated: DataFrame | None) -> DataFrame:
     if generated is None:
         return a.select("*", *(F.lit(None).cast(t).alias(c) for c, t in cols.items() if c != "Id"))
     return a.join(with_missing_columns(generated, cols), "Id", "left")
+
+
+class ClaimedBefore(ValueError):
+    """The catalogue belongs to another source."""
+
+
+def claim_source(spark: SparkSession, folder: str, kind: str, source: dict[str, str], logs: DataFrame | None = None) -> bool:
+    """Bind a catalogue in a shared folder to one source of a kind; True if this call did, False if it is bound to it already.
+
+    The claim is a file that is written apart and then given its name, which one writer alone can do: by a hard link in
+    a local or mounted folder, by a rename that doesn't overwrite in Hadoop's other stores that have an atomic one.  Who
+    comes second reads what the first claimed.  A different source raises ClaimedBefore, and so do rows of logs (log_path)
+    from outside the source's log_dir while there is no claim yet.
+    """
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    target = jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/_claim-{kind}.json")
+    store = target.getFileSystem(conf)
+    text = json.dumps(source, sort_keys=True)
+
+    def claimed() -> str:
+        stream = store.open(target)
+        try:
+            return bytes(stream.readAllBytes()).decode()
+        finally:
+            stream.close()
+
+    if not store.exists(target):
+        if logs is not None and "log_dir" in source:
+            apart = F.coalesce(F.regexp_extract("log_path", r"^(.*)/[^/]*$", 1), F.lit("")) != source["log_dir"].rstrip("/")
+            if not logs.filter(apart).isEmpty():
+                raise ClaimedBefore(f"the catalogue has logs from outside {source['log_dir']}")
+        store.mkdirs(target.getParent())
+        draft = jvm.org.apache.hadoop.fs.Path(f"{target.getParent()}/_claim-{uuid.uuid4().hex}.tmp")
+        out = store.create(draft)
+        out.write(bytearray(text.encode()))
+        out.close()
+        try:
+            if target.toUri().getScheme() in (None, "file"):
+                os.link(draft.toUri().getPath(), target.toUri().getPath())
+            else:
+                files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), conf)
+                none = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+                files.rename(draft, target, none)
+            return True
+        except Exception:
+            if not store.exists(target):
+                raise
+        finally:
+            store.delete(draft, False)
+    if claimed() != text:
+        raise ClaimedBefore(f"the catalogue is bound to another source: {claimed()}")
+    return False

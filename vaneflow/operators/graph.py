@@ -2,45 +2,25 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
 from collections.abc import Iterable, Mapping
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import scratch
 from ..functions.expressions import compile_expression, lower_source, names_of
 from ..functions.scalar import exact_symbol, normalize_symbol
 from . import intervals, series
 
 
-_own: list[str] = []
-
-
-def _folder(spark: SparkSession) -> str:
-    """A fresh folder in the one that driver and executors share; in a temporary one where a session of one process names none."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        master = spark.sparkContext.master
-        if not master.startswith("local") or master.startswith("local-cluster"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        if not _own:
-            _own.append(tempfile.mkdtemp(prefix="vaneflow-"))
-            atexit.register(shutil.rmtree, _own[0], True)
-        base = f"file://{_own[0]}"
-    return f"{base.rstrip('/')}/closure-{uuid.uuid4().hex}"
-
-
 def closure(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None) -> DataFrame:
     """(seed, node, depth): everything that edges (src, dst) reach from seeds (seed, node), at its least depth, the seeds at 0.
 
     Breadth first, a join and an anti-join per level; cycles end by themselves.  Every level is a folder of one table,
     written once, so that rounds don't pile up and survive lost executors.
     """
-    spark, path = edges.sparkSession, _folder(edges.sparkSession)
+    spark, path = edges.sparkSession, scratch.path(edges.sparkSession, "closure")
     first = seeds.select("seed", "node", F.lit(0).alias("depth")).distinct()
 
     def read(level: str) -> DataFrame:

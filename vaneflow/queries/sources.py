@@ -1,9 +1,8 @@
 """JSON, missions, exports, plots and streams."""
 
-import uuid
-
 from pyspark.sql import functions as F
 
+from .. import scratch
 from ..functions import geo
 from ..plans import plots
 from ..sources import readers, sinks
@@ -69,12 +68,7 @@ def sessions_of_users(spark, d):
 @query("""SELECT event_type AS field, count(*) AS n, round(sum(value), 4) AS sum_v FROM events GROUP BY ALL""")
 def streamed_windows(spark, d):
     """The windows again, out of a stream that ends with what is there; append mode closes those that the watermark has passed, so their state is flushed by a complete one."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if base is None:
-        import tempfile
-
-        base = f"file://{tempfile.mkdtemp(prefix='vaneflow-')}"
-    at = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    at = scratch.path(spark, "stream")
     src = event_samples(spark, d).select(F.timestamp_micros("ts_us").alias("ts"), "field", "v")
     src.write.parquet(f"{at}/in")
     agg = streams.windowed(streams.read_samples(spark, f"{at}/in"), "1 day")

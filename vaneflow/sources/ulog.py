@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import io
 import struct
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from typing import BinaryIO
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition, IsNotNull
 
 MAGIC = b"ULog\x01\x12\x35"
 # The format's scalar types.
@@ -36,17 +40,19 @@ def _layout(formats: dict[str, list[tuple[str, str]]], name: str, prefix: str =
     return out
 
 
-def records(data: bytes, topics: set[str] | None = None) -> Iterator[tuple]:
-    """(kind, topic, multi_id, field, seq, ts_us, v, v_str) of one log; topics: only these are unpacked.  Ends where the file is cut off."""
-    if not data.startswith(MAGIC):
+def records(source: bytes | BinaryIO, topics: set[str] | None = None) -> Iterator[tuple]:
+    """(kind, topic, multi_id, field, seq, ts_us, v, v_str) of one log, bytes or an open file, which is read message by
+    message; topics: only these are unpacked.  Ends where the file is cut off."""
+    read = (io.BytesIO(source) if isinstance(source, bytes) else source).read
+    if not read(16).startswith(MAGIC):
         yield ("error", None, None, None, 0, None, None, "not a ULog file")
         return
     formats: dict[str, list[tuple[str, str]]] = {}
     subs: dict[int, tuple[str, int, struct.Struct, list[str]] | None] = {}
-    at, seq, last = 16, 0, None
-    while at + 3 <= len(data):
-        size, kind = struct.unpack_from("<HB", data, at)
-        body, at = data[at + 3 : at + 3 + size], at + 3 + size
+    seq, last = 0, None
+    while len(head := read(3)) == 3:
+        size, kind = struct.unpack("<HB", head)
+        body = read(size)
         if len(body) < size:
             yield ("error", None, None, None, seq, last, None, "cut off")
             return
@@ -90,13 +96,15 @@ def records(data: bytes, topics: set[str] | None = None) -> Iterator[tuple]:
                 yield ("message", None, None, None, seq, struct.unpack_from("<Q", body, 1)[0], float(body[0] - 48 if 48 <= body[0] <= 57 else body[0]), body[9:].decode("utf-8", "replace"))
             case "O":
                 yield ("dropout", None, None, None, seq, last, float(struct.unpack_from("<H", body)[0]), None)
+    if head:
+        yield ("error", None, None, None, seq, last, None, "cut off")
 
 
 def read_ulogs(spark: SparkSession, path: str, topics: set[str] | None = None) -> DataFrame:
     """All records of the logs under a path, one row each, told apart by kind; log_id is the file's path.
 
-    Files come through Spark and are unpacked where they lie, a log a task.  A file that is none, or cut off, has a row
-    of kind error.
+    Files come through Spark, whatever store it reads, as whole rows, so a log may have 2 GB at most; the format `ulog`
+    (register) has no such bound.  A file that is none, or cut off, has a row of kind error.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -117,6 +125,95 @@ def _frame(rows: list[tuple], cols: list[str]) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=cols).astype({"multi_id": "Int64", "seq": "Int64", "ts_us": "Int64", "v": "float64"})
 
 
+class ULogFile(InputPartition):
+    """One log, by its address."""
+
+    def __init__(self, path: str):
+        self.path = path
+
+
+class ULogReader(DataSourceReader):
+    """Logs as rows of SCHEMA, a partition a file.
+
+    Files are read through Arrow's file systems (local or mounted folders, and stores that Arrow can reach), message by
+    message, so a log of any size takes little memory.  Equality and `isin` on topic and kind are pushed into the
+    unpacking: samples of other topics are passed over undecoded.
+    """
+
+    def __init__(self, path: str):
+        self.path, self.topics, self.kinds = path, None, None
+
+    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:  # noqa: N802
+        for f in filters:
+            match f:
+                case EqualTo(attribute=("topic",), value=v):
+                    self.topics = self._both(self.topics, {v})
+                case In(attribute=("topic",), value=vs):
+                    self.topics = self._both(self.topics, set(vs))
+                case EqualTo(attribute=("kind",), value=v):
+                    self.kinds = self._both(self.kinds, {v})
+                case In(attribute=("kind",), value=vs):
+                    self.kinds = self._both(self.kinds, set(vs))
+                case IsNotNull(attribute=("kind",)):  # it never is
+                    pass
+                case _:
+                    yield f
+
+    @staticmethod
+    def _both(old: set[str] | None, new: set[str]) -> set[str]:
+        return new if old is None else old & new
+
+    def partitions(self) -> list[InputPartition]:
+        from pyarrow import fs
+
+        store, path = fs.FileSystem.from_uri(self.path)
+        info = store.get_file_info(path)
+        files = [info] if info.is_file else store.get_file_info(fs.FileSelector(path, recursive=True))
+        scheme = self.path.split("://", 1)[0] if "://" in self.path else "file"
+        return [ULogFile(f"{scheme}://{f.path}") for f in sorted(files, key=lambda f: f.path) if f.is_file and f.base_name.endswith(".ulg")]
+
+    def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        store, path = fs.FileSystem.from_uri(partition.path)
+        rows: list[tuple] = []
+        with store.open_input_stream(path, buffer_size=1 << 20) as source:
+            for r in records(source, self.topics):
+                if (self.kinds is None or r[0] in self.kinds) and (self.topics is None or r[1] in self.topics):
+                    rows.append((partition.path, *r))
+                if len(rows) >= 50_000:
+                    yield self._batch(rows)
+                    rows = []
+        if rows:
+            yield self._batch(rows)
+
+    @staticmethod
+    def _batch(rows: list[tuple]) -> pa.RecordBatch:
+        types = {"string": pa.string(), "long": pa.int64(), "double": pa.float64()}
+        fields = [c.split() for c in SCHEMA.split(", ")]
+        return pa.RecordBatch.from_arrays([pa.array(list(x), types[t]) for x, (_, t) in zip(zip(*rows, strict=True), fields, strict=True)], [n for n, _ in fields])
+
+
+class ULogSource(DataSource):
+    """spark.read.format("ulog").load(path), after register()."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "ulog"
+
+    def schema(self) -> str:
+        return SCHEMA
+
+    def reader(self, schema) -> ULogReader:  # noqa: ANN001
+        return ULogReader(self.options["path"])
+
+
+def register(spark: SparkSession) -> None:
+    """Make the format known to a session, with its filters pushed down."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    spark.dataSource.register(ULogSource)
+
+
 def samples(records_: DataFrame) -> DataFrame:
     return records_.filter("kind = 'sample'").drop("kind")
 
