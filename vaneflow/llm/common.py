@@ -14,6 +14,8 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Everything that isn't a digit, a lower-case ASCII letter or beyond ASCII.
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 CONTROL = "spark.checkpoint.dir"
+#: Of rows that go to a Python worker together.
+BATCH_BYTES = 4 << 20
 #: A key that holds more than this part of all rows is joined by broadcast: there are so many of them at most.
 HEAVY = 10_000
 
@@ -100,6 +102,13 @@ def trim() -> None:
         pass
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """From now on Arrow batches of this session are of BATCH_BYTES at most, so that a worker holds few rows of long texts or
+    of blocks at once; a bound that the session has of its own stays."""
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int, size: Column | None = None, max_bytes: int = 64 << 20) -> tuple[DataFrame, bool]:
     """Mark for broadcast if a count, cut off at the limit, proves at most max_rows rows; else leave the join to shuffles.
 

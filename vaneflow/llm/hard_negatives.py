@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import keep, mark, release, table, trim
+from .common import bound_batches, keep, mark, release, table, trim
 from .vectors import matrix, of_one_length, whole_vectors
 
 #: The rotation is fitted to so many rows, those of least hash; it decides on speed, never on results.
@@ -216,6 +216,7 @@ def hard_negatives(df: DataFrame, is_anchor: Column, key: str = "vec_id", label:
     Anchors go to all tasks in blocks of ANCHOR_BYTES; each block scans all rows twice, first for positives, then within
     the windows of scores that they set.  No pair leaves a task unless it is among the task's best of its list.
     """
+    bound_batches(df.sparkSession)
     since = mark()
     labelled = df.filter(F.col(label).isNotNull()).select(F.col(key).cast("long").alias(key), F.col(label).cast("string").alias(label), vector)
     rows, width = of_one_length(keep(whole_vectors(labelled, key, label, vector), "whole-vectors"))

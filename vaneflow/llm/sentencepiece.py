@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table, trim
+from .common import bound_batches, table, trim
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SAMPLES, ALPHA, SHIFT, BYTE_LOGP = 3, 1.0, 3.0, math.log(1e-6)
@@ -477,6 +477,7 @@ def encode_documents(docs: DataFrame, k: int = SAMPLES, key: str = "doc_id", tex
                 del out, texts
                 trim()
 
+    bound_batches(docs.sparkSession)
     name = F.col(key).cast("string")
     seed = F.substring(F.sha2(name, 256), 1, 14) if named else name
     return docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"), F.coalesce(seed, F.lit("0")).alias("seed")).mapInArrow(run, schema)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import join_counted, keep, mark, release, table, trim
+from .common import bound_batches, join_counted, keep, mark, release, table, trim
 from .vectors import matrix, of_one_length, whole_vectors
 
 PARTS, ENTRIES, ROUNDS = 16, 64, 2
@@ -243,6 +243,7 @@ def compress(df: DataFrame, key: str = "vec_id", label: str = "label", vector: s
     hold any part of the rows.  Ids and labels may be of any type; other columns play no part; an empty table gives no
     rows.
     """
+    bound_batches(df.sparkSession)
     since = mark()
     vectors, width = of_one_length(keep(whole_vectors(df, key, label, vector), "whole-vectors"))
     if width % PARTS:
