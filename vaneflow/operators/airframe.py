@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# Lines of evidence.
+TOPIC_LINE = "ULog contains %s topic."
+COUNT_LINE = "%s=%s"
+SURFACE_LINE = "%s=%s (%s) maps to servo_%s."
+CHANNEL_LINE = "%s=%s maps output channel to %s_%s."
 # Names of parameters.
 SURFACE, SURFACE_COUNT = r"^CA_SV_CS(\d+)_TYPE$", "CA_SV_CS_COUNT"
 OUTPUT = r"^(PWM_(?:MAIN|AUX|FMU)_FUNC)(\d+)$"
@@ -61,17 +66,16 @@ def mapping_confidence(types: DataFrame, channels: DataFrame) -> DataFrame:
 
 def evidence(parameters: DataFrame, topics: DataFrame, types: DataFrame, channels: DataFrame) -> DataFrame:
     """(log_id, place, line): what a mapping rests on; topics first, then the count, surfaces, and channels."""
-    text = lambda *parts: F.concat(*(p if isinstance(p, Column) else F.lit(p) for p in parts))
     of = lambda c: F.col(c).cast("string")
     logged = topics.filter(F.col("topic").isin(EVIDENCE_TOPICS)).select("log_id", "topic").distinct()
     place = F.array_position(F.array(*map(F.lit, EVIDENCE_TOPICS)), F.col("topic")).cast("int")
     count = parameters.filter(F.col("name") == SURFACE_COUNT)
     driven = channels.filter(F.col("function").isin("servo", "motor"))
     parts = [
-        logged.select("log_id", F.struct(F.lit(0), place, F.lit("")).alias("place"), text("ULog contains ", of("topic"), " topic.").alias("line")),
-        count.select("log_id", F.struct(F.lit(1), F.lit(0), F.lit("")).alias("place"), text(f"{SURFACE_COUNT}=", F.col("v").cast("long").cast("string")).alias("line")),
-        types.select("log_id", F.struct(F.lit(2), "servo", F.lit("")).alias("place"), text(of("source_parameter"), "=", F.coalesce(of("source_value"), F.lit("None")), " (", of("control_surface"), ") maps to servo_", of("servo"), ".").alias("line")),
-        driven.select("log_id", F.struct(F.lit(3), F.lit(0), "parameter").alias("place"), text(of("parameter"), "=", of("function_id"), " maps output channel to ", of("function"), "_", of("actuator_index"), ".").alias("line")),
+        logged.select("log_id", F.struct(F.lit(0), place, F.lit("")).alias("place"), F.format_string(TOPIC_LINE, of("topic")).alias("line")),
+        count.select("log_id", F.struct(F.lit(1), F.lit(0), F.lit("")).alias("place"), F.format_string(COUNT_LINE, F.lit(SURFACE_COUNT), F.col("v").cast("long").cast("string")).alias("line")),
+        types.select("log_id", F.struct(F.lit(2), "servo", F.lit("")).alias("place"), F.format_string(SURFACE_LINE, of("source_parameter"), F.coalesce(of("source_value"), F.lit("None")), of("control_surface"), of("servo")).alias("line")),
+        driven.select("log_id", F.struct(F.lit(3), F.lit(0), "parameter").alias("place"), F.format_string(CHANNEL_LINE, of("parameter"), of("function_id"), of("function"), of("actuator_index")).alias("line")),
     ]
     shape = "struct<part:int,number:int,name:string>"
     out = [p.select("log_id", F.col("place").cast(shape).alias("place"), "line") for p in parts]

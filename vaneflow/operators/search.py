@@ -26,18 +26,25 @@ def line_range(texts: DataFrame, key: str, text: str, first: int, last: int) ->
     return texts.select(key, F.posexplode(F.split(text, "\n")).alias("_i", "value")).select(key, (F.col("_i") + 1).alias("line"), "value").filter(F.col("line").between(first, last))
 
 
+# What a match is worth, and what adds to it: the query as it is, a query that is a name in capitals, and
+# words of lines about parameters or topics.
+MATCH, HELD, NAMED, ABOUT = 1.0, 1.0, 2.0, 0.5
+NAME = "^[A-Z][A-Z0-9_]{2,}$"
+ABOUT_WORDS = ["param", "orb_", "uorb::"]
+
+
 def match_score(value: Column, query: Column) -> Column:
-    """1, and more for the query as it is, for a name in capitals, and for lines about parameters or topics."""
-    return (
-        F.lit(1.0) + F.when(F.contains(F.lower(value), F.lower(query)), 1.0).otherwise(0.0) + F.when(query.rlike("^[A-Z][A-Z0-9_]{2,}$"), 2.0).otherwise(0.0)
-        + F.when(F.lower(value).rlike("param|orb_|uorb::"), 0.5).otherwise(0.0)
-    )
+    """The worth of a line that matches a query."""
+    low = F.lower(value)
+    about = reduce(lambda a, b: a | b, (F.contains(low, F.lit(w)) for w in ABOUT_WORDS))
+    extras = [(F.contains(low, F.lower(query)), HELD), (query.rlike(NAME), NAMED), (about, ABOUT)]
+    return reduce(lambda total, e: total + F.when(e[0], e[1]).otherwise(0.0), extras, F.lit(MATCH))
 
 
 # What a path's beginnings, parts and endings are worth; of each group the first that fits counts.
 PLACES = [("begins", "src/lib/", 30.0), ("begins", "src/modules/", 30.0), ("begins", "src/drivers/", 15.0), ("begins", "src/include/", 15.0), ("begins", "src/", 5.0)]
 TESTS = [("begins", "test/", -100.0), ("holds", "/test", -100.0), ("holds", "_test", -100.0), ("holds", "/unit", -100.0)]
-TEST_FILES = [("ends", f"{name}.{kind}", -100.0) for name in ("Test", "Tests") for kind in ("cpp", "hpp", "h")]
+TEST_FILES = [("ends", "Test.cpp", -100.0), ("ends", "Test.hpp", -100.0), ("ends", "Test.h", -100.0), ("ends", "Tests.cpp", -100.0), ("ends", "Tests.hpp", -100.0), ("ends", "Tests.h", -100.0)]
 FOREIGN = ["/catch2/", "/cmsis", "/libvnc/", "/third_party/", "/third-party/", "/vendor/", "/vendors/", "/external/", "/generated/", "/uavcan_drivers/"]
 OTHERS = [[("holds", x, -80.0) for x in FOREIGN], [("begins", "examples/", -40.0), ("holds", "/examples/", -40.0)], [("holds", "/build", -5.0), ("holds", "/.git", -5.0)]]
 
@@ -62,16 +69,22 @@ def rank_files(matches: DataFrame, key: str, cap: float, top: int, boost: Column
     return out.filter("score > 0").orderBy(F.desc("score"), key).limit(top)
 
 
+# Points for each common item of a kind, and the most that they give; common symbols are strong evidence
+# from so many points on.
+OVERLAP = {"parameters": (8, 24), "functions": (6, 18), "symbols": (2, 8), "phrases": (6, 18), "files": (2, 8)}
+STRONG = ["parameters", "functions"]
+STRONG_SYMBOLS = 4
+
+
 def overlap_score(query: dict[str, Column], record: dict[str, Column]) -> Column:
-    """Relevance of a record: capped shares of common parameters, functions, symbols, phrases and files; 0 without strong evidence.
+    """Relevance of a record: capped points for what it has in common with the query, by kind; 0 without strong evidence.
 
     query and record hold arrays by kind.
     """
-    common = lambda kind: F.size(F.array_intersect(query[kind], record[kind]))
-    parameters, functions = F.least(common("parameters") * 8, F.lit(24)), F.least(common("functions") * 6, F.lit(18))
-    symbols, phrases, files = F.least(common("symbols") * 2, F.lit(8)), F.least(common("phrases") * 6, F.lit(18)), F.least(common("files") * 2, F.lit(8))
-    strong = parameters + functions + F.when(symbols >= 4, symbols).otherwise(0)
-    return F.when(strong > 0, parameters + functions + symbols + phrases + files).otherwise(0)
+    points = {kind: F.least(F.size(F.array_intersect(query[kind], record[kind])) * each, F.lit(most)) for kind, (each, most) in OVERLAP.items()}
+    symbols = F.when(points["symbols"] >= STRONG_SYMBOLS, points["symbols"]).otherwise(0)
+    strong = reduce(lambda a, b: a + b, (points[kind] for kind in STRONG), symbols)
+    return F.when(strong > 0, reduce(lambda a, b: a + b, points.values())).otherwise(0)
 
 
 def tokens(text: Column) -> Column:
