@@ -158,3 +158,26 @@ def claim_source(spark: SparkSession, folder: str, kind: str, source: dict[str,
     if claimed() != text:
         raise ClaimedBefore(f"the catalogue is bound to another source: {claimed()}")
     return False
+
+
+# Fixed value: the picture of logs whose airframe has none.
+DEFAULT_IMAGE = "AirframeUnknown"
+
+
+def image_key(name: Column) -> Column:
+    """The key of an image's name: trimmed, without .svg; empty where it isn't a plain file name."""
+    plain = F.regexp_replace(F.rtrim(F.trim(F.coalesce(name, F.lit(""))), F.lit("\0")), r"(?i)\.svg$", "")
+    return F.when(plain.contains("/") | plain.isin(".", ".."), "").otherwise(plain)
+
+
+def refresh_images(logs: DataFrame, airframes: DataFrame, assets: DataFrame) -> DataFrame:
+    """(id, airframe_image_key) of the logs whose picture changes: the airframe's image (airframes: airframe_id, image) if
+    there is such a picture (assets: key), else the default; a log that has a picture is never put back to the default.
+
+    Airframes, one row each, meet the pictures first, so a log takes part in one join.
+    """
+    keyed = airframes.select(F.trim(F.col("airframe_id").cast("string")).alias("_a"), image_key(F.col("image")).alias("_key")).filter("_key != ''")
+    there = keyed.join(assets.select(F.col("key").alias("_key")).distinct(), "_key", "left_semi").groupBy("_a").agg(F.min("_key").alias("_key"))
+    rows = logs.join(there, F.trim(F.col("airframe_id").cast("string")) == F.col("_a"), "left").withColumn("_new", F.coalesce("_key", F.lit(DEFAULT_IMAGE)))
+    now = F.coalesce("airframe_image_key", F.lit(""))
+    return rows.filter(~((F.col("_new") == DEFAULT_IMAGE) & (now != "")) & (F.col("_new") != now)).select("id", F.col("_new").alias("airframe_image_key"))

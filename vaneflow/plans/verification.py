@@ -42,12 +42,3 @@ def verify(candidate: DataFrame, windows: DataFrame, samples: DataFrame, paramet
     score = verdict.confidence(rich, "mechanism")
     out = by_mechanism.join(missing, "mechanism").join(score, "mechanism")
     return out.select("mechanism", "verdict", verdict.ceiling(F.col("verdict"), F.col("_open"), F.col("_missing")).alias("ceiling"), "confidence", "score", "passed", "failed", "unresolved")
-
-
-def downgrade(report: DataFrame, violations: DataFrame) -> DataFrame:
-    """Hypotheses with violations lose a step of confidence, and what they confirm is unconfirmed."""
-    bad = violations.groupBy("hypothesis").agg(F.count("*").alias("_n"))
-    lower = F.when(F.col("confidence") == "high", "medium").when(F.col("confidence") == "medium", "low").otherwise(F.col("confidence"))
-    hit = F.col("_n").isNotNull()
-    out = report.join(bad, "hypothesis", "left")
-    return out.withColumns({"confidence": F.when(hit, lower).otherwise(F.col("confidence")), "unconfirmed": F.when(hit, F.array_union("unconfirmed", "confirmed")).otherwise(F.col("unconfirmed")), "confirmed": F.when(hit, F.array().cast("array<string>")).otherwise(F.col("confirmed"))}).drop("_n")

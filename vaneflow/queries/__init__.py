@@ -20,4 +20,4 @@ def query(sql: str | None = None):
     return add
 
 
-from . import airframes, alignment, catalogue, checking, feasible, graphs, plans, signals, slicing, sources, structure  # noqa: E402, F401
+from . import airframes, alignment, catalogue, checking, feasible, graphs, plans, reports, signals, slicing, sources, structure  # noqa: E402, F401
