@@ -70,3 +70,11 @@ def tables_dir(spark, tmp_path_factory, events_dir):
 )
 def test_rows_beyond_former_cuts(spark, tables_dir, name, want):
     assert {tuple(r) for r in QUERIES[name](spark, tables_dir).collect()} == want
+
+
+def test_directions_of_one_signal_alone_are_unresolved(spark, tmp_path):
+    """A user of one click and of views that hardly change: the change of clicks isn't known."""
+    rows = [(i, 7, kind, v, START + dt.timedelta(seconds=i)) for i, (kind, v) in enumerate([("view", 1.0), ("click", 5.0), ("view", 1.5)])]
+    spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double, ts timestamp").write.parquet(f"file://{tmp_path}/events.parquet")
+    got = [tuple(r) for r in QUERIES["same_direction"](spark, f"file://{tmp_path}").collect()]
+    assert got == [("same_direction_change_7", "unresolved", None)]

@@ -148,11 +148,12 @@ def monotonic_change(checks: DataFrame, samples: DataFrame) -> DataFrame:
 
 
 def same_direction_change(checks: DataFrame, samples: DataFrame) -> DataFrame:
-    """Both signals change by the least amount, with one sign."""
+    """Both signals change by the least amount, with one sign; unknown if either has fewer than two samples."""
     one = lambda side, name: _per_check(samples_of(checks, samples, side), _k=F.count(_x()), _a=_edge(False), _b=_edge(True)).select("check_id", F.when(F.col("_k") >= 2, F.col("_b") - F.col("_a")).alias(name))
     d = checks.join(one("first", "_d1"), "check_id").join(one("second", "_d2"), "check_id")
     least = F.coalesce("min_delta", F.lit(0.0))
-    passed = (F.abs("_d1") >= least) & (F.abs("_d2") >= least) & (F.col("_d1") * F.col("_d2") > 0)
+    known = F.col("_d1").isNotNull() & F.col("_d2").isNotNull()  # a false half of an `and` would hide what is unknown
+    passed = F.when(known, (F.abs("_d1") >= least) & (F.abs("_d2") >= least) & (F.col("_d1") * F.col("_d2") > 0))
     return _result(d, passed, F.round("_d1", 6))
 
 
