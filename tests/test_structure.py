@@ -95,3 +95,15 @@ def test_roles(spark):
     rows = [("SYS_ENABLE", None, "branch_selector"), ("NAV_RAD", "switch (x)", "branch_selector"), ("NAV_RAD", "x > 1", "threshold"), ("MC_ROLL_P_X", None, "tuning_or_shaping"), ("ZZ", None, "unknown")]
     df = spark.createDataFrame(rows, "name string, predicate string, want string").select("want", gate.role(F.col("name"), F.col("predicate")).alias("got"))
     assert all(r.want == r.got for r in df.collect())
+
+
+def test_requirements_are_counted_without_their_rows(spark, monkeypatch):
+    predicates = [("b", "P_mode", ">", 1.0, None), ("b", "P_mode", ">", 1.0, None), ("b", "P_mode", "<", 2.0, "if (x)"), (None, "Q", "==", 3.0, "if (y)"), ("c", "none", ">", 1.0, "if (x)"), ("c", "none", ">", 1.0, "if (x)"), ("c", None, ">", 1.0, None), ("c", "Q", None, 1.0, "if (z)"), ("c", "Q", ">", None, "case")]
+    p = spark.createDataFrame(predicates, "branch string, name string, op string, value double, predicate string")
+    v = spark.createDataFrame([(i, n, x) for i in range(40) for n, x in (("P_mode", float(i % 3)), ("Q", 3.0 if i % 2 else None))], "log long, name string, v double")
+    by = ["branch", "name", "role", "result"]
+    want = sorted(map(tuple, gate.requirements(p, v).groupBy(*by).agg(F.count("*").alias("n")).collect()), key=str)
+    each, rows = gate.requirements, []
+    monkeypatch.setattr(gate, "requirements", lambda *a: rows.append(each(*a).count()) or each(*a))
+    assert sorted(map(tuple, gate.requirement_counts(p, v).select(*by, "n").collect()), key=str) == want
+    assert rows == [2 * 3 + 3 * 2 + 1 + 1]

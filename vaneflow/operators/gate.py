@@ -39,6 +39,20 @@ def requirements(predicates: DataFrame, parameters: DataFrame) -> DataFrame:
     return both.select("log", "branch", "name", "role", "predicate", "actual", result.alias("result"))
 
 
+def requirement_counts(predicates: DataFrame, parameters: DataFrame) -> DataFrame:
+    """(branch, name, role, result, n): the rows of `requirements`, counted, without a row for each predicate and log.
+
+    Predicates that say the same of one branch and logs of one value are counted first and meet as one pair, which stands
+    for the product of both numbers; so pairs grow with distinct predicates and values, not with rows.
+    """
+    p = predicates.groupBy("branch", "name", "op", "value", "predicate").agg(F.count("*").alias("_p"))
+    logs = parameters.groupBy("name", "v").agg(F.count("*").alias("_logs"))
+    alike = logs.select("name", F.struct("v", "_logs").alias("log"), "v")
+    met = requirements(p.withColumn("branch", F.struct("branch", "_p")), alike)
+    n = F.col("branch._p") * F.coalesce("log._logs", F.lit(1))
+    return met.groupBy(F.col("branch.branch").alias("branch"), "name", "role", "result").agg(F.sum(n).alias("n"))
+
+
 def envelopes(predicates: DataFrame) -> DataFrame:
     """(branch, name, low, low_open, high, high_open, barred, satisfiable): the values that all predicates (branch, name, op,
     value) of a branch on one parameter allow together.

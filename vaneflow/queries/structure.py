@@ -108,8 +108,8 @@ def parameter_gate(spark, d):
 @query(f"""WITH {P}, t AS (SELECT p.*, log, v FROM p LEFT JOIN v USING (name)), c AS (SELECT *, CASE op WHEN '>' THEN v > value WHEN '>=' THEN v >= value WHEN '<' THEN v < value WHEN '<=' THEN v <= value WHEN '==' THEN v = value ELSE v <> value END AS ok FROM t)
 SELECT branch, name, CASE WHEN predicate IS NOT NULL THEN 'branch_selector' ELSE 'unknown' END AS role, CASE WHEN v IS NULL THEN 'unknown' WHEN predicate IS NULL THEN 'verification_required' WHEN ok THEN 'satisfied' ELSE 'contradicted' END AS result, count(*) AS n FROM c GROUP BY ALL""")
 def parameter_requirements(spark, d):
-    """Predicates one by one, in every log."""
-    return gate.requirements(_predicates(spark, d), _values(spark, d)[0]).groupBy("branch", "name", "role", "result").agg(F.count("*").alias("n"))
+    """Predicates one by one, in every log, counted."""
+    return gate.requirement_counts(_predicates(spark, d), _values(spark, d)[0])
 
 
 @query(f"""WITH RECURSIVE {BASES}, t AS (SELECT c_custkey AS k, 'v' || (c_custkey % 40) AS terminal, CASE WHEN c_custkey % 3 = 1 THEN c_custkey % 97 + 1 END AS c, CASE WHEN c_custkey % 3 = 2 THEN 'f' || (c_nationkey % 12) END AS file FROM customer),
