@@ -193,3 +193,12 @@ def test_upper_median(spark):
     r = series.upper_median_tolerance(samples(spark, "t", x=(range(4), [1, 2, 30, 40]))).first()
     assert r.median_size == 30.0 and r.tolerance == pytest.approx(0.03)
     assert series.upper_median_tolerance(samples(spark, "t", x=(range(2), [0, 0]))).first().tolerance == pytest.approx(1e-6)
+
+
+@pytest.mark.parametrize(("touching", "bin_s"), [(False, 24.0), (True, 3.0), (False, None)])
+def test_overlaps_are_counted_with_their_copies(spark, touching, bin_s):
+    a = spark.createDataFrame([(k, float(i), float(i + 2)) for k in "uv" for i in range(6) for _ in range(i + 1)], "k string, start_s double, end_s double")
+    b = spark.createDataFrame([("u", float(i), float(i + 3)) for i in range(0, 9, 2) for _ in range(4)], "k string, start_s double, end_s double")
+    want = intervals.intersect(a, b, "k", touching=touching, bin_s=bin_s).groupBy("k", "start_s", "end_s").agg(F.count("*").alias("n"))
+    got = intervals.overlap_counts(a, b, "k", touching=touching, bin_s=bin_s)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and want.count() > 5

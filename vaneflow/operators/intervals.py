@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,7 +25,12 @@ def intersect(left: DataFrame, right: DataFrame, *keys: str, touching: bool = Fa
     The keys make it an equi-join.  Without keys, or where a key holds many intervals, bin_s cuts time into bins that
     both sides are dealt to, so that only neighbours meet; each pair counts in the bin where its overlap begins.
     """
-    le, r = left.select(*keys, F.col(A).alias("_la"), F.col(B).alias("_lb")), right.select(*keys, F.col(A).alias("_ra"), F.col(B).alias("_rb"))
+    return _meet(left, right, keys, touching, bin_s)
+
+
+def _meet(left: DataFrame, right: DataFrame, keys: Iterable[str], touching: bool, bin_s: float | None, of_left: Iterable[str] = (), of_right: Iterable[str] = ()) -> DataFrame:
+    """Overlaps with further columns of either side."""
+    le, r = left.select(*keys, *of_left, F.col(A).alias("_la"), F.col(B).alias("_lb")), right.select(*keys, *of_right, F.col(A).alias("_ra"), F.col(B).alias("_rb"))
     on = list(keys)
     if bin_s is not None:
         bins = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / bin_s), F.floor(F.col(b) / bin_s)))
@@ -33,7 +40,20 @@ def intersect(left: DataFrame, right: DataFrame, *keys: str, touching: bool = Fa
     out = out.filter(F.col(A) <= F.col(B) if touching else F.col(A) < F.col(B))
     if bin_s is not None:
         out = out.filter(F.col("_bin") == F.floor(F.col(A) / bin_s))
-    return out.select(*keys, A, B)
+    return out.select(*keys, A, B, *of_left, *of_right)
+
+
+def overlap_counts(left: DataFrame, right: DataFrame, *keys: str, touching: bool = False, bin_s: float | None = None) -> DataFrame:
+    """(keys, start_s, end_s, n): the overlaps of `intersect`, counted.
+
+    Equal intervals of a side are counted first and meet the other side as one, which stands for the product of both
+    numbers; pairs grow with distinct intervals, not with copies.
+    """
+    def alike(side: DataFrame, name: str) -> DataFrame:
+        return side.groupBy(*keys, A, B).agg(F.count("*").alias(name))
+
+    both = _meet(alike(left, "_ln"), alike(right, "_rn"), keys, touching, bin_s, ["_ln"], ["_rn"])
+    return both.groupBy(*keys, A, B).agg(F.sum(F.col("_ln") * F.col("_rn")).alias("n"))
 
 
 def clip(intervals: DataFrame, start: float | Column, end: float | Column) -> DataFrame:

@@ -135,7 +135,7 @@ def interval_intersect_touching(spark, d):
 @query(f"WITH {H} SELECT greatest(a.x, b.x) AS start_s, count(*) AS n FROM a JOIN b ON a.x < b.y AND b.x < a.y GROUP BY ALL")
 def interval_intersect_binned(spark, d):
     a, b = (x.drop("k") for x in halves(spark, d))
-    return intervals.intersect(a, b, bin_s=24.0).groupBy("start_s").agg(F.count("*").alias("n"))
+    return intervals.overlap_counts(a, b, bin_s=24.0).groupBy("start_s").agg(F.sum("n").alias("n"))
 
 
 @query(f"WITH {L}, {M.format('l')} SELECT k, round(sum(end_s - start_s), 4) AS length_s, count(*) AS n_intervals FROM m GROUP BY k")
