@@ -242,3 +242,11 @@ def test_temperature_and_altitude_keep_every_topic(spark):
     s = s.unionByName(samples(spark, "vehicle_global_position", alt=([1], [3]))).unionByName(samples(spark, "position_setpoint_triplet", **{"current.alt": ([1], [4])}))
     got = {(r.plot_id, r.topic) for r in plots.points(s).collect()}
     assert got == {("temperature", "sensor_baro"), ("temperature", "battery_status"), ("temperature", "airspeed"), ("temperature", "esc_status"), ("altitude", "vehicle_gps_position"), ("altitude", "vehicle_air_data"), ("altitude", "vehicle_global_position"), ("altitude", "position_setpoint_triplet")}
+
+
+def test_a_survey_follows_only_the_files_that_it_found(spark, monkeypatch):
+    monkeypatch.setattr(graph, "closure", None)  # closing all pairs of files isn't needed
+    writes = spark.createDataFrame([(1, "a"), (2, "b"), (2, "b"), (3, "c"), (4, "d"), (9, "z")], "file long, symbol string")
+    reads = spark.createDataFrame([(1, "b"), (2, "c"), (4, "c"), (8, "z"), (None, "a")], "file long, symbol string")
+    found = {h: sorted((r.file, r.symbol, r.distance, r.n_writes) for r in graph.survey(writes, reads, spark.createDataFrame([(1,)], "file long"), h).collect()) for h in (1, 5)}
+    assert found == {1: [(1, "a", 0, 1), (2, "b", 1, 2)], 5: [(1, "a", 0, 1), (2, "b", 1, 2), (3, "c", 2, 1), (4, "d", 3, 1)]}

@@ -78,11 +78,29 @@ def resolve_names(references: DataFrame, bindings: DataFrame) -> DataFrame:
 
 
 def survey(writes: DataFrame, reads: DataFrame, anchors: DataFrame, max_hops: int = 1) -> DataFrame:
-    """(file, symbol, distance, n_writes): files that hold an anchor, and hop by hop those that produce what they read or consume what they write."""
-    pairs = writes.join(reads.select(F.col("file").alias("other"), "symbol"), "symbol").filter("file != other")
-    edges = pairs.select(F.col("file").alias("src"), F.col("other").alias("dst")).unionByName(pairs.select(F.col("other").alias("src"), F.col("file").alias("dst"))).distinct()
-    near = closure(edges, anchors.select(F.lit("anchor").alias("seed"), F.col("file").alias("node")), max_hops)
-    return writes.join(near.select(F.col("node").alias("file"), F.col("depth").alias("distance")), "file").groupBy("file", "symbol").agg(F.min("distance").alias("distance"), F.count("*").alias("n_writes"))
+    """(file, symbol, distance, n_writes): files that hold an anchor, and hop by hop those that produce what they read or consume what they write.
+
+    A hop reads both tables for the symbols of the files that the last one found; pairs of files that nobody asks about aren't made.
+    """
+    spark, since, at = writes.sparkSession, scratch.mark(), scratch.path(writes.sparkSession, "survey")
+    first = anchors.select("file", F.lit(0).alias("distance")).filter("file is not null").distinct()
+    read = lambda hop: spark.read.schema(first.schema).parquet(f"{at}/hop-{hop}")
+    first.write.parquet(f"{at}/hop-0")
+
+    def meet(own: DataFrame, other: DataFrame, new: DataFrame) -> DataFrame:
+        """Files of the other side that share a symbol with the new files."""
+        symbols = scratch.keep(own.join(new.select("file"), "file", "left_semi").select("symbol").distinct(), "survey-symbols")
+        return other.join(symbols, "symbol", "left_semi").select("file")
+
+    for hop in range(max_hops):
+        new = read(hop)
+        others = meet(writes, reads, new).unionByName(meet(reads, writes, new)).filter("file is not null").distinct()
+        others.join(read("*").select("file"), "file", "left_anti").withColumn("distance", F.lit(hop + 1)).write.parquet(f"{at}/hop-{hop + 1}")
+        if read(hop + 1).isEmpty():
+            break
+    near = read("*")
+    scratch.release(spark, since, near)
+    return writes.join(near, "file").groupBy("file", "symbol").agg(F.min("distance").alias("distance"), F.count("*").alias("n_writes"))
 
 
 def kleene_and(*conditions: Column) -> Column:
