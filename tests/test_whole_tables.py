@@ -78,3 +78,8 @@ def test_directions_of_one_signal_alone_are_unresolved(spark, tmp_path):
     spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double, ts timestamp").write.parquet(f"file://{tmp_path}/events.parquet")
     got = [tuple(r) for r in QUERIES["same_direction"](spark, f"file://{tmp_path}").collect()]
     assert got == [("same_direction_change_7", "unresolved", None)]
+
+
+def test_matches_keep_no_list_of_inputs(spark, tables_dir):
+    plan = QUERIES["only_matches"](spark, tables_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_set" not in plan and "count(distinct" not in plan

@@ -115,10 +115,14 @@ def renamed(samples: DataFrame, names: dict[tuple[str, str], str]) -> DataFrame:
 
 
 def only_matches(dependencies: DataFrame, inputs: DataFrame) -> DataFrame:
-    """(dependency, input): inputs whose provenance holds the dependency, where there is just one."""
-    hit = dependencies.join(inputs.select("input", F.explode(F.array_distinct("provenance")).alias("dependency")), "dependency")
-    one = hit.groupBy("dependency").agg(F.count_distinct("input").alias("_n"), F.min("input").alias("input"))
-    return one.filter("_n = 1").select("dependency", "input")
+    """(dependency, input): inputs whose provenance holds the dependency, where there is just one.
+
+    An input may have several rows, each with a part of its provenance.  Where the least and the largest input are one there
+    is no other, so a dependency takes two values and no list of inputs.
+    """
+    hit = inputs.select("input", F.explode("provenance").alias("dependency"))
+    one = hit.groupBy("dependency").agg(F.min("input").alias("input"), F.max("input").alias("_last")).filter("input = _last")
+    return one.select("dependency", "input").join(dependencies.select("dependency"), "dependency", "left_semi")
 
 
 def applicability(candidates: DataFrame, required: DataFrame, available: DataFrame, predicates: DataFrame) -> DataFrame:

@@ -331,7 +331,7 @@ def renamed_fields(spark, d):
 @query("WITH h AS (SELECT DISTINCT l_partkey AS dependency, l_orderkey AS input FROM lineitem) SELECT dependency, min(input) AS input FROM h GROUP BY dependency HAVING count(*) = 1")
 def only_matches(spark, d):
     li = table(spark, d, "lineitem")
-    return P.only_matches(li.select(F.col("l_partkey").alias("dependency")).distinct(), li.groupBy(F.col("l_orderkey").alias("input")).agg(F.collect_set("l_partkey").alias("provenance")))
+    return P.only_matches(li.select(F.col("l_partkey").alias("dependency")).distinct(), li.select(F.col("l_orderkey").alias("input"), F.array("l_partkey").alias("provenance")))
 
 
 @query("""WITH m AS (SELECT o_orderkey AS c, count(l_orderkey) FILTER (l_partkey % 50 = 0) AS missing FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY ALL)
