@@ -107,3 +107,18 @@ def test_requirements_are_counted_without_their_rows(spark, monkeypatch):
     monkeypatch.setattr(gate, "requirements", lambda *a: rows.append(each(*a).count()) or each(*a))
     assert sorted(map(tuple, gate.requirement_counts(p, v).select(*by, "n").collect()), key=str) == want
     assert rows == [2 * 3 + 3 * 2 + 1 + 1]
+
+
+def test_a_symbol_is_spelt_out_once_for_all_roots(spark, monkeypatch):
+    keep, rows = lineage.scratch.keep, []
+
+    def counted(df, name):
+        out = keep(df, name)
+        rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(lineage.scratch, "keep", counted)
+    producers = spark.createDataFrame([("a", ["b", "*", "b"]), ("b", ["1"])], "symbol string, tokens array<string>")
+    got = lineage.ground(producers, spark.createDataFrame([(f"r{i}", "a") for i in range(50)], "root string, symbol string"))
+    assert [g.expression for g in got.collect()] == ["( ( 1 ) * ( 1 ) )"] * 50
+    assert max(rows) <= 3

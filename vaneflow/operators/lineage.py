@@ -128,25 +128,39 @@ def ground(producers: DataFrame, roots: DataFrame, max_depth: int = 6) -> DataFr
 
     producers: (symbol, tokens): the parts of a right side, symbols as tokens of their own.  A symbol with one producer
     becomes its right side in brackets, one without stays; an expression that meets a symbol with several producers is
-    null, and so is one that would come back to a symbol on its way or isn't at its end at max_depth.  Trees grow as rows
-    (root, place, token), a level a join, and are put together once at the end, in the order of their places.
+    null, and so is one that would come back to a symbol on its way or isn't at its end at max_depth.  Every symbol is spelt
+    out once, for all roots that meet it: first those that use no other, then level by level those whose parts are known.
+    A circle, and what uses one, never gets there.
     """
-    since = scratch.mark()
-    per = producers.groupBy("symbol").agg(F.count("*").alias("_n"), F.first("tokens").alias("tokens"))
-    per = scratch.keep(per, "producers")
-    bad = F.lit(False)
-    front = roots.select("root", F.array(F.lit(0)).alias("place"), F.col("symbol").alias("token"), F.array().cast("array<string>").alias("path"), F.lit(True).alias("open"), bad.alias("bad"))
-    for level in range(max_depth + 1):
-        joined = front.join(per.withColumnRenamed("symbol", "token"), "token", "left").withColumn("_stuck", F.array_contains("path", F.col("token")) | (F.col("_n") > 1) | F.lit(level == max_depth))
-        opens = F.col("open") & F.col("_n").isNotNull()
-        done = joined.filter(~opens).select("root", "place", "token", "path", F.lit(False).alias("open"), "bad")
-        stuck = joined.filter(opens & F.col("_stuck")).select("root", "place", "token", "path", F.lit(False).alias("open"), F.lit(True).alias("bad"))
-        marked = F.concat(F.array(F.lit("(")), F.col("tokens"), F.array(F.lit(")")))
-        deeper = joined.filter(opens & ~F.col("_stuck")).select("root", F.col("place").alias("_p"), F.array_append("path", F.col("token")).alias("path"), F.posexplode(marked).alias("_i", "token"))
-        deeper = deeper.select("root", F.array_append("_p", F.col("_i")).alias("place"), "token", "path", F.lit(True).alias("open"), bad.alias("bad"))
-        front = scratch.keep(done.unionByName(stuck).unionByName(deeper), "grounded")
-        if front.filter("open").isEmpty():
+    spark, since = roots.sparkSession, scratch.mark()
+    per = scratch.keep(producers.groupBy("symbol").agg(F.count("*").alias("_n"), F.first("tokens").alias("tokens")), "producers")
+    sole = per.filter("_n = 1 and tokens is not null")
+    parts = sole.select("symbol", F.explode(F.array_distinct("tokens")).alias("token")).filter("token is not null")
+    # tokens that nobody produces are mostly few (signs, literals): they leave without a shuffle of all parts
+    plain = scratch.keep(parts.select("token").distinct().join(per.select(F.col("symbol").alias("token")), "token", "left_anti"), "ground-plain")
+    uses = parts.join(plain, "token", "left_anti").groupBy("symbol").agg(F.collect_list("token").alias("uses"))  # a right side's own
+    open_ = scratch.keep(sole.select("symbol", "tokens").join(uses, "symbol", "left"), "ground-open")
+    wanted = open_.filter("uses is not null").select("symbol", F.explode("uses").alias("token"))
+
+    spelt, found = scratch.path(spark, "ground-spelt"), scratch.path(spark, "ground-found")
+    shape = per.select("symbol", F.lit("").cast("string").alias("expression")).schema
+    read = lambda level: spark.read.schema(shape).parquet(f"{spelt}/level-{level}")
+    marked = F.concat(F.array(F.lit("(")), F.col("tokens"), F.array(F.lit(")")))
+    open_.filter("uses is null").select("symbol", F.array_join(marked, " ").alias("expression")).write.parquet(f"{spelt}/level-1")
+    put_in = F.array_join(F.transform(marked, lambda t: F.coalesce(F.try_element_at("_found", t), t)), " ")
+    for level in range(2, max_depth + 1):
+        if read(level - 1).isEmpty():
             break
-    out = front.groupBy("root").agg(F.bool_or("bad").alias("_bad"), F.sort_array(F.collect_list(F.struct("place", "token"))).alias("_t"))  # a tree of max_depth levels
-    scratch.release(roots.sparkSession, since, out)
-    return out.select("root", F.when(~F.col("_bad"), F.array_join(F.transform("_t", lambda x: x["token"]), " ")).alias("expression"))
+        hits = wanted.join(read(level - 1).select(F.col("symbol").alias("token"), "expression"), "token").select("symbol", "token", "expression")
+        hits.write.parquet(f"{found}/level-{level}")
+        every = lambda which: spark.read.schema(hits.schema).parquet(f"{found}/level-{which}")  # noqa: B023, E731
+        so_far = every("*") if level > 2 else every(level)
+        known = so_far.join(every(level).select("symbol").distinct(), "symbol", "left_semi") if level > 2 else so_far
+        known = known.groupBy("symbol").agg(F.map_from_entries(F.collect_list(F.struct("token", "expression"))).alias("_found"))
+        ready = open_.join(known, "symbol").filter(F.size("_found") == F.size("uses"))
+        ready.select("symbol", put_in.alias("expression")).write.parquet(f"{spelt}/level-{level}")
+    made = per.select("symbol", F.lit(True).alias("_made"))
+    out = roots.select("root", "symbol").join(made, "symbol", "left").join(read("*"), "symbol", "left")
+    out = out.select("root", F.when(F.col("_made"), F.col("expression")).otherwise(F.col("symbol")).alias("expression"))
+    scratch.release(spark, since, out)
+    return out
