@@ -122,3 +122,20 @@ def test_a_symbol_is_spelt_out_once_for_all_roots(spark, monkeypatch):
     got = lineage.ground(producers, spark.createDataFrame([(f"r{i}", "a") for i in range(50)], "root string, symbol string"))
     assert [g.expression for g in got.collect()] == ["( ( 1 ) * ( 1 ) )"] * 50
     assert max(rows) <= 3
+
+
+def test_expansion_sends_no_definitions_through_the_driver(spark, monkeypatch):
+    from pyspark.sql import DataFrameWriter
+
+    write, plans = DataFrameWriter.parquet, []
+
+    def seen(self, path, *a, **k):
+        if "expand-files" in path and not path.endswith("r-0"):
+            plans.append(self._df._jdf.queryExecution().executedPlan().toString())
+        return write(self, path, *a, **k)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", seen)
+    pairs = lambda rows: spark.createDataFrame(rows, "file string, symbol string")
+    files, _ = lineage.expand(spark.createDataFrame([("a",)], "file string"), pairs([("a", "x"), ("b", "y")]), pairs([("b", "x"), ("c", "y")]))
+    assert sorted(map(tuple, files.collect())) == [("a", 0), ("b", 1), ("c", 2)]
+    assert len(plans) == 3 and not any("BroadcastHashJoin" in p for p in plans)

@@ -91,7 +91,8 @@ def expand(seeds: DataFrame, uses: DataFrame, defines: DataFrame, sizes: list[tu
 
     From files seeds (file) on: what a file refers to (uses: file, symbol) lets in the file that alone defines it
     (defines: file, symbol).  Semi-naive: a round joins only the files that the last one let in, and of their references
-    only those that no round has met, so every file and symbol is joined once.  Status: admitted, ambiguous (several
+    only those that no round has met, so every file and symbol is joined once.  What grows with the rounds, and the
+    definitions, are merged by their keys: broadcast, they would go through the driver again each round.  Status: admitted, ambiguous (several
     files define it) or missing.  sizes: gets the numbers of files and of new references of each round.
     """
     spark, since = seeds.sparkSession, scratch.mark()
@@ -105,10 +106,10 @@ def expand(seeds: DataFrame, uses: DataFrame, defines: DataFrame, sizes: list[tu
     level = 0
     while True:
         new = read(files, "f", level)
-        wanted = uses.join(new.select("file"), "file", "left_semi").select("symbol").distinct().join(read(refs, "s", "*"), "symbol", "left_anti")
+        wanted = uses.join(new.select("file"), "file", "left_semi").select("symbol").distinct().join(read(refs, "s", "*").hint("merge"), "symbol", "left_anti")
         level += 1
         wanted.write.parquet(f"{refs}/r-{level}")
-        fresh = read(refs, "s", level).join(sole.filter("_n = 1"), "symbol").select("file").distinct().join(read(files, "f", "*").select("file"), "file", "left_anti").withColumn("round", F.lit(level))
+        fresh = read(refs, "s", level).join(sole.filter("_n = 1").hint("merge"), "symbol").select("file").distinct().join(read(files, "f", "*").select("file").hint("merge"), "file", "left_anti").withColumn("round", F.lit(level))
         fresh.write.parquet(f"{files}/r-{level}")
         if sizes is not None:
             sizes.append((new.count(), read(refs, "s", level).count()))
