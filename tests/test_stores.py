@@ -1,5 +1,6 @@
 """Logs as a data source of their own, and claims on a catalogue."""
 
+import re
 import threading
 
 import pytest
@@ -78,3 +79,20 @@ def test_claims_meet_older_rows(spark, tmp_path):
     assert catalog.claim_source(spark, f"file://{tmp_path}", "review", source, rows.limit(1)) is True
     assert catalog.claim_source(spark, f"file://{tmp_path}", "review", source, rows) is False
     assert catalog.claim_source(spark, f"file://{tmp_path}", "uploads", {"db": "/x"}) is True
+
+
+@pytest.mark.parametrize("sent", [10_000, 0])
+def test_a_tag_of_all_logs_is_not_one_task(spark, monkeypatch, sent):
+    """Links aren't shuffled by tag alone, whether tags are sent or spread; results are those of a plain loop."""
+    monkeypatch.setattr(catalog, "TAGS_SENT", sent, raising=False)
+    names = {1: "All", 2: "Even", 3: "even", 4: "Third", 5: "unused"}
+    of = {i: {1} | ({2 + i % 4 // 2} if i % 2 == 0 else set()) | ({4} if i % 3 == 0 else set()) for i in range(60)}
+    logs = spark.createDataFrame([(i, i % 5 != 0) for i in of], "id long, source_available boolean")
+    link = spark.createDataFrame([(i, t) for i, own in of.items() for t in own] + [(99, 1), (None, 1), (1, None)], "log_id long, tag_id int")
+    tags = spark.createDataFrame(list(names.items()), "id int, name string")
+    both, listed, counts = catalog.having_all(logs, link, tags, ["EVEN", "third"]), catalog.with_tags(logs, link, tags), catalog.tag_counts(tags, link, logs)
+    assert sorted(r.id for r in both.collect()) == [i for i in of if i % 6 == 0]
+    assert {r.id: r.tags for r in listed.collect()} == {i: sorted((names[t] for t in own), key=str.lower) for i, own in of.items()}
+    assert {r.name: r.n_logs for r in counts.collect()} == {name: sum(t in own and i % 5 != 0 for i, own in of.items()) for t, name in names.items()}
+    for df in (both, listed):
+        assert not re.search(r"hashpartitioning\(tag_id#\w+, \d", df._jdf.queryExecution().executedPlan().toString())

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from ..functions.scalar import date_bound
 
 SORTS = ["upload_date", "log_date", "hardware", "software", "duration_s", "error_count"]
+#: Tags are broadcast up to this count and these bytes of names, both proven; beyond, each meets its logs in SPREAD tasks.
+TAGS_SENT, TAG_BYTES_SENT, SPREAD = 10_000, 16 << 20, 64
 
 
 def filtered(logs: DataFrame, search: str = "", upload: tuple[str, str] = ("", ""), logged: tuple[str, str] = ("", "")) -> DataFrame:
@@ -27,12 +29,22 @@ def filtered(logs: DataFrame, search: str = "", upload: tuple[str, str] = ("", "
     return out
 
 
+def _with_tag(log_tags: DataFrame, tags: DataFrame, name: str) -> DataFrame:
+    """log_tags with column `name` of tags (tag_id, name).  A tag has any number of logs, so a shuffle by tag alone would put them into one task."""
+    n, size = tags.limit(TAGS_SENT + 1).agg(F.count("*"), F.coalesce(F.sum(F.octet_length(name)), F.lit(0))).first()
+    if n <= TAGS_SENT and size <= TAG_BYTES_SENT:
+        return log_tags.join(F.broadcast(tags), "tag_id")
+    part = F.pmod(F.xxhash64("log_id"), F.lit(SPREAD)).cast("int")
+    each = tags.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+    return log_tags.withColumn("_part", part).join(each, ["tag_id", "_part"]).drop("_part")
+
+
 def having_all(logs: DataFrame, log_tags: DataFrame, tags: DataFrame, names: list[str]) -> DataFrame:
     """Logs with all the tags (relational division); names are alike in either case."""
     wanted = sorted({n.lower() for n in names})
     if not wanted:
         return logs
-    named = log_tags.join(tags.filter(F.lower("name").isin(wanted)).select(F.col("id").alias("tag_id"), F.lower("name").alias("_n")), "tag_id")
+    named = _with_tag(log_tags, tags.filter(F.lower("name").isin(wanted)).select(F.col("id").alias("tag_id"), F.lower("name").alias("_n")), "_n")
     full = named.groupBy("log_id").agg(F.count_distinct("_n").alias("_k")).filter(F.col("_k") == len(wanted))
     return logs.join(full.select(F.col("log_id").alias("id")), "id", "left_semi")
 
@@ -49,14 +61,14 @@ def page(rows: DataFrame, sort: str, direction: str, limit: int = 50, offset: in
 
 def with_tags(rows: DataFrame, log_tags: DataFrame, tags: DataFrame) -> DataFrame:
     """Rows with their tags' names in order: one join for all."""
-    named = log_tags.join(tags.select(F.col("id").alias("tag_id"), "name"), "tag_id").groupBy("log_id").agg(F.array_sort(F.collect_set(F.struct(F.lower("name").alias("k"), "name"))).alias("_t"))
+    named = _with_tag(log_tags, tags.select(F.col("id").alias("tag_id"), "name"), "name").groupBy("log_id").agg(F.array_sort(F.collect_set(F.struct(F.lower("name").alias("k"), "name"))).alias("_t"))
     return rows.join(named.select(F.col("log_id").alias("id"), F.transform("_t", lambda x: x["name"]).alias("tags")), "id", "left").withColumn("tags", F.coalesce("tags", F.array().cast("array<string>")))
 
 
 def tag_counts(tags: DataFrame, log_tags: DataFrame, logs: DataFrame) -> DataFrame:
     """Every tag's available logs, 0 for unused ones."""
-    joined = tags.join(log_tags, tags["id"] == log_tags["tag_id"], "left").join(logs.select(F.col("id").alias("log_id"), "source_available"), "log_id", "left")
-    return joined.groupBy("name").agg(F.count(F.when(F.col("source_available"), 1)).alias("n_logs"))
+    n = log_tags.join(logs.filter("source_available").select(F.col("id").alias("log_id")), "log_id").groupBy("tag_id").agg(F.count("*").alias("_n"))
+    return tags.join(n, tags["id"] == n["tag_id"], "left").groupBy("name").agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("n_logs"))
 
 
 def add_tag(tags: DataFrame, name: str) -> DataFrame:
