@@ -74,6 +74,26 @@ def test_sparse_logs_have_no_window(spark, tmp_path):
     assert got[3, "lost"] == ("no window", "missing.v > 1") and got[9, "free"] == ("no window", "click + view > 3")
 
 
+def broadcast_columns(plan):
+    """Columns of what a physical plan broadcasts."""
+    name = plan.getClass().getSimpleName()
+    own = [[plan.output().apply(i).name() for i in range(plan.output().size())]] if name == "BroadcastExchangeExec" else []
+    inner = [plan.initialPlan()] if name == "AdaptiveSparkPlanExec" else [plan.children().apply(i) for i in range(plan.children().size())]
+    return own + [c for p in inner for c in broadcast_columns(p)]
+
+
+def test_only_what_is_declared_is_broadcast(spark, monkeypatch):
+    """Tables that grow with logs don't pass through the driver, however small their files are."""
+    plans, keep = [], plan.scratch.keep
+    monkeypatch.setattr(plan.scratch, "keep", lambda df, name: plans.append(df) or keep(df, name))
+    samples = spark.createDataFrame([(log, s, t, t, float(t % 3)) for log in range(8) for s in "xy" for t in range(4)], "log long, signal string, ts_us long, seq long, v double")
+    constants, spans = samples.selectExpr("log", "'MODE' as symbol", "1D as v").distinct(), samples.selectExpr("log", "0D as start_s", "1D as end_s").distinct()
+    rows = branches(spark, [("a", ["MODE == 1", "x > 1 || y > MODE"]), ("b", ["x > 1", "y < x"])])
+    found = plan.branch_plans(rows, constants, samples, spans, narrow_by_alternatives=True, apart_excludes=True)
+    sent = [c for df in [*plans, *found] for c in broadcast_columns(df._jdf.queryExecution().executedPlan())]
+    assert sent and not [c for c in sent if "log" in c]
+
+
 def test_compile_checks(spark):
     def check(check_id, **of):
         return tuple(({"check_id": check_id, "type": "derived_expression"} | of).get(n) for n in CHECKS.names)

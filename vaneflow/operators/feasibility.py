@@ -106,7 +106,9 @@ def propagate(terms: DataFrame, producers: DataFrame, controls: DataFrame, const
     A clause holds when one term does and fails when all do; a branch fails when one clause does and holds when all do.
     An operation with a branch that fails is dead, and runs for sure when all its branches hold.  A symbol is constant
     when the producers that aren't dead all run for sure and give one value; a given constant wins over its producers.
-    Each round knows at least one symbol more, so a chain of n symbols takes n rounds; each is written.
+    Each round knows at least one symbol more, so a chain of n symbols takes n rounds; each is written.  The declared
+    graph is broadcast; what there is of each log is merged by its keys, since even small files of it are large tables in
+    the driver's memory.
     """
     since = scratch.mark()
     made = producers.select("operation", "symbol", F.coalesce("base", F.lit(ONE)).alias("base"), F.when(F.col("base").isNull(), 0.0).otherwise(F.coalesce("factor", F.lit(1.0))).alias("factor"), F.coalesce("offset", F.lit(0.0)).alias("offset"))
@@ -118,22 +120,22 @@ def propagate(terms: DataFrame, producers: DataFrame, controls: DataFrame, const
     known = scratch.keep(constants.select("log", "symbol", finite(F.col("v").cast("double")).alias("v")).filter("v is not null").groupBy("log", "symbol").agg(F.min("v").alias("v")).unionByName(one), "constants")
     while True:
         before = scratch.mark()
-        left = terms.join(known.select("log", F.col("symbol").alias("left"), F.col("v").alias("_l")), "left")
+        left = F.broadcast(terms).join(known.select("log", F.col("symbol").alias("left"), F.col("v").alias("_l")), "left")
         right = known.select("log", F.col("symbol").alias("right"), F.col("v").alias("_r"))
-        both = left.filter("right is not null").join(right, ["log", "right"]).unionByName(left.filter("right is null").withColumn("_r", F.col("literal")))
+        both = left.filter("right is not null").join(right.hint("merge"), ["log", "right"]).unionByName(left.filter("right is null").withColumn("_r", F.col("literal")))
         held = scratch.keep(both.select("log", "branch", "clause", "n", compare_by(F.col("op"), F.col("_l"), F.col("_r")).alias("holds")).filter("holds is not null"), "terms")
-        clause = held.groupBy("log", "branch", "clause").agg(F.bool_or("holds").alias("_any"), F.count("*").alias("_n")).join(n_terms, ["branch", "clause"])
+        clause = held.groupBy("log", "branch", "clause").agg(F.bool_or("holds").alias("_any"), F.count("*").alias("_n")).join(F.broadcast(n_terms), ["branch", "clause"])
         clause = clause.filter("_any or _n = n_terms")
-        branch = clause.groupBy("log", "branch").agg(F.bool_and("_any").alias("_all"), F.count("*").alias("_n")).join(n_clauses, "branch")
+        branch = clause.groupBy("log", "branch").agg(F.bool_and("_any").alias("_all"), F.count("*").alias("_n")).join(F.broadcast(n_clauses), "branch")
         branch = scratch.keep(branch.filter("not _all or _n = n_clauses").select("log", "branch", F.col("_all").alias("holds")), "branches")
-        states = controls.join(branch, "branch").groupBy("log", "operation").agg(F.bool_and("holds").alias("_all"), F.count("*").alias("_on"))
+        states = F.broadcast(controls).join(branch, "branch").groupBy("log", "operation").agg(F.bool_and("holds").alias("_all"), F.count("*").alias("_on"))
         dead = states.filter("not _all").select("log", "operation")
-        valued = made.join(known.withColumnRenamed("symbol", "base"), "base").withColumn("_v", F.col("factor") * F.col("v") + F.col("offset"))
-        sure = valued.join(states.filter("_all"), ["log", "operation"], "left").filter("n_controls = 0 or _on = n_controls")
-        gone = dead.join(made.select("operation", "symbol"), "operation").groupBy("log", "symbol").agg(F.count("*").alias("_gone"))
-        found = sure.groupBy("log", "symbol").agg(F.count("*").alias("_sure"), F.min("_v").alias("v"), F.max("_v").alias("_most")).join(n_made, "symbol").join(gone, ["log", "symbol"], "left")
+        valued = F.broadcast(made).join(known.withColumnRenamed("symbol", "base"), "base").withColumn("_v", F.col("factor") * F.col("v") + F.col("offset"))
+        sure = valued.join(states.filter("_all").hint("merge"), ["log", "operation"], "left").filter("n_controls = 0 or _on = n_controls")
+        gone = dead.join(F.broadcast(made.select("operation", "symbol")), "operation").groupBy("log", "symbol").agg(F.count("*").alias("_gone"))
+        found = sure.groupBy("log", "symbol").agg(F.count("*").alias("_sure"), F.min("_v").alias("v"), F.max("_v").alias("_most")).join(F.broadcast(n_made), "symbol").join(gone.hint("merge"), ["log", "symbol"], "left")
         found = found.filter((F.col("v") == F.col("_most")) & (F.col("_sure") == F.col("n_made") - F.coalesce("_gone", F.lit(0)))).select("log", "symbol", "v")
-        new = scratch.keep(found.join(known.select("log", "symbol"), ["log", "symbol"], "left_anti"), "constants-new")
+        new = scratch.keep(found.join(known.select("log", "symbol").hint("merge"), ["log", "symbol"], "left_anti"), "constants-new")
         if new.isEmpty():
             break
         known = scratch.keep(known.unionByName(new), "constants")
@@ -147,9 +149,9 @@ def open_terms(terms: DataFrame, static: Static, logs: DataFrame) -> DataFrame:
     """(log, branch, clause, n, ...) of the terms that samples have to decide: of branches that are open, in clauses without
     a term that holds, and not known themselves."""
     rows = logs.select("log").distinct().crossJoin(F.broadcast(terms))  # the declared graph for each log
-    rows = rows.join(static.branches, ["log", "branch"], "left_anti")
-    rows = rows.join(static.terms.filter("holds").select("log", "branch", "clause").distinct(), ["log", "branch", "clause"], "left_anti")
-    return rows.join(static.terms.select("log", "branch", "clause", "n"), ["log", "branch", "clause", "n"], "left_anti")
+    rows = rows.join(static.branches.hint("merge"), ["log", "branch"], "left_anti")
+    rows = rows.join(static.terms.filter("holds").select("log", "branch", "clause").distinct().hint("merge"), ["log", "branch", "clause"], "left_anti")
+    return rows.join(static.terms.select("log", "branch", "clause", "n").hint("merge"), ["log", "branch", "clause", "n"], "left_anti")
 
 
 class Feasible(NamedTuple):
@@ -177,22 +179,22 @@ def evaluate(terms: DataFrame, producers: DataFrame, controls: DataFrame, consta
     open_ = scratch.keep(open_terms(terms, static, logs), "open-terms")
     fixed = static.values.select("log", F.col("symbol").alias("_symbol"), F.col("v").alias("_c"))
     for side in ("left", "right"):
-        open_ = open_.join(fixed.withColumnsRenamed({"_symbol": side, "_c": f"{side}_c"}), ["log", side], "left")
+        open_ = open_.join(fixed.withColumnsRenamed({"_symbol": side, "_c": f"{side}_c"}).hint("merge"), ["log", side], "left")
     open_ = scratch.keep(open_.withColumn("right_c", F.coalesce("right_c", "literal")), "open-terms")
-    sides = [open_.filter(f"{s} is not null and {s}_c is null").select("log", "branch", "clause", "n", F.lit(s).alias("side"), F.col(s).alias("signal")) for s in ("left", "right")]
+    sides = [open_.filter(f"{s} is not null and {s}_c is null").select("log", "branch", "clause", "n", "op", "left_c", "right_c", F.lit(s).alias("side"), F.col(s).alias("signal")) for s in ("left", "right")]
     sides = scratch.keep(sides[0].unionByName(sides[1]), "open-signals")
     wanted = [r[0] for r in sides.select("signal").distinct().collect()]  # names of the declared graph
 
     values = samples.filter(F.col("signal").isin(wanted)).select("log", "signal", "ts_us", "seq", finite(F.col("v")).alias("v")).filter("v is not null")
     values = scratch.keep(values.groupBy("log", "signal", "ts_us").agg(F.max_by("v", "seq").alias("v")), "open-samples")
     ends = values.groupBy("log", "signal").agg(F.min("ts_us").alias("_from"), F.max("ts_us").alias("_to"))
-    reach = sides.select("log", "branch", "signal").distinct().join(ends, ["log", "signal"], "left")
+    reach = sides.select("log", "branch", "signal").distinct().join(ends.hint("merge"), ["log", "signal"], "left")
     lacks = F.bool_or(F.col("_from").isNull())
     span = reach.groupBy("log", "branch").agg(lacks.alias("_lacks"), F.max("_from").alias("_from"), F.min("_to").alias("_to")).filter(F.lit(partly) | ~F.col("_lacks")).filter("_from <= _to").drop("_lacks")
     span = scratch.keep(span, "open-spans")
 
     keys = ["log", "branch", "clause", "n"]
-    rows = values.join(sides.join(span.select("log", "branch"), ["log", "branch"]), ["log", "signal"]).join(open_.select(*keys, "op", "left_c", "right_c"), keys)
+    rows = values.join(sides.join(span.select("log", "branch").hint("merge"), ["log", "branch"]).hint("merge"), ["log", "signal"])
     time = Window.partitionBy(*keys).orderBy("ts_us")
     held = {s: F.coalesce(F.last(F.when(F.col("side") == s, F.col("v")), True).over(time), F.col(f"{s}_c")) for s in ("left", "right")}
     terms_now = rows.withColumns({f"_{s}": c for s, c in held.items()}).dropDuplicates([*keys, "ts_us"])
@@ -202,19 +204,17 @@ def evaluate(terms: DataFrame, producers: DataFrame, controls: DataFrame, consta
     n_clauses = open_.groupBy("log", "branch").agg(F.count_distinct("clause").alias("n_clauses"))
     branches = _combine(clauses, ["log", "branch"], "clause", n_clauses, "n_clauses", any_=False)
     # the state at the span's start holds from there on, and its end closes it
-    inside = branches.join(span, ["log", "branch"])
-    inside = inside.withColumn("ts_us", F.greatest("ts_us", "_from")).filter(F.col("ts_us") <= F.col("_to"))
-    inside = inside.groupBy("log", "branch", "ts_us").agg(F.max_by("holds", "_at").alias("holds"))
-    last = span.select("log", "branch", F.col("_to").alias("ts_us"), F.lit(None).cast("boolean").alias("holds"))
-    closing = inside.unionByName(last.join(inside.select("log", "branch", "ts_us"), ["log", "branch", "ts_us"], "left_anti"))
+    inside = branches.join(span.hint("merge"), ["log", "branch"])
+    inside = inside.withColumn("ts_us", F.greatest("ts_us", "_from")).filter(F.col("ts_us") <= F.col("_to")).select("log", "branch", "ts_us", "_at", "holds", F.lit(False).alias("_end"))
+    last = span.select("log", "branch", F.col("_to").alias("ts_us"), F.lit(None).cast("long").alias("_at"), F.lit(None).cast("boolean").alias("holds"), F.lit(True).alias("_end"))
+    closing = inside.unionByName(last).groupBy("log", "branch", "ts_us").agg(F.max_by("holds", "_at").alias("holds"), F.bool_or("_end").alias("_end"))
     carried = F.last("holds", False).over(Window.partitionBy("log", "branch").orderBy("ts_us").rowsBetween(-1, -1))
-    at_end = last.select("log", "branch", "ts_us", F.lit(True).alias("_end"))
-    closing = closing.join(at_end, ["log", "branch", "ts_us"], "left").withColumn("holds", F.when(F.col("_end") & F.col("holds").isNull(), carried).otherwise(F.col("holds")))
+    closing = closing.withColumn("holds", F.when(F.col("_end") & F.col("holds").isNull(), carried).otherwise(F.col("holds")))
     closing = scratch.keep(closing.select("log", "branch", "ts_us", F.lit(0).alias("seq"), "holds"), "branch-states")
     windows = series.true_windows(closing, F.col("holds"), "log", "branch")
 
     told = closing.groupBy("log", "branch").agg(F.bool_and(F.col("holds").isNotNull()).alias("_known"), F.bool_and("holds").alias("_all"), F.bool_or("holds").alias("_any"))
-    dynamic = span.join(told, ["log", "branch"]).select(
+    dynamic = span.join(told.hint("merge"), ["log", "branch"]).select(
         "log", "branch",
         F.when(F.col("_known") & F.col("_all"), "always_true").when(F.col("_known") & ~F.col("_any"), "always_false").otherwise("unknown").alias("verdict"),
         F.lit("dynamic").alias("how"), seconds(F.col("_from")).alias("start_s"), seconds(F.col("_to")).alias("end_s"),
@@ -223,9 +223,9 @@ def evaluate(terms: DataFrame, producers: DataFrame, controls: DataFrame, consta
     folded = static.branches.select("log", "branch", F.when(F.col("holds"), "always_true").otherwise("always_false").alias("verdict"), F.lit("static").alias("how"), nothing.alias("start_s"), nothing.alias("end_s"))
     decided = scratch.keep(folded.unionByName(dynamic), "verdicts")
     every = logs.select("log").distinct().crossJoin(F.broadcast(terms.select("branch").union(controls.select("branch")).distinct()))
-    rest = every.join(decided, ["log", "branch"], "left_anti").select("log", "branch", F.lit("unknown").alias("verdict"), F.lit("none").alias("how"), nothing.alias("start_s"), nothing.alias("end_s"))
+    rest = every.join(decided.hint("merge"), ["log", "branch"], "left_anti").select("log", "branch", F.lit("unknown").alias("verdict"), F.lit("none").alias("how"), nothing.alias("start_s"), nothing.alias("end_s"))
     verdicts = decided.unionByName(rest)
-    dead = controls.join(decided.filter("verdict = 'always_false'"), "branch").select("log", "operation").distinct()
+    dead = F.broadcast(controls).join(decided.filter("verdict = 'always_false'"), "branch").select("log", "operation").distinct()
     return Feasible(verdicts, windows, dead)
 
 
@@ -236,7 +236,7 @@ def _combine(parts: DataFrame, keys: list[str], part: str, counts: DataFrame, n:
     change = lambda c: F.coalesce(c, F.lit(0)) - F.coalesce(F.lag(c).over(w), F.lit(0))
     moved = parts.withColumns({"_yes": change(yes), "_no": change(no)}).groupBy(*keys, "ts_us").agg(F.sum("_yes").alias("_yes"), F.sum("_no").alias("_no"))
     over = Window.partitionBy(*keys).orderBy("ts_us").rowsBetween(Window.unboundedPreceding, 0)
-    now = moved.withColumns({"_yes": F.sum("_yes").over(over), "_no": F.sum("_no").over(over)}).join(counts, keys)
+    now = moved.withColumns({"_yes": F.sum("_yes").over(over), "_no": F.sum("_no").over(over)}).join(counts.hint("merge"), keys)
     decides, other, value = ("_yes", "_no", True) if any_ else ("_no", "_yes", False)
     holds = F.when(F.col(decides) > 0, F.lit(value)).when(F.col(other) == F.col(n), F.lit(not value))
     return now.select(*keys, "ts_us", F.col("ts_us").alias("_at"), holds.alias("holds"))
@@ -256,7 +256,7 @@ def states_at(timeline: DataFrame, found: Feasible, branches: list[str], log: st
     rows = marked.withColumns(inside).filter("_row = 1").drop("_row", "_until", "branch")
     told = F.struct("verdict", "start_s", "end_s")
     known = found.verdicts.filter(b.isin(branches)).groupBy(F.col("log").alias(log)).agg(*(F.max(F.when(b == n, told)).alias(f"_told_{n}") for n in branches))
-    rows = rows.join(known, log, "left")
+    rows = rows.join(known.hint("merge"), log, "left")
     t = seconds(F.col("ts_us"))
     for n in branches:
         of = F.col(f"_told_{n}")
