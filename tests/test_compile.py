@@ -74,6 +74,12 @@ def test_sparse_logs_have_no_window(spark, tmp_path):
     assert got[3, "lost"] == ("no window", "missing.v > 1") and got[9, "free"] == ("no window", "click + view > 3")
 
 
+def test_windows_of_sparse_logs(spark, tmp_path):
+    """Neither a log without the signal nor one of a single instant has a window."""
+    got = Counter((r["log"], r["branch_id"]) for r in as_by_sql(spark, tmp_path, "factored_branches", {k: v for k, v in SPARSE.items() if k != 3}))
+    assert got[4, "shared"] == got[7, "lost"] == got[5, "twelve"] == got[9, "free"] == 0 and got[1, "free"] == got[1, "twelve"] == got[7, "free"] == got[4, "lost"] == 1
+
+
 def broadcast_columns(plan):
     """Columns of what a physical plan broadcasts."""
     name = plan.getClass().getSimpleName()
